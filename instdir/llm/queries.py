@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality, toxicity
+from .common import Scratch, fold
 from .near_dedup import near_duplicates
 
 
@@ -16,5 +18,21 @@ def op4_minhash_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_minhash_odd_sketches,)}
+def _judged(scores: DataFrame, of: int, held_out: int) -> DataFrame:
+    return scores.select("doc_id", (fold(F.col("doc_id"), of) == held_out).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return _judged(toxicity.score(docs, model), toxicity.HELD_OUT_OF, toxicity.HELD_OUT)
+
+
+def op10_regularised_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feats = Scratch(spark, "quality").save(quality.features(_table(spark, sf_dir, "documents")), "features")
+    model = quality.fit(feats, _table(spark, sf_dir, "labels"))
+    return _judged(quality.score(feats, model), quality.HELD_OUT_OF, quality.HELD_OUT)
+
+
+QUERIES = {f.__name__: f for f in (op4_minhash_odd_sketches, op7_positive_unlabelled, op10_regularised_qda)}
 ORACLE_SQL: dict[str, str] = {}
