@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import quality, toxicity
 from .common import Scratch, fold
+from .line_dedup import drop_repeated_lines
 from .near_dedup import near_duplicates
 
 
@@ -28,11 +29,34 @@ def op7_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(docs, model), toxicity.HELD_OUT_OF, toxicity.HELD_OUT)
 
 
+def op9_three_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = drop_repeated_lines(docs.select("doc_id", "text", "n_chars").withColumn("before", F.length("text")))
+    return out.select("doc_id", "text", "n_chars", (F.col("before") - F.length("text")).cast("long").alias("chars_removed"))
+
+
 def op10_regularised_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     feats = Scratch(spark, "quality").save(quality.features(_table(spark, sf_dir, "documents")), "features")
     model = quality.fit(feats, _table(spark, sf_dir, "labels"))
     return _judged(quality.score(feats, model), quality.HELD_OUT_OF, quality.HELD_OUT)
 
 
-QUERIES = {f.__name__: f for f in (op4_minhash_odd_sketches, op7_positive_unlabelled, op10_regularised_qda)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op4_minhash_odd_sketches, op7_positive_unlabelled, op9_three_line_windows, op10_regularised_qda)}
+ORACLE_SQL: dict[str, str] = {
+    "op9_three_line_windows": """
+WITH l AS (SELECT doc_id, text, n_chars, string_split(text, chr(10)) AS lines FROM documents),
+w AS (SELECT doc_id, unnest(range(len(lines) - 2)) AS line, lines FROM l WHERE len(lines) >= 3),
+k AS (SELECT doc_id, line, list_slice(lines, line + 1, line + 3) AS run FROM w),
+o AS (SELECT doc_id, line, row_number() OVER (PARTITION BY run ORDER BY doc_id, line) AS nth FROM k
+      WHERE trim(run[1] || run[2] || run[3], ' ') <> ''),
+c AS (SELECT DISTINCT doc_id, line + j AS line FROM o, (SELECT unnest([0, 1, 2]) AS j) WHERE nth > 1),
+p AS (SELECT l.doc_id, u.line, u.s FROM l, LATERAL (SELECT unnest(range(len(l.lines))) AS line, unnest(l.lines) AS s) u),
+t AS (SELECT p.doc_id, string_agg(p.s, chr(10) ORDER BY p.line) AS kept
+      FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.line = p.line WHERE c.line IS NULL GROUP BY p.doc_id),
+h AS (SELECT DISTINCT doc_id FROM c)
+SELECT l.doc_id, CASE WHEN h.doc_id IS NULL THEN l.text ELSE coalesce(t.kept, '') END AS text,
+       CASE WHEN h.doc_id IS NULL THEN l.n_chars ELSE CAST(length(coalesce(t.kept, '')) AS BIGINT) END AS n_chars,
+       CAST(length(l.text) - CASE WHEN h.doc_id IS NULL THEN length(l.text) ELSE length(coalesce(t.kept, '')) END AS BIGINT) AS chars_removed
+FROM l LEFT JOIN h ON h.doc_id = l.doc_id LEFT JOIN t ON t.doc_id = l.doc_id
+""",
+}
