@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import quality, toxicity
 from .common import Scratch, fold
+from .decontaminate import contamination
 from .line_dedup import drop_repeated_lines
 from .near_dedup import near_duplicates
 
@@ -15,6 +16,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_prefix_filtered_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    ids = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256")
+    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), ids, (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op4_minhash_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -41,8 +48,22 @@ def op10_regularised_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score(feats, model), quality.HELD_OUT_OF, quality.HELD_OUT)
 
 
-QUERIES = {f.__name__: f for f in (op4_minhash_odd_sketches, op7_positive_unlabelled, op9_three_line_windows, op10_regularised_qda)}
+QUERIES = {f.__name__: f for f in (op3_prefix_filtered_windows, op4_minhash_odd_sketches, op7_positive_unlabelled, op9_three_line_windows, op10_regularised_qda)}
 ORACLE_SQL: dict[str, str] = {
+    "op3_prefix_filtered_windows": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+i AS (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(len(w) - least(10, len(w)) + 1)) AS p FROM b WHERE len(w) > 0),
+x AS (SELECT DISTINCT item_id, n, list_slice(w, p + 1, p + n) AS run FROM i),
+s AS (SELECT DISTINCT n FROM x),
+o AS (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS p FROM d, s WHERE len(w) >= n),
+h AS (SELECT o.doc_id, o.p, o.n, x.item_id FROM (SELECT doc_id, p, n, list_slice(w, p + 1, p + n) AS run FROM o) o JOIN x ON x.run = o.run),
+c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS q FROM h) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(l.n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(l.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN l ON l.doc_id = d.doc_id
+""",
     "op9_three_line_windows": """
 WITH l AS (SELECT doc_id, text, n_chars, string_split(text, chr(10)) AS lines FROM documents),
 w AS (SELECT doc_id, unnest(range(len(lines) - 2)) AS line, lines FROM l WHERE len(lines) >= 3),
