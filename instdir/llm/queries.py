@@ -10,12 +10,23 @@ from .common import Scratch, fold
 from .decontaminate import contamination
 from .line_dedup import drop_repeated_lines
 from .near_dedup import near_duplicates
+from .packing import pack_documents
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op3_prefix_filtered_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     ids = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256")
@@ -48,7 +59,7 @@ def op10_regularised_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score(feats, model), quality.HELD_OUT_OF, quality.HELD_OUT)
 
 
-QUERIES = {f.__name__: f for f in (op3_prefix_filtered_windows, op4_minhash_odd_sketches, op7_positive_unlabelled, op9_three_line_windows, op10_regularised_qda)}
+QUERIES = {f.__name__: f for f in (op2_linear_grouping, op3_prefix_filtered_windows, op4_minhash_odd_sketches, op7_positive_unlabelled, op9_three_line_windows, op10_regularised_qda)}
 ORACLE_SQL: dict[str, str] = {
     "op3_prefix_filtered_windows": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
