@@ -233,7 +233,7 @@ class Plan:
         return np.array(sorted(self.runs), np.int64).reshape(-1, 5)
 
 
-def linear_grouping(counts: np.ndarray, capacity: int, groups: int = 40, smallest: float = 1 / 10) -> Plan:
+def linear_grouping(counts: np.ndarray, capacity: int, groups: int = 24, smallest: float = 0.4) -> Plan:
     """The plan for counts[length] items of each length up to capacity."""
     plan = Plan(counts, capacity)
     if plan.left[capacity]:
