@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: A side is broadcast only if it was counted and holds at most so many rows of a few words each.
 BROADCAST_ROWS = 200_000
 
@@ -51,7 +53,10 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Table | pa.RecordBatch]], schema: str) -> DataFrame:
-    """Arrow batches through fn; an empty batch stays empty."""
+    """Arrow batches through fn; an empty batch stays empty. Workers look for this package where the driver has it."""
+    env = df.sparkSession.sparkContext.environment
+    if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, [env.get("PYTHONPATH")])])
 
     def run(batches):
         for batch in batches:

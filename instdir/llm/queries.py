@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, toxicity
+from . import media, quality, secret_scan, toxicity, warc
 from .common import Scratch, fold
 from .decontaminate import contamination
 from .line_dedup import drop_repeated_lines
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .url_filter import judge_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,21 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "warc").path("archives")
+    warc.write_warc(_table(spark, sf_dir, "pages"), path)
+    c = warc.assemble(warc.read_warc(spark, path))
+    return c.select(
+        warc.page_of(F.col("record_id")).alias("page_id"),
+        F.col("capture.payload_bytes").alias("payload_bytes"),
+        F.col("capture.payload_digest").alias("payload_digest"),
+        F.col("capture.warc_type").alias("record_type"),
+        warc.page_of(F.col("capture.refers_to")).alias("refers_to"),
+        F.size("requests").alias("n_requests"),
+        F.size("metadata").alias("n_metadata"),
+    )
+
+
 def op2_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -41,12 +57,44 @@ def _judged(scores: DataFrame, of: int, held_out: int) -> DataFrame:
     return scores.select("doc_id", (fold(F.col("doc_id"), of) == held_out).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_png_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = Scratch(spark, "media").save(media.texts_as_png(_table(spark, sf_dir, "documents")), "images")
+    return media.decoded(stored).select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.lower(F.hex("hash")).alias("feature"),
+    )
+
+
+#: The rules of the query.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op6_markov_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op7_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
     return _judged(toxicity.score(docs, model), toxicity.HELD_OUT_OF, toxicity.HELD_OUT)
 
 
+def op8_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan(_table(spark, sf_dir, "documents"), Scratch(spark, "secrets").path("ledger"))
+
+    def count(kind: str):
+        return F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    spans = F.array_join(F.transform("findings", lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
+    return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(spans.cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))
+
+
 def op9_three_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = drop_repeated_lines(docs.select("doc_id", "text", "n_chars").withColumn("before", F.length("text")))
@@ -59,7 +107,7 @@ def op10_regularised_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score(feats, model), quality.HELD_OUT_OF, quality.HELD_OUT)
 
 
-QUERIES = {f.__name__: f for f in (op2_linear_grouping, op3_prefix_filtered_windows, op4_minhash_odd_sketches, op7_positive_unlabelled, op9_three_line_windows, op10_regularised_qda)}
+QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_linear_grouping, op3_prefix_filtered_windows, op4_minhash_odd_sketches, op5_png_cosine, op6_markov_ratio, op7_positive_unlabelled, op8_blob_ledger, op9_three_line_windows, op10_regularised_qda)}
 ORACLE_SQL: dict[str, str] = {
     "op3_prefix_filtered_windows": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
