@@ -5,9 +5,12 @@ meet; the samples are also folded into a parity bitmap (an odd sketch), and the
 bitmaps tells whether a candidate can reach the similarity. What passes is confirmed on the full sets.
 
 No bucket's pairs are ever laid out. Equal sets are one class. Round one links each member of a bucket with the
-bucket's smallest class alone; round two takes the buckets that still hold several components and holds those outside
-the bucket's largest component against the others, with the sketch as join condition. So every two classes that share
-a bucket end in one component or have been compared.
+bucket's center alone, the class that meets most others over all its buckets. Round two takes the buckets that still hold
+several components. Of each class in them it counts the shingles that no other of these classes has: they are in no
+intersection, so most classes turn out too far from anything. The others outside the bucket's largest component are held
+against the rest of the bucket, with that bound, the lengths, the sketch and the parity bitmaps of the full sets (they
+count the symmetric difference) as join condition. So every two classes that
+share a bucket end in one component, or have been compared, or can't be similar enough.
 
 Defined cases: null or wordless text has an empty set and is linked with nothing; a text of fewer than k words is one
 shingle; rows that share a doc_id are one document, linked with all that any of its texts is linked with; a row without
@@ -18,6 +21,7 @@ are not looked at.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +31,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, map_arrow, small
 from .text import NONSPACE, U64, bounds, list_array, mix, pieces, seeds, shingles, words
 
-#: Bits of an odd sketch; eight 64-bit columns.
-BITS = 512
-_LANES = BITS // 64
+#: Bits of an odd sketch, kept as 64-bit columns, and the MinHash samples folded into it.
+BITS, SAMPLES = 1024, 256
+#: Bits of the parity bitmap over a full set, made for the few classes that round two compares.
+SET_BITS = 2048
+_LANES, _SET_LANES = BITS // 64, SET_BITS // 64
 _MUL, _ADD = (seeds(1024, s).astype(np.uint32) for s in (41, 43))
 
 
@@ -55,25 +61,37 @@ def _minhash(items: np.ndarray, n: int) -> np.ndarray:
     return best
 
 
+def _parity(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return np.packbits((np.bincount((hashes % U64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
     """Parity bitmap: each (function, sample) flips one bit."""
-    at = mix(samples.astype(U64) + (np.arange(len(samples), dtype=U64) << U64(32))) % U64(BITS)
-    return np.packbits((np.bincount(at.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+    return _parity(mix(samples.astype(U64) + (np.arange(len(samples), dtype=U64) << U64(32))), BITS)
 
 
-def max_odd_bits(similarity: float, samples: int, sigmas: float = 6.0) -> int:
+def max_odd_bits(similarity: float, sigmas: float = 5.0) -> int:
     """The most differing bits that a pair of this similarity shows, but for chances beyond ``sigmas``.
 
-    d differing samples flip 2d bits; their number is binomial around samples * (1 - similarity).
+    Of the samples, about SAMPLES * (1 - similarity) differ, binomially; d differing ones flip 2 d bits of both sketches.
     """
-    differ = samples * (1 - similarity) + sigmas * math.sqrt(samples * similarity * (1 - similarity))
-    bits = BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * min(differ, samples)))
-    return min(BITS, math.ceil(bits + sigmas * math.sqrt(2 * differ) / 4))
+    differ = SAMPLES * (1 - similarity)
+    stay, pair = (1 - 2 / BITS) ** (2 * differ), (1 - 4 / BITS) ** (2 * differ)
+    variance = (2 * stay) ** 2 * differ * similarity + (BITS + BITS * (BITS - 1) * pair - (BITS * stay) ** 2) / 4
+    return min(BITS, math.ceil(BITS / 2 * (1 - stay) + sigmas * math.sqrt(variance)))
+
+
+def _may_differ(percent: int, sigmas: float = 5.0):
+    """Whether the parity bitmaps of two full sets x and y differ in no more bits than those of similar enough sets."""
+    d = F.floor((100 - percent) * (F.col("x.n_shingles") + F.col("y.n_shingles")) / F.lit(100.0 + percent))
+    stay, pair, n = F.pow(F.lit(1 - 2 / SET_BITS), d), F.pow(F.lit(1 - 4 / SET_BITS), d), float(SET_BITS)
+    spread = F.sqrt(F.greatest(n + n * (n - 1) * pair - n * n * stay * stay, F.lit(0.0))) / 2
+    return _differing("x", "y", "p", _SET_LANES) <= n / 2 * (1 - stay) + sigmas * spread + 1
 
 
 def features(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, the 128-bit name of the set, a hash per band, and the sketch."""
-    n, band_seed = bands * rows, seeds(bands, 47)
+    n, band_seed = max(SAMPLES, bands * rows), seeds(bands, 47)
 
     def fn(batch):
         size, name, band, sketch = [], [], [], []
@@ -82,8 +100,8 @@ def features(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             name.append((mix(items).sum(dtype=U64), mix(items ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64)))
             if len(items):
                 samples = _minhash(items, n)
-                band.append(mix(shingles_by_row(samples.reshape(bands, rows)) ^ band_seed))
-                sketch.append(odd_sketch(samples))
+                band.append(mix(shingles_by_row(samples[: bands * rows].reshape(bands, rows)) ^ band_seed))
+                sketch.append(odd_sketch(samples[:SAMPLES]))
         size = np.array(size, np.int64)
         name = np.array(name, U64).reshape(-1, 2).view(np.int64)
         has = size > 0
@@ -103,8 +121,9 @@ def shingles_by_row(samples: np.ndarray) -> np.ndarray:
     return out
 
 
-def _differing(x: str, y: str):
-    return sum((F.bit_count(F.col(f"{x}.o{i}").bitwiseXOR(F.col(f"{y}.o{i}"))) for i in range(1, _LANES)), F.bit_count(F.col(f"{x}.o0").bitwiseXOR(F.col(f"{y}.o0"))))
+def _differing(x: str, y: str, of: str = "o", lanes: int = _LANES):
+    bits = [F.bit_count(F.col(f"{x}.{of}{i}").bitwiseXOR(F.col(f"{y}.{of}{i}"))) for i in range(lanes)]
+    return reduce(lambda m, n: m + n, bits)
 
 
 def _can_reach(x: str, y: str, percent: int, most: int):
@@ -138,29 +157,41 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, bands: int =
     4 samples a pair of similarity 0.75 meets in no bucket with a chance of 5e-6, one of 0.85 with less than 1e-10.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    most = max_odd_bits(percent / 100, bands * rows)
+    most = max_odd_bits(percent / 100)
     feats = scratch.save(features(docs, k, bands, rows), "features")
     named = feats.filter("n_shingles > 0 and doc_id is not null")
     classes = named.groupBy("c1", "c2").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies"), F.min_by(F.struct("n_shingles", "bands", "odd"), "doc_id").alias("x"))
     classes = scratch.save(classes.select("c1", "c2", "cid", "copies", "x.n_shingles", "x.bands", *[F.col("x.odd")[i].alias(f"o{i}") for i in range(_LANES)]), "classes")
     sketches = classes.select("cid", "n_shingles", *[f"o{i}" for i in range(_LANES)])
     placed = classes.select("cid", F.explode("bands").alias("h"))
-    buckets = scratch.save(placed.groupBy("h").agg(F.min("cid").alias("center"), F.count("*").alias("n")).filter("n > 1"), "buckets")
-    shared = scratch.save(placed.join(buckets, "h"), "shared")
+    crowded = scratch.save(placed.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "crowded")
+    shared = scratch.save(placed.join(crowded, "h"), "shared")
+    weights = shared.groupBy("cid").agg(F.sum("n").alias("weight"))
+    centers = shared.join(weights, "cid").groupBy("h").agg(F.max(F.struct("weight", (-F.col("cid")).alias("least"))).alias("c")).select("h", (-F.col("c.least")).alias("center"))
+    shared = scratch.save(shared.join(centers, "h"), "centered")
 
-    stars = shared.filter("cid <> center").select(F.col("cid").alias("a"), F.col("center").alias("b")).distinct()
+    stars = shared.filter("cid <> center").select(F.greatest("cid", "center").alias("a"), F.least("cid", "center").alias("b")).distinct()
     near = stars.join(sketches.alias("x"), F.col("a") == F.col("x.cid")).join(sketches.alias("y"), F.col("b") == F.col("y.cid"))
-    links = _confirmed(docs, scratch.save(near.filter(_can_reach("x", "y", percent, most)).select("a", "b").distinct(), "near-1"), scratch, "1", percent, k)
+    near = scratch.save(near.filter(_can_reach("x", "y", percent, most)).select("a", "b").distinct(), "near-1")
+    sets = _sets(docs, near.select(F.col("a").alias("doc_id")).unionAll(near.select("b")).distinct(), scratch, "sets-1", k)
+    links = _confirmed(near, sets, scratch, "links-1", percent)
     roots = scratch.save(connected_components(links, scratch, "graph-1"), "roots-1")
 
     # Buckets that still hold several components: those outside the bucket's largest one, against the others.
     held = shared.filter("n > 2").join(roots, F.col("cid") == F.col("node"), "left").select("h", "cid", "center", F.coalesce("root", "cid").alias("comp"))
     mixed = held.groupBy("h", "comp").agg(F.count("*").alias("n")).groupBy("h").agg(F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("comps")).filter("comps > 1")
-    rest = held.join(mixed.select("h", F.col("most.comp").alias("largest")), "h").join(sketches.alias("s"), "cid")
-    rest = scratch.save(rest, "rest")
+    rest = scratch.save(held.join(mixed.select("h", F.col("most.comp").alias("largest")), "h"), "mixed")
+    sets = _sets(docs, rest.select(F.col("cid").alias("doc_id")).distinct(), scratch, "sets-2", k)
+    alone = sets.select("doc_id", F.explode("items").alias("item")).groupBy("item").agg(F.min("doc_id").alias("cid"), F.max("doc_id").alias("other")).filter("cid = other").groupBy("cid").agg(F.count("*").alias("alone"))
+    sized = sketches.join(alone, "cid", "left").withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0))).filter(100 * F.col("common") >= percent * F.col("n_shingles")).drop("alone")
+    sized = sized.join(sets.select(F.col("doc_id").alias("cid"), *[F.col("parity")[i].alias(f"p{i}") for i in range(_SET_LANES)]), "cid")
+    rest = scratch.save(rest.join(sized, "cid"), "rest")
     x, y = rest.filter("comp <> largest and cid <> center").alias("x"), rest.filter("cid <> center").alias("y")
-    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.comp") != F.col("y.comp")) & _can_reach("x", "y", percent, most))
-    late = _confirmed(docs, scratch.save(met.select(F.greatest("x.cid", "y.cid").alias("a"), F.least("x.cid", "y.cid").alias("b")).distinct(), "near-2"), scratch, "2", percent, k)
+    most_common = F.least("x.common", "y.common")
+    bound = 100 * most_common >= percent * (F.col("x.n_shingles") + F.col("y.n_shingles") - most_common)
+    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.comp") != F.col("y.comp")) & bound & _can_reach("x", "y", percent, most) & _may_differ(percent))
+    met = scratch.save(met.select(F.greatest("x.cid", "y.cid").alias("a"), F.least("x.cid", "y.cid").alias("b")).distinct(), "near-2")
+    late = _confirmed(met, sets, scratch, "links-2", percent)
     if late.isEmpty():
         root = roots
     else:
@@ -174,22 +205,26 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, bands: int =
 
     moved = classes.select("c1", "c2", "cid", "copies").join(root, F.col("cid") == F.col("node"), "left").filter("copies > 1 or root is not null")
     moved = scratch.save(moved.groupBy("c1", "c2").agg(F.min(F.coalesce("root", "cid")).alias("root")), "moved")
-    scratch.drop("buckets", "shared", "rest", "near-1", "near-2", "sets-1", "sets-2", "links-1", "links-2", "roots-1", "roots-2", "classes")
+    scratch.drop("crowded", "shared", "centered", "mixed", "rest", "near-1", "near-2", "sets-1", "sets-2", "links-1", "links-2", "roots-1", "roots-2", "classes")
     out = feats.select("doc_id", "n_shingles", "c1", "c2").join(small(moved), ["c1", "c2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, percent: int, k: int) -> DataFrame:
-    """Those of the pairs (a, b) of doc_ids whose full sets are similar enough; sets are made again for these documents alone."""
-    need = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
+def _sets(docs: DataFrame, ids: DataFrame, scratch: Scratch, name: str, k: int) -> DataFrame:
+    """doc_id, items (the full shingle sets, made again for these documents alone) and their parity bitmaps."""
 
     def fn(batch):
         sets = list(shingle_sets(batch.column("text"), k))
         off = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-        yield pa.Table.from_arrays([batch.column("doc_id"), list_array(np.concatenate(sets).view(np.int64), off, pa.int64())], ["doc_id", "items"])
+        parity = np.concatenate([_parity(mix(x), SET_BITS) for x in sets])
+        yield pa.Table.from_arrays([batch.column("doc_id"), list_array(np.concatenate(sets).view(np.int64), off, pa.int64()), list_array(parity, np.arange(len(sets) + 1) * _SET_LANES, pa.int64())], ["doc_id", "items", "parity"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(small(ids), "doc_id", "left_semi")
+    return scratch.save(map_arrow(texts, fn, "doc_id long, items array<long>, parity array<long>"), name)
+
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(small(need), "doc_id", "left_semi")
-    sets = scratch.save(map_arrow(texts, fn, "doc_id long, items array<long>"), f"sets-{name}")
-    x, y = (sets.select(F.col("doc_id").alias(k), F.col("items").alias(f"{k}_items")) for k in "ab")
+def _confirmed(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of doc_ids whose full sets are similar enough."""
+    x, y = (sets.select(F.col("doc_id").alias(c), F.col("items").alias(f"{c}_items")) for c in "ab")
     both = pairs.join(x, "a").join(y, "b").withColumn("common", F.size(F.array_intersect("a_items", "b_items")))
-    return scratch.save(both.filter(100 * F.col("common") >= percent * (F.size("a_items") + F.size("b_items") - F.col("common"))).select("a", "b").distinct(), f"links-{name}")
+    return scratch.save(both.filter(100 * F.col("common") >= percent * (F.size("a_items") + F.size("b_items") - F.col("common"))).select("a", "b").distinct(), name)
