@@ -66,9 +66,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def directory_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    """Literal directory rows; product_types as JSON text."""
+    """Literal directory rows; product_types as JSON text, null staying null."""
     text = T.StructType([T.StructField(f.name, T.StringType() if f.name == "product_types" else f.dataType, f.nullable) for f in DIRECTORY])
-    return spark.createDataFrame(rows, text).withColumn("product_types", from_json_array(F.col("product_types")))
+    return spark.createDataFrame(rows, text).withColumn("product_types", F.from_json("product_types", "array<string>"))
 
 
 def scan_directory(spark: SparkSession, path: str) -> DataFrame:
