@@ -52,13 +52,13 @@ def repeated_lines(docs: DataFrame, size: int = 3) -> DataFrame:
 
 def drop_repeated_lines(docs: DataFrame, size: int = 3) -> DataFrame:
     """docs with the covered lines taken out of text; n_chars, if there, follows the text."""
-    covered = repeated_lines(docs, size).select(F.col("key.doc_id").alias("_id"), F.col("key.h").alias("_h"), F.col("gone").alias("_gone"))
+    covered = repeated_lines(docs, size).select(F.col("key.doc_id").alias("__repeats_id"), F.col("key.h").alias("__repeats_h"), F.col("gone").alias("__repeats_gone"))
     text = F.col("text").cast("string")
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_h"))
-    out = docs.join(small(covered), on, "left").withColumn("text", F.when(F.col("_gone").isNull(), text).otherwise(without(text, F.col("_gone"))))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__repeats_id")) & (F.xxhash64(text) == F.col("__repeats_h"))
+    out = docs.join(small(covered), on, "left").withColumn("text", F.when(F.col("__repeats_gone").isNull(), text).otherwise(without(text, F.col("__repeats_gone"))))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
+        out = out.withColumn("n_chars", F.when(F.col("__repeats_gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
     return out.select(*docs.columns)
 
 

@@ -285,17 +285,23 @@ def linear_grouping(counts: np.ndarray, capacity: int, groups: int = 24, smalles
     return plan
 
 
+def best_plan(counts: np.ndarray, capacity: int, shares: tuple[float, ...] = (0.4, 0.45, 0.5)) -> Plan:
+    """The plan with the fewest sequences of those that take lengths over these shares of the capacity as large."""
+    return min((linear_grouping(counts, capacity, smallest=s) for s in shares), key=lambda plan: plan.sequences)
+
+
 def pack(items: DataFrame, order: list[str], capacity: int = 4096, salts: int = 64) -> DataFrame:
     """items with sequence_id and offset: no sequence longer than capacity, its items without gaps from 0.
 
     ``length`` is between 1 and capacity; ``order`` names columns that tell items apart. Use more salts where one length
-    has more rows than 64 tasks can sort.
+    has more rows than 64 tasks can sort. Columns sequence_id and offset that items has already give way.
     """
+    items = items.drop("sequence_id", "offset")
     salted = items.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     parts = np.zeros((capacity + 1, salts), np.int64)
     for length, salt, n in salted.groupBy("length", "_salt").count().collect():  # at most capacity * salts rows
         parts[length, salt] = n
-    runs = linear_grouping(parts.sum(axis=1), capacity).table()
+    runs = best_plan(parts.sum(axis=1), capacity).table()
     before = (np.cumsum(parts.ravel()) - parts.ravel()).reshape(parts.shape)
     shared, names = items.sparkSession.sparkContext.broadcast((before, runs)), items.columns
 

@@ -124,7 +124,7 @@ def _scores(text: pa.Array, model) -> np.ndarray:
         hit = table[at] != 0
         pairs = np.unique(row[hit] << LOG_BUCKETS | at[hit])
         out[i:j] += np.bincount(pairs >> LOG_BUCKETS, table[pairs & (1 << LOG_BUCKETS) - 1], minlength=j - i)
-    return 1 / (1 + np.exp(-np.clip(out, -700, 700)))
+    return np.where(np.isneginf(out), 0.0, 1 / (1 + np.exp(-np.clip(out, -700, 700))))
 
 
 def _shared(docs: DataFrame, model: PuModel):

@@ -9,9 +9,9 @@ their concurrent-to identifiers and gives one nested row per capture.
 Which capture of a payload comes first is known from (digest, smallest id) of repeated digests alone, so the pages
 themselves are shuffled only if that table is too large to broadcast.
 
-Defined cases: null html is an empty payload; a null page_id sorts before any other and its capture is named by its
-payload and url alone; rows equal in page_id and payload are each written, and all but one revisit; null urls give
-records without a target; records without a capture (their response isn't in the archives) are left out of the assembly;
+Defined cases: null html is an empty payload; a capture without page_id is named by its payload and url alone and
+revisits the smallest page_id with that payload, if there is one; repeated rows give repeated captures of one name, each
+with all records that name it; null urls give records without a target; records without a capture (their response isn't in the archives) are left out of the assembly;
 no pages give no archive and an empty assembly; other columns are not looked at.
 """
 
@@ -57,7 +57,7 @@ def captures(pages: DataFrame) -> DataFrame:
     got = got.withColumn("digest", base32_sha1(F.col("payload").cast("binary")))
     repeated = got.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
     out = got.join(small(repeated), "digest", "left")
-    return out.withColumn("first", F.when(F.col("first") != F.col("page_id"), F.col("first")))
+    return out.withColumn("first", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")))
 
 
 def write_warc(pages: DataFrame, path: str, records_per_file: int = 30_000) -> None:
