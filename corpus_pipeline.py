@@ -34,8 +34,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def _but(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without the rows of these doc_ids; a row without an id stays."""
-    gone = ids.select(F.col("doc_id").alias("_gone")).filter("_gone is not null").distinct()
-    return docs.join(small(gone), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = ids.select(F.col("doc_id").alias("__gone_id")).filter(F.col("__gone_id").isNotNull()).distinct()
+    return docs.join(small(gone), F.col("doc_id").cast("long") == F.col("__gone_id"), "left_anti")
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
