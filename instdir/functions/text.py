@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -30,10 +31,18 @@ def scenario(name: Column, url: Column) -> Column:
 
 
 def contains_any(c: Column, terms: Sequence[str]) -> Column:
-    """Whether one of the terms is a substring; stops at the first."""
+    """Whether one of the terms is a substring."""
     if not terms:
         return F.lit(False)
-    return F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: c.contains(t))
+    return c.rlike("|".join(re.escape(t) for t in terms))
+
+
+def contains_word_of(c: Column, words: Column) -> Column:
+    """Whether one of an array's words is a substring.
+
+    The lambda sees its arguments alone: filters whose lambdas name other columns get lost in outer joins.
+    """
+    return F.array_contains(F.zip_with(words, F.array_repeat(c, F.size(words)), lambda w, x: x.contains(w)), True)
 
 
 def classify_by_name(name: Column, rules: Sequence[tuple[str, Sequence[str]]], default: str) -> Column:

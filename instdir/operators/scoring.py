@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_any, initials, name_words, url_root
+from ..functions.text import contains_any, contains_word_of, initials, name_words, url_root
 from ..rules import ScoringRules, as_list
 
 SIGNALS = ("known", "initials", "word", "url_keyword", "name_keyword")
@@ -20,7 +20,7 @@ def score_signals(df: DataFrame, rules: ScoringRules, name: str = "name", url: s
     hits = {
         "known": contains_any(url_root(F.col(url)), as_list(rules.known_domains)),
         "initials": (F.length(first) >= 2) & low_url.contains(first),
-        "word": F.exists(words, lambda w: low_url.contains(w)),
+        "word": contains_word_of(low_url, words),
         "url_keyword": contains_any(low_url, keywords),
         "name_keyword": contains_any(low_name, keywords),
     }

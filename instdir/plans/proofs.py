@@ -15,6 +15,7 @@ from ..sources import files
 from ..sources.scratch import fresh
 from ..streaming.ingest import ingest_incremental
 from . import adapters as ad
+from . import batch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -368,26 +369,28 @@ _BANKS_SQL = _record_sql(f"(SELECT s.*, CASE WHEN is_valid THEN p.v END AS v, {_
 _OTHERS_SQL = _record_sql("(SELECT s.*, p.v, CAST(NULL AS VARCHAR) AS ge FROM scored s LEFT JOIN parsed p USING (row_number) WHERE name <> '' OR url <> '')", "name", "url", "'NBFC'", "FALSE", "ge")
 
 
+def _bank_requests(spark, sf_dir) -> DataFrame:
+    """Named candidates with a url as known institutions."""
+    seeds = ad.candidates(spark, sf_dir).withColumn("pan_india", F.expr(_PAN))
+    return batch.bank_requests(seeds, ad.RULES, ad.TYPES, ad.DEFAULT_TYPE).filter("scenario = 'both'")
+
+
 def _banks(spark, sf_dir) -> DataFrame:
-    """Named candidates with a url as known institutions: typed, scored, gated, asked, recorded."""
-    seeds = _scored(spark, sf_dir).filter("scenario = 'both'").withColumn("pan_india", F.expr(_PAN))
-    return enrich.build_records(enrich.with_gate(seeds), ad.responses(spark, sf_dir), "row_number", ad.REGIONS)
+    return enrich.build_records(_bank_requests(spark, sf_dir), ad.responses(spark, sf_dir), "row_number", ad.REGIONS)
 
 
 def _others(spark, sf_dir) -> DataFrame:
-    """All candidates that aren't empty, without the gate, of one type."""
-    rows = clean.drop_empty(_clean(spark, sf_dir)).withColumns({"company_type": F.lit("NBFC"), "pan_india": F.lit(False)})
-    return enrich.build_records(enrich.without_gate(rows), ad.responses(spark, sf_dir), "row_number", ad.REGIONS)
+    return enrich.build_records(batch.candidate_requests(ad.candidates(spark, sf_dir)), ad.responses(spark, sf_dir), "row_number", ad.REGIONS)
 
 
 def _shown(df: DataFrame) -> DataFrame:
     ints = {c: F.col(c).cast("double") for c in ("established_year", "employee_count")}
-    return df.select("row_number", "record.*").withColumns(ints).select("row_number", *_OUT, joined("product_types").alias("products"), joined("operating_states").alias("states"))
+    return df.withColumns(ints).select("row_number", *_OUT, joined("product_types").alias("products"), joined("operating_states").alias("states"))
 
 
 @proof(f"SELECT * FROM ({_BANKS_SQL}) WHERE extraction_status = 'failed'", *_BOTH)
 def failure_records(spark, sf_dir):
-    return _shown(_banks(spark, sf_dir)).filter("extraction_status = 'failed'")
+    return _shown(_banks(spark, sf_dir).select("row_number", "record.*")).filter("extraction_status = 'failed'")
 
 
 @proof("SELECT c.row_number, p.plain IS NOT NULL AS answered, p.v IS NOT NULL AS has_data FROM clean c LEFT JOIN parsed p USING (row_number)", *_BOTH)
@@ -398,8 +401,8 @@ def enrich_join(spark, sf_dir):
 
 @proof(f"SELECT 'bank' AS origin, * FROM ({_BANKS_SQL}) UNION ALL SELECT 'nbfc' AS origin, * FROM ({_OTHERS_SQL})", *_BOTH)
 def pipeline_records(spark, sf_dir):
-    origin = lambda df, name: _shown(df).withColumn("origin", F.lit(name))
-    return origin(_banks(spark, sf_dir), "bank").unionByName(origin(_others(spark, sf_dir), "nbfc"))
+    banks, others = (_shown(f(spark, sf_dir).select("row_number", "record.*")).withColumn("origin", F.lit(name)) for f, name in ((_banks, "bank"), (_others, "nbfc")))
+    return banks.unionByName(others)
 
 
 @proof(

@@ -68,3 +68,17 @@ def test_records_of_requests_and_answers(spark):
     gated = {r.request_id: r.record for r in build_records(with_gate(scored), responses).collect()}
     assert gated["1"].error == "Bank validation failed (25/100): why" and gated["1"].pan_india and gated["1"].operating_states == []
     assert gated["2"].extraction_status == "success" and enrich(requests, responses).count() == 5
+
+
+def test_batch_of_seeds_and_candidates(spark):
+    from instdir.plans import batch
+    from instdir.sources.seeds import bank_seeds
+
+    banks = batch.bank_requests(bank_seeds(spark))
+    others = batch.candidate_requests(spark.createDataFrame([("N", "http://n"), ("", "")], "company_name string, website string"))
+    ids = banks.unionByName(others, allowMissingColumns=True).filter("name in ('HDFC Bank', 'Barclays India', 'N')").select("request_id")
+    answers = ids.withColumns({"http_status": F.lit(200), "envelope": F.lit(_answer('{"hq_city":"X"}'))})
+    out = batch.all_records(banks, others, answers).cache()
+    assert {r.origin: r["count"] for r in out.groupBy("origin").count().collect()} == {"bank": 50, "nbfc": 1}
+    assert {r.company_name for r in out.filter("extraction_status = 'success'").collect()} == {"HDFC Bank", "N"}
+    assert out.filter("company_name = 'Barclays India'").first().error.startswith("Bank validation failed (25/100)")
