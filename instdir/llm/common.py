@@ -10,10 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import fresh
+from .text import pieces
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+#: Bytes of an Arrow batch at most: what a task holds in the JVM and in Python doesn't grow with long texts.
+BATCH_BYTES, _BATCH = 2 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Workers are kept for the next task; so they give what arrays took back to the system (environment of the allocators).
+_MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
 #: A side is broadcast only if it was counted and holds at most so many rows of a few words each.
 BROADCAST_ROWS = 200_000
+#: And, where a row's size isn't fixed, at most so many bytes.
+BROADCAST_BYTES = 32 << 20
 
 
 class Scratch:
@@ -38,21 +45,56 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most ``rows`` rows, else df as it is (shuffle join)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """A written table with a broadcast hint if it has at most ``rows`` rows, else as it is (shuffle join).
 
+    weight tells the bytes of a row whose size isn't fixed; together they stay below BROADCAST_BYTES.
+    """
+    if weight is None:
+        return F.broadcast(df) if df.count() <= rows else df
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= BROADCAST_BYTES else df
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Table | pa.RecordBatch]], schema: str) -> DataFrame:
-    """Arrow batches through fn; an empty batch stays empty. Workers look for this package where the driver has it."""
+
+def join_spread(left: DataFrame, right: DataFrame, key: str, scratch: Scratch, name: str, per_part: int = 500) -> DataFrame:
+    """left.join(right, key) with the rows of a frequent key of left dealt out in parts; right's row of it goes to each."""
+    heavy = left.groupBy(key).agg(F.ceil(F.count("*") / per_part).cast("int").alias("__parts")).filter("__parts > 1")
+    heavy = small(scratch.save(heavy, name))
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = left.join(heavy, key, "left").withColumn("__part", F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop("__parts")
+    copied = right.join(heavy, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return dealt.join(copied, [key, "__part"]).drop("__part")
+
+
+def _parts(batch: pa.RecordBatch, by: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts make about ``limit`` bytes, so that what a task holds doesn't grow with the texts of a batch."""
+    at = batch.schema.get_field_index(by)
+    if at < 0:
+        yield batch
+        return
+    for i, j, _, _ in pieces(batch.column(at), limit):
+        yield batch.slice(i, j - i)
+
+
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Table | pa.RecordBatch]], schema: str, by: str = "text") -> DataFrame:
+    """Arrow batches through fn, at most about BATCH_BYTES each; one with larger texts in column ``by`` is cut by their size.
+
+    Workers look for this package where the driver has it.
+    """
     env = df.sparkSession.sparkContext.environment
+    for name, value in _MEMORY.items():
+        env.setdefault(name, value)
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, [env.get("PYTHONPATH")])])
 
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) != f"{BATCH_BYTES}b":
+        conf.set(_BATCH, f"{BATCH_BYTES}b")
+
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                for out in fn(batch):
+            for part in _parts(batch, by) if batch.num_rows else ():
+                for out in fn(part):
                     yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
     return df.mapInArrow(run, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, map_arrow, small
-from .text import ALNUM, LOWER, U64, bounds, list_array, pieces, shingles, words
+from .text import ALNUM, LOWER, U64, bounds, pieces, shingles, words
 
 #: log2 of the bits of the bitmap that tasks get: 2 MB, whatever the benchmark's size.
 LOG_BITS = 24
@@ -147,10 +147,10 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, k: int = 5)
     end = F.col("begin") + F.col("n")
     new = end - F.greatest("begin", F.least(F.coalesce(F.max(end).over(before), F.lit(0)), end))
     covered = hits.select("row", "begin", "n").distinct().withColumn("new", new).groupBy("row").agg(F.sum("new").alias("n_hit"))
-    by_item = hits.select("row", "window").distinct().join(small(found.select("window", "item_id").distinct()), "window").filter("item_id is not null")
+    by_item = hits.select("row", "window").distinct().join(small(found.select("window", "item_id").distinct(), weight=F.octet_length("window") + F.coalesce(F.octet_length("item_id"), F.lit(0))), "window").filter("item_id is not null")
     listed = by_item.select("row", "item_id").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"))
     marks = scratch.save(covered.join(listed, "row", "left"), "marks")
-    out = rows.select("doc_id", "n_words", "row").join(small(marks), "row", "left")
+    out = rows.select("doc_id", "n_words", "row").join(small(marks, weight=24 + F.coalesce(F.length(F.array_join("item_ids", ",")), F.lit(0))), "row", "left")
     scratch.drop("counts", "prefix", "hits", "items")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
 

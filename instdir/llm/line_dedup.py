@@ -55,7 +55,7 @@ def drop_repeated_lines(docs: DataFrame, size: int = 3) -> DataFrame:
     covered = repeated_lines(docs, size).select(F.col("key.doc_id").alias("__repeats_id"), F.col("key.h").alias("__repeats_h"), F.col("gone").alias("__repeats_gone"))
     text = F.col("text").cast("string")
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("__repeats_id")) & (F.xxhash64(text) == F.col("__repeats_h"))
-    out = docs.join(small(covered), on, "left").withColumn("text", F.when(F.col("__repeats_gone").isNull(), text).otherwise(without(text, F.col("__repeats_gone"))))
+    out = docs.join(small(covered, weight=16 + 8 * F.size("__repeats_gone")), on, "left").withColumn("text", F.when(F.col("__repeats_gone").isNull(), text).otherwise(without(text, F.col("__repeats_gone"))))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("__repeats_gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))

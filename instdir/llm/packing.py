@@ -37,7 +37,7 @@ _LETTER[97:123] = True
 _MARK = NONSPACE.copy()
 _MARK[97:123] = _MARK[128:] = False
 #: Words whose ids a worker keeps at most; beyond that it starts anew.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 _tokenizers: dict[str, "WordTokenizer"] = {}
 
 
@@ -55,10 +55,10 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[int, int] = {}
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, and whose ids they have
         self.ids, self.off = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64)
 
-    def _learn(self, hashes: list[int], parts: list[bytes]) -> None:
+    def _learn(self, hashes: np.ndarray, parts: list[bytes]) -> None:
         plain = [i for i, p in enumerate(parts) if p.isalpha()]
         other = sorted(set(range(len(parts))) - set(plain))
         got: list = [None] * len(parts)
@@ -67,7 +67,7 @@ class WordTokenizer:
         for i, e in zip(other, self.tokenizer.encode_batch([parts[i].decode("utf-8", "replace") for i in other], add_special_tokens=False), strict=True):
             got[i] = e.ids
         lens = np.array([len(x) for x in got])
-        n, k = len(self.index), len(got)
+        n, k = len(self.keys), len(got)
         flat = np.fromiter((t for x in got for t in x), np.uint32, int(lens.sum()))
         at = self.off[n]
         while len(self.ids) < at + len(flat):
@@ -76,7 +76,8 @@ class WordTokenizer:
             self.off = np.concatenate([self.off, np.zeros_like(self.off)])
         self.ids[at : at + len(flat)] = flat
         self.off[n + 1 : n + k + 1] = at + np.cumsum(lens)
-        self.index.update(zip(hashes, range(n, n + k), strict=True))
+        at = np.searchsorted(self.keys, hashes)
+        self.keys, self.place = np.insert(self.keys, at, hashes), np.insert(self.place, at, np.arange(n, n + k))
 
     def encode(self, buf: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of each text, closed by end_id, one after another, and where each text's begin."""
@@ -94,14 +95,14 @@ class WordTokenizer:
             start, end, row = start[keep], end[keep], row[keep]
         h = hash_spans(low, start, end)
         found, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.index) + len(found) > CACHE_WORDS:
+        if len(self.keys) + len(found) > CACHE_WORDS:
             self.clear()
-        keys = found.tolist()
-        new = [i for i, x in enumerate(keys) if x not in self.index]
-        if new:
+        at = np.searchsorted(self.keys, found)
+        new = np.flatnonzero(np.append(self.keys, np.uint64(0))[at] != found) if len(self.keys) else np.arange(len(found))
+        if len(new):
             data = low.tobytes()
-            self._learn([keys[i] for i in new], [data[start[first[i]] : end[first[i]]] for i in new])
-        known = np.fromiter((self.index[x] for x in keys), np.int64, len(keys))
+            self._learn(found[new], [data[start[first[i]] : end[first[i]]] for i in new.tolist()])
+        known = self.place[np.searchsorted(self.keys, found)]
         word = known[back] if len(back) else np.zeros(0, np.int64)
         lens = self.off[word + 1] - self.off[word]
         size = np.bincount(row, lens, minlength=n).astype(np.int64) + 1
@@ -133,7 +134,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int =
         if path not in _tokenizers:
             _tokenizers[path] = WordTokenizer(path)
         doc_id = batch.column("doc_id")
-        for i, j, buf, off in pieces(batch.column("text")):
+        for i, j, buf, off in pieces(batch.column("text"), 1 << 20):
             ids, begin = _tokenizers[path].encode(buf, off, end_id)
             size = np.diff(begin)
             count = -(-size // capacity)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, small
+from .common import Scratch, map_arrow, small
 
 #: The kinds in their order, the pattern of each, the group whose length counts, and the least length.
 RULES = (
@@ -79,10 +79,12 @@ def scan(docs: DataFrame, ledger: str, version: str = RULE_VERSION) -> DataFrame
     paths = rows.select("doc_id", "blob")
     # repeated blobs, with the id whose row is scanned: the smallest
     repeated = paths.groupBy("blob").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("blob", "first")
+    scratch = Scratch(spark, "blobs")
+    repeated = scratch.save(repeated, "repeated")
     one = rows.join(small(repeated), "blob", "left").filter("first is null or doc_id = first").drop("first")
     unseen = one.join(small(known.select("blob")), "blob", "left_anti")
     scan_blobs(unseen, version).write.mode("append").partitionBy("version").parquet(ledger)
     found = spark.read.schema(schema).parquet(ledger).filter(F.col("version") == version)
     # rows that are equal in all were scanned each; blobs with nothing found need no join
-    found = found.filter(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"])
-    return paths.join(small(found), "blob", "left").select("doc_id", "blob", F.coalesce("findings", F.array().cast(_FOUND)).alias("findings"))
+    found = scratch.save(found.filter(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"]), "found")
+    return paths.join(small(found, weight=32 + 40 * F.size("findings")), "blob", "left").select("doc_id", "blob", F.coalesce("findings", F.array().cast(_FOUND)).alias("findings"))

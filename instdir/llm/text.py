@@ -63,7 +63,7 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
-def pieces(col: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(col: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of whole rows of about ``limit`` bytes: first row, last row + 1, bytes, offsets."""
     buf, off = utf8(col)
     i, n = 0, len(col)
@@ -88,11 +88,20 @@ def spans(is_in: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return start, end, np.searchsorted(off, start, "right") - 1
 
 
-def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes, from prefix sums of a polynomial."""
-    sums = np.zeros(len(buf) + 1, dtype=U64)
-    np.cumsum(_BYTE[buf] * _power("up", _BASE, len(buf)), out=sums[1:]) if len(buf) else None
-    return mix((sums[end] - sums[start]) * _power("down", _INVERSE, len(buf) + 1)[start] + (end - start).astype(U64))
+def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 19) -> np.ndarray:
+    """64-bit hash of each span of bytes (in order, apart), from prefix sums of a polynomial.
+
+    Sums are over blocks of bytes, so that a very long text takes no more than its own size in them.
+    """
+    out, i = np.empty(len(start), dtype=U64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + block, "right")))
+        part, s, e = buf[start[i] : end[j - 1]], start[i:j] - start[i], end[i:j] - start[i]
+        sums = np.zeros(len(part) + 1, dtype=U64)
+        np.cumsum(_BYTE[part] * _power("up", _BASE, len(part)), out=sums[1:])
+        out[i:j] = mix((sums[e] - sums[s]) * _power("down", _INVERSE, len(part) + 1)[s] + (e - s).astype(U64))
+        i = j
+    return out
 
 
 def words(buf: np.ndarray, off: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -112,7 +112,7 @@ def _weights(counts: DataFrame) -> DataFrame:
 
 def _scored(urls: DataFrame, weights: DataFrame, limit: int) -> DataFrame:
     """urls(key, url, ...) with score, the mean weight of a url's windows."""
-    if weights.limit(limit + 1).count() <= limit:
+    if weights.count() <= limit:
         got = weights.toPandas().sort_values("window")
         shared = urls.sparkSession.sparkContext.broadcast((got["window"].to_numpy(), got["weight"].to_numpy()))
         names = urls.columns

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, small
+from .common import Scratch, map_arrow, small
 
 #: The digits of base 32 as Spark's conv() writes them, and as RFC 4648 does.
 _CONV, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -56,6 +56,7 @@ def captures(pages: DataFrame) -> DataFrame:
     got = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     got = got.withColumn("digest", base32_sha1(F.col("payload").cast("binary")))
     repeated = got.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
+    repeated = Scratch(pages.sparkSession, "captures").save(repeated, "repeated")
     out = got.join(small(repeated), "digest", "left")
     return out.withColumn("first", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")))
 

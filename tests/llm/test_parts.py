@@ -22,6 +22,7 @@ def test_words_and_hashes():
         want = [(i, w) for i, r in enumerate(low) for w in re.findall(pattern, r)]
         assert list(zip(row.tolist(), got)) == want
         assert len(set(h.tolist())) == len({w for _, w in want})
+        assert (text.hash_spans(text.LOWER[buf], start, end, block=5) == h).all()
     one = list(text.pieces(pa.array(rows), limit=4))
     assert [x[:2] for x in one][-1][1] == len(rows) and b"".join(x[2].tobytes() for x in one) == buf.tobytes()
     assert text.shingles(np.arange(3, dtype=np.uint64), 5).size == 0
