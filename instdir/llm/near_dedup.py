@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow, small
+from .common import Scratch, join_spread, map_arrow, small
 from .text import NONSPACE, U64, bounds, list_array, mix, pieces, seeds, shingles, words
 
 #: Bits of an odd sketch, kept as 64-bit columns, and the MinHash samples folded into it.
@@ -86,7 +86,7 @@ def _may_differ(percent: int, sigmas: float = 5.0):
     d = F.floor((100 - percent) * (F.col("x.n_shingles") + F.col("y.n_shingles")) / F.lit(100.0 + percent))
     stay, pair, n = F.pow(F.lit(1 - 2 / SET_BITS), d), F.pow(F.lit(1 - 4 / SET_BITS), d), float(SET_BITS)
     spread = F.sqrt(F.greatest(n + n * (n - 1) * pair - n * n * stay * stay, F.lit(0.0))) / 2
-    return _differing("x", "y", "p", _SET_LANES) <= n / 2 * (1 - stay) + sigmas * spread + 1
+    return _differing("x.", "y.", "p", _SET_LANES) <= n / 2 * (1 - stay) + sigmas * spread + 1
 
 
 def features(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
@@ -122,16 +122,20 @@ def shingles_by_row(samples: np.ndarray) -> np.ndarray:
 
 
 def _differing(x: str, y: str, of: str = "o", lanes: int = _LANES):
-    bits = [F.bit_count(F.col(f"{x}.{of}{i}").bitwiseXOR(F.col(f"{y}.{of}{i}"))) for i in range(lanes)]
+    bits = [F.bit_count(F.col(f"{x}{of}{i}").bitwiseXOR(F.col(f"{y}{of}{i}"))) for i in range(lanes)]
     return reduce(lambda m, n: m + n, bits)
 
 
 def _can_reach(x: str, y: str, percent: int, most: int):
     """Length bound and sketch estimate: no pair of this similarity fails them."""
-    nx, ny = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
+    nx, ny = F.col(f"{x}n_shingles"), F.col(f"{y}n_shingles")
     return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (_differing(x, y) <= most)
 
 
+def _named(sketches: DataFrame, prefix: str) -> DataFrame:
+    return sketches.select("cid", *[F.col(c).alias(f"{prefix}_{c}") for c in sketches.columns if c != "cid"])
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """node, root (the least node reachable) for each node of edges (a, b): large-star and small-star until nothing moves."""
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
@@ -171,8 +175,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, bands: int =
     shared = scratch.save(shared.join(centers, "h"), "centered")
 
     stars = shared.filter("cid <> center").select(F.greatest("cid", "center").alias("a"), F.least("cid", "center").alias("b")).distinct()
-    near = stars.join(sketches.alias("x"), F.col("a") == F.col("x.cid")).join(sketches.alias("y"), F.col("b") == F.col("y.cid"))
-    near = scratch.save(near.filter(_can_reach("x", "y", percent, most)).select("a", "b").distinct(), "near-1")
+    near = join_spread(scratch.save(stars, "stars"), _named(sketches, "x").withColumnRenamed("cid", "a"), "a", scratch, "heavy-1")
+    near = join_spread(near, _named(sketches, "y").withColumnRenamed("cid", "b"), "b", scratch, "heavy-2")
+    near = scratch.save(near.filter(_can_reach("x_", "y_", percent, most)).select("a", "b").distinct(), "near-1")
     sets = _sets(docs, near.select(F.col("a").alias("doc_id")).unionAll(near.select("b")).distinct(), scratch, "sets-1", k)
     links = _confirmed(near, sets, scratch, "links-1", percent)
     roots = scratch.save(connected_components(links, scratch, "graph-1"), "roots-1")
@@ -189,7 +194,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, bands: int =
     x, y = rest.filter("comp <> largest and cid <> center").alias("x"), rest.filter("cid <> center").alias("y")
     most_common = F.least("x.common", "y.common")
     bound = 100 * most_common >= percent * (F.col("x.n_shingles") + F.col("y.n_shingles") - most_common)
-    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.comp") != F.col("y.comp")) & bound & _can_reach("x", "y", percent, most) & _may_differ(percent))
+    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.comp") != F.col("y.comp")) & bound & _can_reach("x.", "y.", percent, most) & _may_differ(percent))
     met = scratch.save(met.select(F.greatest("x.cid", "y.cid").alias("a"), F.least("x.cid", "y.cid").alias("b")).distinct(), "near-2")
     late = _confirmed(met, sets, scratch, "links-2", percent)
     if late.isEmpty():
@@ -205,6 +210,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, bands: int =
 
     moved = classes.select("c1", "c2", "cid", "copies").join(root, F.col("cid") == F.col("node"), "left").filter("copies > 1 or root is not null")
     moved = scratch.save(moved.groupBy("c1", "c2").agg(F.min(F.coalesce("root", "cid")).alias("root")), "moved")
+    scratch.drop(*[f"{n}-{x}" for n in ("links-1", "links-2") for x in ("heavy-a", "heavy-b")], "heavy-1", "heavy-2", "stars")
     scratch.drop("crowded", "shared", "centered", "mixed", "rest", "near-1", "near-2", "sets-1", "sets-2", "links-1", "links-2", "roots-1", "roots-2", "classes")
     out = feats.select("doc_id", "n_shingles", "c1", "c2").join(small(moved), ["c1", "c2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -226,5 +232,5 @@ def _sets(docs: DataFrame, ids: DataFrame, scratch: Scratch, name: str, k: int)
 def _confirmed(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of doc_ids whose full sets are similar enough."""
     x, y = (sets.select(F.col("doc_id").alias(c), F.col("items").alias(f"{c}_items")) for c in "ab")
-    both = pairs.join(x, "a").join(y, "b").withColumn("common", F.size(F.array_intersect("a_items", "b_items")))
+    both = join_spread(join_spread(pairs, x, "a", scratch, f"{name}-heavy-a"), y, "b", scratch, f"{name}-heavy-b").withColumn("common", F.size(F.array_intersect("a_items", "b_items")))
     return scratch.save(both.filter(100 * F.col("common") >= percent * (F.size("a_items") + F.size("b_items") - F.col("common"))).select("a", "b").distinct(), name)
