@@ -66,6 +66,11 @@ def order_directory(spark, sf_dir):
     return _rows(search.order_directory(ad.listing(spark, sf_dir)).limit(100))
 
 
+@proof(f"SELECT {_ROW_SQL} FROM listing ORDER BY aum_crores DESC NULLS LAST, id", "listing")
+def order_directory_all(spark, sf_dir):
+    return _rows(search.order_directory(ad.listing(spark, sf_dir)))
+
+
 @proof(f"SELECT {_ROW_SQL} FROM listing WHERE list_contains(product_types, '{PRODUCT}')", "listing")
 def filter_product(spark, sf_dir):
     return _rows(search.by_product(ad.listing(spark, sf_dir), PRODUCT))
