@@ -4,13 +4,14 @@ Each document's set of word shingles is sampled by MinHash. Bands of samples giv
 meet; the samples are also folded into a parity bitmap (an odd sketch), and the population count of the XOR of two
 bitmaps tells whether a candidate can reach the similarity. What passes is confirmed on the full sets.
 
-No bucket's pairs are ever laid out. Equal sets are one class. Round one links each member of a bucket with the
+No bucket's pairs are ever laid out as rows. Equal sets are one class. Round one links each member of a bucket with the
 bucket's center alone, the class that meets most others over all its buckets. Round two takes the buckets that still hold
 several components. Of each class in them it counts the shingles that no other of these classes has: they are in no
 intersection, so most classes turn out too far from anything. The others outside the bucket's largest component are held
 against the rest of the bucket, with that bound, the lengths, the sketch and the parity bitmaps of the full sets (they
-count the symmetric difference) as join condition. So every two classes that
-share a bucket end in one component, or have been compared, or can't be similar enough.
+count the symmetric difference) as join condition. These pairs are tried, not kept, and those of a large bucket are dealt
+out over cells of a fixed size. So every two classes that share a bucket end in one component, or have been compared, or
+can't be similar enough.
 
 Defined cases: null or wordless text has an empty set and is linked with nothing; a text of fewer than k words is one
 shingle; rows that share a doc_id are one document, linked with all that any of its texts is linked with; a row without
@@ -25,7 +26,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, join_spread, map_arrow, small
@@ -35,6 +36,8 @@ from .text import NONSPACE, U64, bounds, list_array, mix, pieces, seeds, shingle
 BITS, SAMPLES = 1024, 256
 #: Bits of the parity bitmap over a full set, made for the few classes that round two compares.
 SET_BITS = 2048
+#: Rows of either side of a bucket that round two compares in one group.
+CELL = 1000
 _LANES, _SET_LANES = BITS // 64, SET_BITS // 64
 _MUL, _ADD = (seeds(1024, s).astype(np.uint32) for s in (41, 43))
 
@@ -154,6 +157,23 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
         scratch.drop(f"{name}-{step - 1}")
 
 
+def dealt_by_bucket(rest: DataFrame, outside: Column, scratch: Scratch, name: str, side: int = CELL) -> tuple[DataFrame, DataFrame]:
+    """The rows of a bucket h that are outside and all its rows, each with the cells (__x, __y) in which they meet.
+
+    Each such pair of a bucket shares exactly one cell, and a cell has about ``side`` rows of either kind, however many
+    the bucket has.
+    """
+    cells = rest.groupBy("h").agg(F.ceil(F.count_if(outside) / side).cast("int").alias("__xs"), F.ceil(F.count("*") / side).cast("int").alias("__ys"))
+    cells = small(scratch.save(cells.filter("__ys > 1"), name))
+    dealt = rest.join(cells, "h", "left").withColumns({c: F.greatest(F.coalesce(c, F.lit(1)), F.lit(1)) for c in ("__xs", "__ys")})
+
+    def placed(rows: DataFrame, own: str, other: str) -> DataFrame:
+        rows = rows.withColumn(own, F.pmod(F.xxhash64("cid", "o0"), F.col(f"{own}s")).cast("int"))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1))).drop("__xs", "__ys")
+
+    return placed(dealt.filter(outside), "__x", "__y"), placed(dealt, "__y", "__x")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, bands: int = 32, rows: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs(doc_id, text, ...).
 
@@ -191,10 +211,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, bands: int =
     sized = sketches.join(alone, "cid", "left").withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0))).filter(100 * F.col("common") >= percent * F.col("n_shingles")).drop("alone")
     sized = sized.join(sets.select(F.col("doc_id").alias("cid"), *[F.col("parity")[i].alias(f"p{i}") for i in range(_SET_LANES)]), "cid")
     rest = scratch.save(rest.join(sized, "cid"), "rest")
-    x, y = rest.filter("comp <> largest and cid <> center").alias("x"), rest.filter("cid <> center").alias("y")
+    x, y = dealt_by_bucket(rest.filter("cid <> center"), F.col("comp") != F.col("largest"), scratch, "cells")
+    x, y = x.alias("x"), y.alias("y")
     most_common = F.least("x.common", "y.common")
     bound = 100 * most_common >= percent * (F.col("x.n_shingles") + F.col("y.n_shingles") - most_common)
-    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.comp") != F.col("y.comp")) & bound & _can_reach("x.", "y.", percent, most) & _may_differ(percent))
+    cell = reduce(lambda m, n: m & n, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("h", "__x", "__y")])
+    met = x.join(y, cell & (F.col("x.comp") != F.col("y.comp")) & bound & _can_reach("x.", "y.", percent, most) & _may_differ(percent))
     met = scratch.save(met.select(F.greatest("x.cid", "y.cid").alias("a"), F.least("x.cid", "y.cid").alias("b")).distinct(), "near-2")
     late = _confirmed(met, sets, scratch, "links-2", percent)
     if late.isEmpty():
@@ -211,7 +233,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, bands: int =
     moved = classes.select("c1", "c2", "cid", "copies").join(root, F.col("cid") == F.col("node"), "left").filter("copies > 1 or root is not null")
     moved = scratch.save(moved.groupBy("c1", "c2").agg(F.min(F.coalesce("root", "cid")).alias("root")), "moved")
     scratch.drop(*[f"{n}-{x}" for n in ("links-1", "links-2") for x in ("heavy-a", "heavy-b")], "heavy-1", "heavy-2", "stars")
-    scratch.drop("crowded", "shared", "centered", "mixed", "rest", "near-1", "near-2", "sets-1", "sets-2", "links-1", "links-2", "roots-1", "roots-2", "classes")
+    scratch.drop("crowded", "shared", "centered", "mixed", "rest", "cells", "near-1", "near-2", "sets-1", "sets-2", "links-1", "links-2", "roots-1", "roots-2", "classes")
     out = feats.select("doc_id", "n_shingles", "c1", "c2").join(small(moved), ["c1", "c2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

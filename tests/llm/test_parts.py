@@ -52,6 +52,19 @@ def test_components(spark):
     assert {r.node: r.root for r in got.collect()} == want and got.count() == len(want)
 
 
+def test_large_bucket_is_dealt_out(spark):
+    """Every pair of a bucket meets in one cell, and no cell holds all of a large bucket's rows."""
+    from instdir.llm.common import Scratch
+
+    rows = [(7, i, i % 5, 0) for i in range(300)] + [(8, 1000 + i, i % 2, 0) for i in range(4)] + [(9, 2000 + i, 0, 0) for i in range(200)] + [(6, 3000 + i, int(i == 0), 0) for i in range(200)]
+    rest = spark.createDataFrame([(*r, r[1] * 31) for r in rows], "h long, cid long, comp long, largest long, o0 long")
+    x, y = near_dedup.dealt_by_bucket(rest, F.col("comp") != F.col("largest"), Scratch(spark, "test"), "cells", side=40)
+    assert x.groupBy("h", "__x", "__y").count().agg(F.max("count")).first()[0] < 80 and y.groupBy("h", "__x", "__y").count().agg(F.max("count")).first()[0] < 80
+    met = x.alias("x").join(y.alias("y"), ["h", "__x", "__y"]).select("h", "x.cid", "y.cid").collect()
+    want = {(a[0], a[1], b[1]) for a in rows if a[2] != a[3] for b in rows if a[0] == b[0]}
+    assert len(met) == len(set(map(tuple, met))) and set(map(tuple, met)) == want
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_unfilter_undoes_every_filter(seed):
     rng = np.random.default_rng(seed)
