@@ -56,6 +56,11 @@ def shingle_sets(col: pa.Array, k: int):
                 yield np.zeros(0, U64)
 
 
+def set_name(items: np.ndarray) -> tuple:
+    """The 128-bit name of a set."""
+    return mix(items).sum(dtype=U64), mix(items ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64)
+
+
 def _minhash(items: np.ndarray, n: int) -> np.ndarray:
     """n samples: the least value of n hash functions over the items."""
     low, best = (items >> U64(32)).astype(np.uint32), np.full(n, 0xFFFFFFFF, np.uint32)
@@ -100,7 +105,7 @@ def features(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
         size, name, band, sketch = [], [], [], []
         for items in shingle_sets(batch.column("text"), k):
             size.append(len(items))
-            name.append((mix(items).sum(dtype=U64), mix(items ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64)))
+            name.append(set_name(items))
             if len(items):
                 samples = _minhash(items, n)
                 band.append(mix(shingles_by_row(samples[: bands * rows].reshape(bands, rows)) ^ band_seed))
@@ -200,6 +205,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, bands: int =
     near = scratch.save(near.filter(_can_reach("x_", "y_", percent, most)).select("a", "b").distinct(), "near-1")
     sets = _sets(docs, near.select(F.col("a").alias("doc_id")).unionAll(near.select("b")).distinct(), scratch, "sets-1", k)
     links = _confirmed(near, sets, scratch, "links-1", percent)
+    links = links.unionAll(_same_document(named, classes, scratch, "several"))
     roots = scratch.save(connected_components(links, scratch, "graph-1"), "roots-1")
 
     # Buckets that still hold several components: those outside the bucket's largest one, against the others.
@@ -207,9 +213,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, bands: int =
     mixed = held.groupBy("h", "comp").agg(F.count("*").alias("n")).groupBy("h").agg(F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("comps")).filter("comps > 1")
     rest = scratch.save(held.join(mixed.select("h", F.col("most.comp").alias("largest")), "h"), "mixed")
     sets = _sets(docs, rest.select(F.col("cid").alias("doc_id")).distinct(), scratch, "sets-2", k)
-    alone = sets.select("doc_id", F.explode("items").alias("item")).groupBy("item").agg(F.min("doc_id").alias("cid"), F.max("doc_id").alias("other")).filter("cid = other").groupBy("cid").agg(F.count("*").alias("alone"))
-    sized = sketches.join(alone, "cid", "left").withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0))).filter(100 * F.col("common") >= percent * F.col("n_shingles")).drop("alone")
-    sized = sized.join(sets.select(F.col("doc_id").alias("cid"), *[F.col("parity")[i].alias(f"p{i}") for i in range(_SET_LANES)]), "cid")
+    per_item = sets.select("c1", "c2", F.explode("items").alias("item")).groupBy("item").agg(*[f(c).alias(f"{n}{c}") for n, f in (("lo_", F.min), ("hi_", F.max)) for c in ("c1", "c2")])
+    alone = per_item.filter("lo_c1 = hi_c1 and lo_c2 = hi_c2").groupBy(F.col("lo_c1").alias("c1"), F.col("lo_c2").alias("c2")).agg(F.count("*").alias("alone"))
+    parity = sets.groupBy("c1", "c2").agg(*[F.min(F.col("parity")[i]).alias(f"p{i}") for i in range(_SET_LANES)])
+    sized = classes.select("c1", "c2", "cid", "n_shingles", *[f"o{i}" for i in range(_LANES)]).join(alone, ["c1", "c2"], "left")
+    sized = sized.withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0))).filter(100 * F.col("common") >= percent * F.col("n_shingles")).drop("alone")
+    sized = sized.join(parity, ["c1", "c2"]).drop("c1", "c2")
     rest = scratch.save(rest.join(sized, "cid"), "rest")
     x, y = dealt_by_bucket(rest.filter("cid <> center"), F.col("comp") != F.col("largest"), scratch, "cells")
     x, y = x.alias("x"), y.alias("y")
@@ -233,22 +242,31 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, bands: int =
     moved = classes.select("c1", "c2", "cid", "copies").join(root, F.col("cid") == F.col("node"), "left").filter("copies > 1 or root is not null")
     moved = scratch.save(moved.groupBy("c1", "c2").agg(F.min(F.coalesce("root", "cid")).alias("root")), "moved")
     scratch.drop(*[f"{n}-{x}" for n in ("links-1", "links-2") for x in ("heavy-a", "heavy-b")], "heavy-1", "heavy-2", "stars")
-    scratch.drop("crowded", "shared", "centered", "mixed", "rest", "cells", "near-1", "near-2", "sets-1", "sets-2", "links-1", "links-2", "roots-1", "roots-2", "classes")
+    scratch.drop("crowded", "shared", "centered", "mixed", "rest", "cells", "several", "near-1", "near-2", "sets-1", "sets-2", "links-1", "links-2", "roots-1", "roots-2", "classes")
     out = feats.select("doc_id", "n_shingles", "c1", "c2").join(small(moved), ["c1", "c2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _same_document(named: DataFrame, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(a, b): the cid of a class and each doc_id in it that occurs in other classes too."""
+    ends = [f(c).alias(f"{n}{c}") for n, f in (("lo_", F.min), ("hi_", F.max)) for c in ("c1", "c2")]
+    several = scratch.save(named.groupBy("doc_id").agg(*ends).filter("lo_c1 <> hi_c1 or lo_c2 <> hi_c2").select("doc_id"), name)
+    held = named.join(small(several), "doc_id", "left_semi").select("doc_id", "c1", "c2").distinct()
+    return held.join(classes.select("c1", "c2", "cid"), ["c1", "c2"]).select(F.col("cid").alias("a"), F.col("doc_id").alias("b"))
+
+
 def _sets(docs: DataFrame, ids: DataFrame, scratch: Scratch, name: str, k: int) -> DataFrame:
-    """doc_id, items (the full shingle sets, made again for these documents alone) and their parity bitmaps."""
+    """doc_id, name, items (the full shingle sets, made again for these documents alone) and their parity bitmaps; none for empty sets."""
 
     def fn(batch):
         sets = list(shingle_sets(batch.column("text"), k))
+        name = np.array([set_name(x) for x in sets], U64).reshape(-1, 2).view(np.int64)
         off = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
         parity = np.concatenate([_parity(mix(x), SET_BITS) for x in sets])
-        yield pa.Table.from_arrays([batch.column("doc_id"), list_array(np.concatenate(sets).view(np.int64), off, pa.int64()), list_array(parity, np.arange(len(sets) + 1) * _SET_LANES, pa.int64())], ["doc_id", "items", "parity"])
+        yield pa.Table.from_arrays([batch.column("doc_id"), pa.array(name[:, 0]), pa.array(name[:, 1]), list_array(np.concatenate(sets).view(np.int64), off, pa.int64()), list_array(parity, np.arange(len(sets) + 1) * _SET_LANES, pa.int64())], ["doc_id", "c1", "c2", "items", "parity"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(small(ids), "doc_id", "left_semi")
-    return scratch.save(map_arrow(texts, fn, "doc_id long, items array<long>, parity array<long>"), name)
+    return scratch.save(map_arrow(texts, fn, "doc_id long, c1 long, c2 long, items array<long>, parity array<long>").filter(F.size("items") > 0), name)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str, percent: int) -> DataFrame:

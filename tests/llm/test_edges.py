@@ -75,6 +75,21 @@ def test_near_duplicates_in_round_two(spark):
     assert got == {i: find(i) for i in sets}
 
 
+def test_near_duplicates_of_one_id_with_several_texts(spark):
+    """Rows of one doc_id are one document: its texts' classes are one component, and unlike texts hide no link."""
+    b, c = "red green blue white black brown pink grey", "far away over the hills and seas it lies"
+    rows = [(5, A), (5, b), (3, b), (9, A), (7, c), (8, c), (8, "x " + b + " y z " + c), (20, A + " q"), (20, ""), (21, "t " + A), (21, "")]
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in near_dedup.near_duplicates(docs_of(spark, rows)).collect()}
+    assert got[5, 8] == got[5, 4] == (3, False) and got[3, 4] == (3, True) and got[9, 8] == (3, False)
+    assert {v for (i, _), v in got.items() if i == 8} == {(7, False)} and got[7, 5] == (7, True)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(f"{w}_{i}" if j % 20 == 0 and j < 20 * i else w for j, w in enumerate(words))) for i in range(12)]
+    want = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs_of(spark, rows)).collect()}
+    more = rows + [(i, " ".join(f"u{i}x{j}" for j in range(400))) for i in range(12)]
+    got = near_dedup.near_duplicates(docs_of(spark, more)).collect()
+    assert len(got) == 24 and {(r.doc_id, r.component_id) for r in got} == set(want.items())
+
+
 def test_line_dedup(docs, none):
     out = drop_repeated_lines(docs)
     assert out.columns == docs.columns and out.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
