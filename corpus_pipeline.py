@@ -45,9 +45,12 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
-    hits = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("n_hit > 0").select("doc_id")
-    return _but(docs, Scratch(spark, "clean").save(hits, "gone"))
+    """Documents in which no window of a benchmark item occurs; rows of one doc_id, or of none, are judged one by one."""
+    hits = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("n_hit > 0")
+    hits = hits.select(F.col("doc_id").alias("__gone_id"), F.col("text_h").alias("__gone_h")).distinct()
+    gone = Scratch(spark, "clean").save(hits, "gone")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__gone_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__gone_h"))
+    return docs.join(small(gone), same, "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow, small
+from .common import Scratch, map_arrow, row_key, small
 from .text import ALNUM, LOWER, U64, bounds, pieces, shingles, words
 
 #: log2 of the bits of the bitmap that tasks get: 2 MB, whatever the benchmark's size.
@@ -92,8 +92,14 @@ def _counts(docs: DataFrame, hashes: DataFrame, sizes: list[int]) -> DataFrame:
     return map_arrow(docs.select(F.col("text").cast("string")), fn, "h long, n long").groupBy("h").agg(F.sum("n").alias("freq"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """text and the parts of its row's key."""
+    key = row_key(F.col("text").cast("string"), F.col("doc_id").cast("long"))
+    return docs.select(key["doc_id"].alias("doc_id"), key["h"].alias("text_h"), F.col("text").cast("string"))
+
+
 def _places(docs: DataFrame, hashes: DataFrame, sizes: list[int], size: int) -> DataFrame:
-    """doc_id, n_words and, for each place of a prefix token, its hash, word number, and the words around with the first's number."""
+    """doc_id, text_h, n_words and, for each place of a prefix token, its hash, word number, and the words around with the first's number."""
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(hashes))
     hit = pa.struct([("h", pa.int64()), ("at", pa.int32()), ("first", pa.int32()), ("around", pa.string())])
 
@@ -114,13 +120,16 @@ def _places(docs: DataFrame, hashes: DataFrame, sizes: list[int], size: int) ->
                 around = b" ".join(low[start[y] : end[y]] for y in range(a, b)).decode("utf-8", "replace")
                 hits.append({"h": int(hashed[x]), "at": int(p - at[r]), "first": int(a - at[r]), "around": around})
             ends += (ends[-1] + np.cumsum(np.bincount(row[place], minlength=j - i))).tolist()
-        yield pa.Table.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(n_words), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hits, hit))], ["doc_id", "n_words", "hits"])
+        yield pa.Table.from_arrays([batch.column("doc_id"), batch.column("text_h"), pa.array(np.concatenate(n_words), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hits, hit))], ["doc_id", "text_h", "n_words", "hits"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), fn, "doc_id long, n_words long, hits array<struct<h:bigint,at:int,first:int,around:string>>")
+    return map_arrow(_keyed(docs), fn, "doc_id long, text_h long, n_words long, hits array<struct<h:bigint,at:int,first:int,around:string>>")
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10, k: int = 5) -> DataFrame:
-    """doc_id, n_words, n_hit (words in an occurrence of a window), item_ids (those with one, sorted) for each row of docs."""
+    """doc_id, n_words, n_hit (words in an occurrence of a window), item_ids (those with one, sorted), text_h for each row of docs.
+
+    doc_id and text_h are the row's key (see ``row_key``).
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "windows")
     found = scratch.save(item_windows(items, size, k), "items")
@@ -128,8 +137,8 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, k: int = 5)
     tokens = windows.select("window", "n", "w", F.explode(F.arrays_zip("h", "place")).alias("t")).select("window", "n", "w", "t.h", "t.place")
     sizes = sorted(r.w for r in tokens.select("w").distinct().collect())  # at most k values
     if not sizes:
-        none = map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _only_words, "doc_id long, n_words long")
-        return none.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"))
+        none = map_arrow(_keyed(docs), _only_words, "doc_id long, n_words long, text_h long")
+        return none.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"), "text_h")
     counts = scratch.save(_counts(docs, tokens.select("h").distinct(), sizes), "counts")
     ranked = tokens.join(counts, "h").groupBy("window", "n", "w").agg(F.min(F.struct("freq", "place", "h")).alias("rarest"), F.count("*").alias("there"))
     prefix = ranked.filter(F.col("there") == F.col("n") - F.col("w") + 1).select("window", "n", "rarest.h", "rarest.place")
@@ -150,11 +159,11 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, k: int = 5)
     by_item = hits.select("row", "window").distinct().join(small(found.select("window", "item_id").distinct(), weight=F.octet_length("window") + F.coalesce(F.octet_length("item_id"), F.lit(0))), "window").filter("item_id is not null")
     listed = by_item.select("row", "item_id").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"))
     marks = scratch.save(covered.join(listed, "row", "left"), "marks")
-    out = rows.select("doc_id", "n_words", "row").join(small(marks, weight=24 + F.coalesce(F.length(F.array_join("item_ids", ",")), F.lit(0))), "row", "left")
+    out = rows.select("doc_id", "n_words", "row", "text_h").join(small(marks, weight=24 + F.coalesce(F.length(F.array_join("item_ids", ",")), F.lit(0))), "row", "left")
     scratch.drop("counts", "prefix", "hits", "items")
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), "text_h")
 
 
 def _only_words(batch):
     counts = [np.bincount(words(buf, off, ALNUM)[2], minlength=j - i) for i, j, buf, off in pieces(batch.column("text"))]
-    yield pa.Table.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(counts).astype(np.int64))], ["doc_id", "n_words"])
+    yield pa.Table.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(counts).astype(np.int64)), batch.column("text_h")], ["doc_id", "n_words", "text_h"])

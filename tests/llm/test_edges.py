@@ -197,3 +197,13 @@ def test_pipeline(spark, docs, none, labels, tmp_path):
                 now = spark.createDataFrame(out.collect(), rows.schema)
             else:
                 assert {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns) and out.select("doc_id").distinct().count() == now.select("doc_id").distinct().count()
+
+
+def test_benchmark_rows_are_dropped_one_by_one(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    spark.createDataFrame([("i", A)], "item_id string, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    clean = "nothing of it is here"
+    df = docs_of(spark, [(None, A), (None, clean), (None, None), (20, "so " + A), (20, clean), (20, None), (21, A), (22, clean)])
+    got = [(r.doc_id, r.text) for r in pipeline.without_benchmark(spark, df, f"file://{tmp_path}").collect()]
+    assert sorted(got, key=str) == sorted([(None, clean), (None, None), (20, clean), (20, None), (22, clean)], key=str)
