@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import hq_label
@@ -57,8 +57,8 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates from pages: names of four kinds, urls in three columns, some empty."""
+def candidates(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """Candidates from pages: names of four kinds, urls in three columns, some empty; and more columns of the scan."""
     p, i = table(spark, sf_dir, "pages"), F.col("page_id")
     labels = F.split(F.regexp_extract("url", r"^https?://([^/?#]+)", 1), r"\.")
     name = (
@@ -73,6 +73,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 5 == 0, F.col("url")).otherwise("").alias("website"),
         F.when((i % 5).isin(1, 2) & (i % 7 != 0), F.col("url")).otherwise("").alias("validated_url"),
         F.when(i % 7 == 0, "").otherwise(F.col("url")).alias("raw_url"),
+        *more,
     )
 
 

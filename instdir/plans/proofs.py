@@ -148,8 +148,8 @@ def card(spark, sf_dir):
 _CAND = ("candidates", "clean")
 
 
-def _clean(spark, sf_dir) -> DataFrame:
-    return clean.clean_candidates(ad.candidates(spark, sf_dir))
+def _clean(spark, sf_dir, *more: Column) -> DataFrame:
+    return clean.clean_candidates(ad.candidates(spark, sf_dir, *more))
 
 
 def _typed(spark, sf_dir) -> DataFrame:
@@ -423,7 +423,8 @@ def run_tally(spark, sf_dir):
 
 @proof(f"SELECT count(*) AS n_rows, CAST(1 AS BIGINT) AS n_files, count(*) FILTER (WHERE {_PAN}) AS n_flagged FROM clean", *_CAND)
 def flag_count(spark, sf_dir):
-    return facets.totals(_clean(spark, sf_dir).withColumn("pan_india", F.expr(_PAN)), "pan_india")
+    rows = _clean(spark, sf_dir, F.col("_metadata.file_path").alias("file"))
+    return facets.totals(rows.withColumn("pan_india", F.expr(_PAN)), "pan_india", F.col("file"))
 
 
 @proof(

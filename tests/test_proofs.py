@@ -23,3 +23,9 @@ def test_whole_directory_in_order(spark, sf_dir):
     got = [r.id for r in QUERIES["order_directory_all"](spark, sf_dir).collect()]
     assert len(got) == spark.read.parquet(f"{sf_dir}/orders.parquet").count() > 100 and got == want
     assert got[:100] == [r.id for r in QUERIES["order_directory"](spark, sf_dir).collect()]
+
+
+def test_flag_count_counts_files(spark, sf_dir, tmp_path):
+    spark.read.parquet(f"{sf_dir}/pages.parquet").repartition(3).write.parquet(f"file://{tmp_path}/pages.parquet")
+    one, three = (QUERIES["flag_count"](spark, d).first() for d in (sf_dir, f"file://{tmp_path}"))
+    assert one.n_files == 1 and three.n_files == 3 and (one.n_rows, one.n_flagged) == (three.n_rows, three.n_flagged)
