@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import os
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,7 +14,6 @@ from pyspark.sql import functions as F
 from ..sources.scratch import fresh
 from .text import pieces
 
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Bytes of an Arrow batch at most: what a task holds in the JVM and in Python doesn't grow with long texts.
 BATCH_BYTES, _BATCH = 2 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Workers are kept for the next task; so they give what arrays took back to the system (environment of the allocators).
@@ -21,6 +22,48 @@ _MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MAL
 BROADCAST_ROWS = 200_000
 #: And, where a row's size isn't fixed, at most so many bytes.
 BROADCAST_BYTES = 32 << 20
+#: Rows of one key that a join leaves in one part, at least; and keys that are dealt out at most, which bounds their broadcast.
+PART_ROWS, DEALT_KEYS = 500, 50_000
+_ready: dict[str, str] = {}
+
+
+def prepare(spark: SparkSession) -> None:
+    """What the operators need of a session, once for each: the only place that changes one.
+
+    The package goes to the executors as a zip through the shared folder and Spark's own files, so they need no copy of the
+    sources. Arrow's bytes a batch and the workers' allocator variables are set only where the user has not set them.
+    """
+    sc = spark.sparkContext
+    if _ready.get("app") != sc.applicationId:
+        for name, value in _MEMORY.items():
+            sc.environment.setdefault(name, value)
+        sc.addPyFile(_shipped(spark))
+        _ready["app"] = sc.applicationId
+    if not spark.conf.isModifiable(_BATCH) or spark.conf.get(_BATCH) != _default(spark, _BATCH):
+        return
+    spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+
+
+def _default(spark: SparkSession, key: str) -> str:
+    return spark._jvm.org.apache.spark.sql.internal.SQLConf().getConfString(key)
+
+
+def _shipped(spark: SparkSession) -> str:
+    """The path of a zip of this package's sources in the shared folder."""
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    path = f"{fresh(spark, 'code')}/instdir.zip"
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(to)
+    stream.write(out.getvalue())
+    stream.close()
+    return path
 
 
 class Scratch:
@@ -56,14 +99,58 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = Non
     return F.broadcast(df) if n <= rows and size <= BROADCAST_BYTES else df
 
 
-def join_spread(left: DataFrame, right: DataFrame, key: str, scratch: Scratch, name: str, per_part: int = 500) -> DataFrame:
-    """left.join(right, key) with the rows of a frequent key of left dealt out in parts; right's row of it goes to each."""
-    heavy = left.groupBy(key).agg(F.ceil(F.count("*") / per_part).cast("int").alias("__parts")).filter("__parts > 1")
-    heavy = small(scratch.save(heavy, name))
-    parts = F.coalesce("__parts", F.lit(1))
-    dealt = left.join(heavy, key, "left").withColumn("__part", F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop("__parts")
-    copied = right.join(heavy, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
-    return dealt.join(copied, [key, "__part"]).drop("__part")
+class Dealt:
+    """A join whose frequent keys are dealt out: rows of the left side by a hash, the right side's rows of the key to each part.
+
+    counts has the key columns and n, how many rows of the left side have them (no less). Each part has about ``per_part``
+    rows of the left side; at most DEALT_KEYS keys are dealt, else parts are larger, so what is broadcast is bounded.
+    """
+
+    def __init__(self, counts: DataFrame, on: list[str], scratch: Scratch, name: str, per_part: int = PART_ROWS):
+        self.on, self.heavy = on, None
+        over = F.col("n") > per_part
+        rows, total = counts.agg(F.count_if(over), F.sum(F.when(over, F.col("n")))).first()
+        if rows:
+            per_part = max(per_part, -(-total // DEALT_KEYS))
+            heavy = counts.filter(F.col("n") > per_part).select(*on, F.ceil(F.col("n") / per_part).cast("int").alias("__parts"))
+            self.heavy = F.broadcast(scratch.save(heavy, name))
+
+    def left(self, df: DataFrame, by: list[str]) -> DataFrame:
+        """df with the part of each row: by these columns and by where the row lies, so that equal rows part too."""
+        if self.heavy is None:
+            return df.withColumn("__part", F.lit(0))
+        salt = F.pmod(F.xxhash64(*by, F.spark_partition_id()), F.coalesce("__parts", F.lit(1))).cast("int")
+        return df.join(self.heavy, self.on, "left").withColumn("__part", salt).drop("__parts")
+
+    def right(self, df: DataFrame) -> DataFrame:
+        """df with each row once for every part of its key."""
+        if self.heavy is None:
+            return df.withColumn("__part", F.lit(0))
+        last = F.coalesce("__parts", F.lit(1)) - 1
+        return df.join(self.heavy, self.on, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), last))).drop("__parts")
+
+    def join(self, left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+        if self.heavy is None:
+            return left.join(right, self.on, how)
+        return self.left(left, by).join(self.right(right), [*self.on, "__part"], how).drop("__part")
+
+
+def join_spread(left: DataFrame, right: DataFrame, on: str | list[str], scratch: Scratch, name: str, by: list[str] | None = None, how: str = "inner", per_part: int = PART_ROWS) -> DataFrame:
+    """left.join(right, on, how) with the rows of a frequent key of left dealt out in parts; right's rows of it go to each.
+
+    Key columns hold no null. ``by`` are columns of left that part a key's rows (all, if not given).
+    """
+    on = [on] if isinstance(on, str) else on
+    counts = left.groupBy(*on).agg(F.count("*").alias("n"))
+    return Dealt(counts, on, scratch, name, per_part).join(left, right, by or left.columns, how)
+
+
+def lookup(left: DataFrame, right: DataFrame, on: str | list[str], scratch: Scratch, name: str, by: list[str] | None = None, how: str = "inner", weight: Column | None = None, rows: int | None = None) -> DataFrame:
+    """left.join(right, on, how) for a written table ``right``: broadcast if it is counted small, else with frequent keys dealt out."""
+    hinted = small(right, BROADCAST_ROWS if rows is None else rows, weight)
+    if hinted is not right:
+        return left.join(hinted, on, how)
+    return join_spread(left, right, on, scratch, name, by, how)
 
 
 def _parts(batch: pa.RecordBatch, by: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
@@ -77,19 +164,8 @@ def _parts(batch: pa.RecordBatch, by: str, limit: int = 2 << 20) -> Iterator[pa.
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Table | pa.RecordBatch]], schema: str, by: str = "text") -> DataFrame:
-    """Arrow batches through fn, at most about BATCH_BYTES each; one with larger texts in column ``by`` is cut by their size.
-
-    Workers look for this package where the driver has it.
-    """
-    env = df.sparkSession.sparkContext.environment
-    for name, value in _MEMORY.items():
-        env.setdefault(name, value)
-    if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, [env.get("PYTHONPATH")])])
-
-    conf = df.sparkSession.conf
-    if conf.get(_BATCH) != f"{BATCH_BYTES}b":
-        conf.set(_BATCH, f"{BATCH_BYTES}b")
+    """Arrow batches through fn, at most about BATCH_BYTES each; one with larger texts in column ``by`` is cut by their size."""
+    prepare(df.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -105,6 +181,27 @@ def row_key(text: Column, doc_id: Column) -> Column:
     return F.struct(doc_id.alias("doc_id"), F.xxhash64(text).alias("h"))
 
 
+#: Columns of a row's key that hold no null, for joins.
+KEY = ["__no_id", "__id", "__h"]
+
+
+def key_columns(doc_id: Column, h: Column) -> list[Column]:
+    """The parts of a row's key as KEY."""
+    doc_id = doc_id.cast("long")
+    return [doc_id.isNull().alias(KEY[0]), F.coalesce(doc_id, F.lit(0)).alias(KEY[1]), h.alias(KEY[2])]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with KEY of each row."""
+    return docs.select(*docs.columns, *key_columns(F.col("doc_id"), F.xxhash64(F.col("text").cast("string"))))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """docs without the rows whose key is in the written table gone(doc_id, h)."""
+    gone = scratch.save(gone.select(*key_columns(F.col("doc_id"), F.col("h"))).distinct(), f"{name}-keys")
+    return lookup(keyed(docs), gone, KEY, scratch, f"{name}-heavy", by=KEY, how="left_anti").select(*docs.columns)
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, mod n; null stays null."""
     return (F.crc32(doc_id.cast("string").cast("binary")) % n).cast("int")

@@ -14,15 +14,21 @@ The plan keeps runs of sequences that are alike, so it doesn't grow with the cor
 of its length, from windows over (length, salt) parts and the counts of the parts before; the number names its place.
 No length, however common, is in one part.
 
-Tokenising a corpus spends nearly all its time on words seen before, so each Python worker keeps the ids of lower-cased
-word parts that can't influence one another; texts where that isn't sure (special strings, final sigma) are encoded whole.
-
-Defined cases: null and empty texts are the closing id alone; repeated rows are packed once each; a null doc_id stays
-null; an empty table gives an empty result; other columns are not looked at.
+Tokenising a corpus spends nearly all its time on words seen before, so each Python worker keeps the bytes and ids of
+lower-cased word parts that can't influence one another. They are found by a hash and their bytes compared; texts where a
+hash is shared, and those whose parts may matter to one another (special strings, final sigma), are encoded whole. The
+vocabulary is sent to the tasks as text, so only the driver needs its file.
+
+Defined cases: null and empty texts are the closing id alone; a very long text gives as many pieces as it needs, and a word
+of any length is encoded as it is; repeated rows are packed once each; a null doc_id stays null; an empty table gives an
+empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import os
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -30,33 +36,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, map_arrow
-from .text import LOWER, NONSPACE, hash_spans, pieces, spans
+from .text import LOWER, NONSPACE, hash_spans, pieces, same_spans, spans
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[97:123] = True
 _MARK = NONSPACE.copy()
 _MARK[97:123] = _MARK[128:] = False
-#: Words whose ids a worker keeps at most; beyond that it starts anew.
-CACHE_WORDS = 500_000
+#: Words whose ids a worker keeps at most, and their bytes; beyond that it starts anew.
+CACHE_WORDS, CACHE_BYTES = 500_000, 32 << 20
 _tokenizers: dict[str, "WordTokenizer"] = {}
 
 
-class WordTokenizer:
-    """Ids of whole texts, from remembered ids of their parts."""
+def _grown(a: np.ndarray, n: int) -> np.ndarray:
+    """a, or as much again and more, with room for n."""
+    while len(a) < n:
+        a = np.concatenate([a, np.zeros_like(a)])
+    return a
 
-    def __init__(self, path: str):
-        import os
 
+class WordTokenizer:
+    """Ids of whole texts, from remembered ids of their parts. ``vocabulary`` is the text of a tokenizer's file."""
+
+    def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(vocabulary)
         self.model = self.tokenizer.model
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, and whose ids they have
         self.ids, self.off = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64)
+        self.bytes, self.byte_off = np.zeros(1 << 20, np.uint8), np.zeros(1 << 18, np.int64)
 
     def _learn(self, hashes: np.ndarray, parts: list[bytes]) -> None:
         plain = [i for i, p in enumerate(parts) if p.isalpha()]
@@ -66,44 +78,63 @@ class WordTokenizer:
             got[i] = [t.id for t in self.model.tokenize(parts[i].decode())]
         for i, e in zip(other, self.tokenizer.encode_batch([parts[i].decode("utf-8", "replace") for i in other], add_special_tokens=False), strict=True):
             got[i] = e.ids
-        lens = np.array([len(x) for x in got])
         n, k = len(self.keys), len(got)
-        flat = np.fromiter((t for x in got for t in x), np.uint32, int(lens.sum()))
-        at = self.off[n]
-        while len(self.ids) < at + len(flat):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while len(self.off) < n + k + 1:
-            self.off = np.concatenate([self.off, np.zeros_like(self.off)])
-        self.ids[at : at + len(flat)] = flat
-        self.off[n + 1 : n + k + 1] = at + np.cumsum(lens)
+        self.ids, self.off = self._kept(self.ids, self.off, n, [len(x) for x in got], np.fromiter((t for x in got for t in x), np.uint32))
+        self.bytes, self.byte_off = self._kept(self.bytes, self.byte_off, n, [len(p) for p in parts], np.frombuffer(b"".join(parts), np.uint8))
         at = np.searchsorted(self.keys, hashes)
         self.keys, self.place = np.insert(self.keys, at, hashes), np.insert(self.place, at, np.arange(n, n + k))
 
-    def encode(self, buf: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of each text, closed by end_id, one after another, and where each text's begin."""
-        n = len(off) - 1
-        whole = self._whole(buf, off)
-        low = LOWER[buf]
-        inside = NONSPACE[buf]
+    @staticmethod
+    def _kept(data: np.ndarray, off: np.ndarray, n: int, lens: list[int], more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """data and off with the next values after n of them; eight places stay spare."""
+        at, off = off[n], _grown(off, n + len(lens) + 1)
+        data = _grown(data, at + len(more) + 8)
+        data[at : at + len(more)] = more
+        off[n + 1 : n + len(lens) + 1] = at + np.cumsum(lens)
+        return data, off
+
+    def _parts(self, low: np.ndarray, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of what lies between white space and before marks that follow a letter."""
         cut = np.flatnonzero(_LETTER[low[:-1]] & _MARK[low[1:]]) + 1 if len(low) > 1 else np.zeros(0, np.int64)
-        start, end, row = spans(inside, off)
+        start, end, _ = spans(NONSPACE[buf], off)
         cut = cut[~np.isin(cut, off)]
-        start, end = np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
-        row = np.searchsorted(off, start, "right") - 1
-        if whole:
-            keep = ~np.isin(row, list(whole))
-            start, end, row = start[keep], end[keep], row[keep]
-        h = hash_spans(low, start, end)
-        found, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.keys) + len(found) > CACHE_WORDS:
+        return np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
+
+    def _looked_up(self, low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each part which remembered word it is, and whether the bytes are the same too."""
+        padded, size = np.concatenate([low, np.zeros(8, np.uint8)]), end - start
+        found, first, back = np.unique(hash_spans(low, start, end), return_index=True, return_inverse=True)
+        same = (size == size[first][back]) & same_spans(low, start, end, padded, start[first][back])
+        if len(self.keys) + len(found) > CACHE_WORDS or self.byte_off[len(self.keys)] > CACHE_BYTES:
             self.clear()
         at = np.searchsorted(self.keys, found)
         new = np.flatnonzero(np.append(self.keys, np.uint64(0))[at] != found) if len(self.keys) else np.arange(len(found))
         if len(new):
             data = low.tobytes()
             self._learn(found[new], [data[start[first[i]] : end[first[i]]] for i in new.tolist()])
-        known = self.place[np.searchsorted(self.keys, found)]
-        word = known[back] if len(back) else np.zeros(0, np.int64)
+        word = self.place[np.searchsorted(self.keys, found)]
+        order = np.argsort(first)
+        one, held = first[order], word[order]
+        known = (size[one] == (self.byte_off[held + 1] - self.byte_off[held])) & same_spans(low, start[one], end[one], self.bytes, self.byte_off[held])
+        sure = np.empty(len(found), dtype=bool)
+        sure[order] = known
+        return word[back], same & sure[back]
+
+    def encode(self, buf: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each text, closed by end_id, one after another, and where each text's begin."""
+        n, low = len(off) - 1, LOWER[buf]
+        start, end = self._parts(low, buf, off)
+        row = np.searchsorted(off, start, "right") - 1
+        alone = self._entangled(buf, off)
+        keep = ~np.isin(row, alone)
+        start, end, row = start[keep], end[keep], row[keep]
+        word = np.zeros(0, np.int64)
+        if len(start):
+            word, sure = self._looked_up(low, start, end)
+            alone = np.union1d(alone, row[~sure])
+            keep = ~np.isin(row, alone)
+            row, word = row[keep], word[keep]
+        whole = {int(r): self.tokenizer.encode(buf[off[r] : off[r + 1]].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids for r in alone}
         lens = self.off[word + 1] - self.off[word]
         size = np.bincount(row, lens, minlength=n).astype(np.int64) + 1
         for r, ids in whole.items():
@@ -120,22 +151,27 @@ class WordTokenizer:
             out[begin[r] : begin[r + 1] - 1] = ids
         return out, begin
 
-    def _whole(self, buf: np.ndarray, off: np.ndarray) -> dict[int, list[int]]:
-        """Ids of texts whose parts may influence one another, by row."""
+    @staticmethod
+    def _entangled(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Rows of texts whose parts may influence one another."""
+        if len(buf) < 2:
+            return np.zeros(0, np.int64)
         odd = ((buf[:-1] == 0x3C) & (buf[1:] == 0x7C)) | ((buf[:-1] == 0xCE) & (buf[1:] == 0xA3))
-        rows = np.unique(np.searchsorted(off, np.flatnonzero(odd), "right") - 1) if len(buf) > 1 else []
-        return {int(r): self.tokenizer.encode(buf[off[r] : off[r + 1]].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids for r in rows}
+        return np.unique(np.searchsorted(off, np.flatnonzero(odd), "right") - 1)
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length and ids (little-endian unsigned 32-bit) of each piece of each whole text."""
+    with open(path, encoding="utf-8") as file:
+        text = file.read()
+    name, shared = f"{zlib.crc32(text.encode())}-{len(text)}", docs.sparkSession.sparkContext.broadcast(text)
 
     def fn(batch):
-        if path not in _tokenizers:
-            _tokenizers[path] = WordTokenizer(path)
+        if name not in _tokenizers:
+            _tokenizers[name] = WordTokenizer(shared.value)
         doc_id = batch.column("doc_id")
         for i, j, buf, off in pieces(batch.column("text"), 1 << 20):
-            ids, begin = _tokenizers[path].encode(buf, off, end_id)
+            ids, begin = _tokenizers[name].encode(buf, off, end_id)
             size = np.diff(begin)
             count = -(-size // capacity)
             row = np.repeat(np.arange(j - i), count)
@@ -291,29 +327,38 @@ def best_plan(counts: np.ndarray, capacity: int, shares: tuple[float, ...] = (0.
     return min((linear_grouping(counts, capacity, smallest=s) for s in shares), key=lambda plan: plan.sequences)
 
 
-def pack(items: DataFrame, order: list[str], capacity: int = 4096, salts: int = 64) -> DataFrame:
+def pack(items: DataFrame, row: str, capacity: int = 4096, least_part: int = 500) -> DataFrame:
     """items with sequence_id and offset: no sequence longer than capacity, its items without gaps from 0.
 
-    ``length`` is between 1 and capacity; ``order`` names columns that tell items apart. Use more salts where one length
-    has more rows than 64 tasks can sort. Columns sequence_id and offset that items has already give way.
+    ``length`` is between 1 and capacity; ``row`` names a column of unique numbers, which stay the same when a task is run
+    again (a written table's). The items of a length are numbered in parts, dealt by these numbers: a part has about
+    ``least_part`` items or, in a large table, a ten-thousandth of all, so there are at most capacity + 10,000 parts.
+    Columns sequence_id and offset that items has already give way.
     """
     items = items.drop("sequence_id", "offset")
-    salted = items.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
-    parts = np.zeros((capacity + 1, salts), np.int64)
-    for length, salt, n in salted.groupBy("length", "_salt").count().collect():  # at most capacity * salts rows
-        parts[length, salt] = n
-    runs = best_plan(parts.sum(axis=1), capacity).table()
-    before = (np.cumsum(parts.ravel()) - parts.ravel()).reshape(parts.shape)
-    shared, names = items.sparkSession.sparkContext.broadcast((before, runs)), items.columns
+    counts = np.zeros(capacity + 1, np.int64)
+    for length, n in items.groupBy("length").count().collect():  # at most capacity rows
+        counts[length] = n
+    salts = np.maximum(1, -(-counts // max(least_part, int(counts.sum()) // 10_000)))
+    of = items.sparkSession.createDataFrame([(i, int(n)) for i, n in enumerate(salts) if counts[i]], "length long, __salts long")
+    salted = items.join(F.broadcast(of), "length").withColumn("__salt", F.pmod(F.xxhash64(row), F.col("__salts")))
+    parts = sorted((length, salt, n) for length, salt, n in salted.groupBy("length", "__salt").count().collect())
+    place = np.concatenate([[0], np.cumsum(salts)])  # of each length's first part
+    number = np.zeros(place[-1], np.int64)
+    for length, salt, n in parts:
+        number[place[length] + salt] = n
+    before = np.cumsum(number) - number
+    runs = best_plan(counts, capacity).table()
+    shared, names = items.sparkSession.sparkContext.broadcast((place, before, runs)), items.columns
 
     def fn(batch):
-        before, runs = shared.value
-        number = before[batch.column("length").to_numpy(), batch.column("_salt").to_numpy()] + batch.column("_nth").to_numpy() - 1
+        place, before, runs = shared.value
+        number = before[place[batch.column("length").to_numpy()] + batch.column("__salt").to_numpy()] + batch.column("__nth").to_numpy() - 1
         first, each, length, sequence, offset = runs[np.searchsorted(runs[:, 0], number, "right") - 1].T
         at = number - first
         yield pa.Table.from_arrays([*(batch.column(c) for c in names), pa.array(sequence + at // each), pa.array(offset + at % each * length)], [*names, "sequence_id", "offset"])
 
-    numbered = salted.withColumn("_nth", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)))
+    numbered = salted.withColumn("__nth", F.row_number().over(Window.partitionBy("length", "__salt").orderBy(row)))
     schema = T.StructType([*items.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return map_arrow(numbered, fn, schema)
 
@@ -322,4 +367,5 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece of docs(doc_id, text, ...)."""
     scratch = Scratch(docs.sparkSession, "packing")
     cut = token_pieces(docs, path, capacity, end_id).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return pack(scratch.save(cut, "pieces"), ["doc_id", "piece", "ids_crc32", "start"], capacity)
+    cut = scratch.save(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    return pack(cut, "row", capacity).drop("row")

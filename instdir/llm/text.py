@@ -36,20 +36,12 @@ ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 NONSPACE = np.ones(256, dtype=bool)
 NONSPACE[9:14] = NONSPACE[32] = False
 
-_BYTE = seeds(256, 11)
-_BASE = U64(0xD6E8FEB86659FD93)
-_INVERSE = U64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 _WITHIN = seeds(64, 23) | U64(1)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    """base ** i for i < n, kept for the next batch."""
-    if len(_powers.get(name, ())) < n:
-        table = np.full(n, base, dtype=U64)
-        table[0] = 1
-        _powers[name] = np.multiply.accumulate(table)
-    return _powers[name][:n]
+#: Two unrelated hash functions over the same bytes; together they name things by 128 bits.
+FIRST, SECOND = 11, 13
+_STEP = U64(0xD6E8FEB86659FD93)
+#: The first n of eight bytes.
+_HEAD = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=U64)
 
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,26 +80,63 @@ def spans(is_in: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return start, end, np.searchsorted(off, start, "right") - 1
 
 
-def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 19) -> np.ndarray:
-    """64-bit hash of each span of bytes (in order, apart), from prefix sums of a polynomial.
+def _eights(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each span as numbers of eight bytes, the last filled with zeros: the numbers, each one's place in its span, and where spans begin."""
+    count = np.maximum(-(-(end - start) // 8), 1)
+    first = np.cumsum(count) - count
+    place = np.arange(first[-1] + count[-1]) - np.repeat(first, count)
+    at = np.repeat(start, count) + 8 * place
+    filled = np.concatenate([buf, np.zeros(8, np.uint8)])
+    every = np.ndarray((len(buf) + 1,), "<u8", filled, strides=(1,))  # the eight bytes from each place on
+    return every[at] & _HEAD[np.clip(np.repeat(end, count) - at, 0, 8)], place, first
 
-    Sums are over blocks of bytes, so that a very long text takes no more than its own size in them.
-    """
-    out, i = np.empty(len(start), dtype=U64), 0
+
+def _blocks(start: np.ndarray, end: np.ndarray, block: int) -> Iterator[tuple[int, int]]:
+    """Runs of spans over about ``block`` bytes, so that a very long text takes no more than its own size at once."""
+    i = 0
     while i < len(start):
         j = max(i + 1, int(np.searchsorted(end, start[i] + block, "right")))
-        part, s, e = buf[start[i] : end[j - 1]], start[i:j] - start[i], end[i:j] - start[i]
-        sums = np.zeros(len(part) + 1, dtype=U64)
-        np.cumsum(_BYTE[part] * _power("up", _BASE, len(part)), out=sums[1:])
-        out[i:j] = mix((sums[e] - sums[s]) * _power("down", _INVERSE, len(part) + 1)[s] + (e - s).astype(U64))
+        yield i, j
         i = j
+
+
+def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 19, seed: int = FIRST) -> np.ndarray:
+    """64-bit hash of each span of bytes (in order, apart): the sum of the scrambled eights, each with its place, and of the length.
+
+    Scrambling comes before the sum and is no polynomial, so spans of regular patterns don't cancel out.
+    """
+    out, key = np.empty(len(start), dtype=U64), seeds(1, seed)[0]
+    for i, j in _blocks(start, end, block):
+        part, s, n = buf[start[i] : end[j - 1]], start[i:j] - start[i], end[i:j] - start[i:j]
+        filled = np.concatenate([part, np.zeros(8, np.uint8)])
+        every = np.ndarray((len(part) + 1,), "<u8", filled, strides=(1,))
+        total = mix((every[s] & _HEAD[np.minimum(n, 8)]) ^ key)
+        long = np.flatnonzero(n > 8)
+        if len(long):
+            eight, place, first = _eights(part, s[long] + 8, (s + n)[long])
+            total[long] += np.add.reduceat(mix(mix(eight ^ key) + (place + 1).astype(U64) * _STEP), first)
+        total += n.astype(U64) * key
+        out[i:j] = mix(total)
+    return out
+
+
+def same_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, begin: np.ndarray, block: int = 1 << 19) -> np.ndarray:
+    """Whether each span of buf has the bytes that begin at a place of ``other``, which ends in eight spare bytes."""
+    out = np.empty(len(start), dtype=bool)
+    for i, j in _blocks(start, end, block):
+        eight, place, first = _eights(buf[start[i] : end[j - 1]], start[i:j] - start[i], end[i:j] - start[i])
+        count = np.diff(np.append(first, len(place)))
+        at = np.minimum(np.repeat(begin[i:j], count) + 8 * place, len(other) - 8)
+        filled = np.ndarray((len(other) - 7,), "<u8", other, strides=(1,))
+        left = np.clip(np.repeat(end[i:j] - start[i:j], count) - 8 * place, 0, 8)
+        out[i:j] = np.logical_and.reduceat((filled[at] & _HEAD[left]) == eight, first)
     return out
 
 
-def words(buf: np.ndarray, off: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(buf: np.ndarray, off: np.ndarray, kind: np.ndarray, seed: int = FIRST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end, row and hash of each word, A-Z lower-cased."""
     start, end, row = spans(kind[buf], off)
-    return start, end, row, hash_spans(LOWER[buf], start, end)
+    return start, end, row, hash_spans(LOWER[buf], start, end, seed=seed)
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -1,9 +1,11 @@
 import zlib
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from instdir.llm.common import Scratch, fold, join_spread, map_arrow, small
+from instdir.llm import common
+from instdir.llm.common import Dealt, Scratch, fold, join_spread, lookup, map_arrow, small, without_rows
 from instdir.llm.text import pieces
 
 
@@ -15,6 +17,54 @@ def test_frequent_keys_are_dealt_out(spark):
     assert got.filter("k = 7").agg(F.count_distinct("v")).first()[0] == 1 and set(got.columns) == {"k", "id", "v"}
 
 
+def test_equal_rows_of_a_frequent_key_part(spark):
+    """Equal rows differ by where they lie, so they don't all go to one part."""
+    left = spark.range(4000).select(F.lit(7).alias("k"), F.lit("same").alias("v")).repartition(8)
+    counts = left.groupBy("k").agg(F.count("*").alias("n"))
+    dealt = Dealt(counts, ["k"], Scratch(spark, "equal"), "heavy", per_part=500)
+    sizes = [r["count"] for r in dealt.left(left, ["k", "v"]).groupBy("__part").count().collect()]
+    assert len(sizes) > 2 and sum(sizes) == 4000
+    got = dealt.join(left, spark.createDataFrame([(7, "x"), (8, "y")], "k int, w string"), ["v"])
+    assert got.count() == 4000 and got.columns == ["k", "v", "w"]
+
+
+def test_number_of_dealt_keys_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(common, "DEALT_KEYS", 3)
+    left = spark.range(1000).select((F.col("id") % 10).alias("k"), "id")
+    dealt = Dealt(left.groupBy("k").agg(F.count("*").alias("n")), ["k"], Scratch(spark, "many"), "heavy", per_part=10)
+    assert dealt.heavy is None or dealt.heavy.count() <= 3
+    assert dealt.join(left, spark.range(10).withColumnRenamed("id", "k"), ["id"]).count() == 1000
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_lookup_is_the_same_both_ways(spark, how):
+    left = spark.range(3000).select((F.when(F.col("id") < 2000, 7).otherwise(F.col("id") % 50)).alias("k"), "id")
+    scratch = Scratch(spark, "lookup")
+    right = scratch.save(spark.range(5, 20).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")), "right")
+    near, far = (sorted(map(str, lookup(left, right, "k", scratch, f"heavy-{n}", by=["id"], how=how, rows=n).collect())) for n in (100, 0))
+    assert near == far == sorted(map(str, left.join(right, "k", how).collect()))
+
+
+def test_rows_are_dropped_by_their_key(spark):
+    docs = spark.createDataFrame([(None, "a", 1), (None, "b", 1), (0, "a", 1), (1, None, 1), (1, "a", 1), (1, "a", 2)], "doc_id long, text string, __id long")
+    docs = docs.withColumnRenamed("__id", "other")
+    gone = docs.filter("doc_id is null and text = 'a' or doc_id = 1 and text is null").select("doc_id", F.xxhash64("text").alias("h"))
+    left = without_rows(docs, gone, Scratch(spark, "rows"), "gone")
+    assert left.columns == docs.columns and sorted((r.doc_id, r.text) for r in left.collect() if r.doc_id is not None) == [(0, "a"), (1, "a"), (1, "a")] and left.filter("doc_id is null").count() == 1
+
+
+def test_session_settings(spark):
+    """Arrow's bytes a batch are set once, and a user's own value is left alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, "1m")
+    common.prepare(spark)
+    assert spark.conf.get(key) == "1m"
+    spark.conf.unset(key)
+    common.prepare(spark)
+    assert spark.conf.get(key) == f"{common.BATCH_BYTES}b"
+    assert any("instdir.zip" in f for f in spark.sparkContext._python_includes)
+
+
 def test_broadcasts_have_a_checked_size(spark):
     df = spark.range(10)
     hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()

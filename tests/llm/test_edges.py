@@ -50,8 +50,9 @@ def test_near_duplicates(docs, none):
     assert {c for _, c, _ in by[7]} == {6} and by[None] == {(8, None, True), (0, None, True)}
 
 
-def test_near_duplicates_in_round_two(spark):
-    """A link between two classes that their buckets' center has no link with."""
+@pytest.mark.parametrize("sigmas", [5.0, None])
+def test_near_duplicates_in_round_two(spark, sigmas):
+    """A link between two classes that their buckets' center has no link with; with bitmaps and without."""
     words = [f"w{i}" for i in range(400)]
     near = lambda step, n: " ".join(f"{w}_{i}" if i % step == 0 and i < n else w for i, w in enumerate(words))
     rows = [(i, near(20, 20 * i)) for i in range(12)]
@@ -71,7 +72,7 @@ def test_near_duplicates_in_round_two(spark):
             if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
-    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs_of(spark, rows)).collect()}
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs_of(spark, rows), sigmas=sigmas).collect()}
     assert got == {i: find(i) for i in sets}
 
 
@@ -90,6 +91,42 @@ def test_near_duplicates_of_one_id_with_several_texts(spark):
     assert len(got) == 24 and {(r.doc_id, r.component_id) for r in got} == set(want.items())
 
 
+def test_regular_words_are_no_copies(spark):
+    """Texts whose words collide under polynomial hashes stay two documents; so do texts that share one hash of two."""
+    from test_parts import thue_morse
+
+    for n in (1 << 11, 1 << 12):
+        x, y = thue_morse(n), thue_morse(n, "b", "a")
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs_of(spark, [(1, x), (2, y), (3, x + " b c"), (4, y + " b c")])).collect()}
+        assert got == {i: (1, i, True) for i in (1, 2, 3, 4)}
+
+
+def test_links_need_both_hashes(spark):
+    from instdir.llm.common import Scratch
+
+    scratch = Scratch(spark, "test")
+    sets = scratch.save(spark.createDataFrame([(1, [5, 6], [7, 8]), (2, [5, 6], [7, 8]), (3, [5, 6], [1, 2])], "cid long, items array<long>, others array<long>"), "sets")
+    pairs = spark.createDataFrame([(2, 1), (3, 1), (3, 2)], "a long, b long")
+    assert [tuple(r) for r in near_dedup._confirmed(pairs, sets, scratch, "links", 75).collect()] == [(2, 1)]
+
+
+@pytest.mark.parametrize("least", [None, 2])
+def test_near_copies_go_row_by_row(spark, monkeypatch, least):
+    """Each different (doc_id, text) is judged on its own; with ``least`` no side is broadcast and every key is dealt out."""
+    if least:
+        from instdir.llm import common
+
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(near_dedup, "Dealt", lambda counts, on, scratch, name: common.Dealt(counts, on, scratch, name, least))
+        monkeypatch.setattr(near_dedup, "FEW_EDGES", 0)
+    near = A + " thirteen"
+    rows = [(1, A), (2, A), (2, "another text by far and wide it is"), (2, near), (None, A), (None, "nobody has this text but me alone"), (3, None), (None, None), (4, ""), (4, "")]
+    rows += [(5, "five five five"), (5, "five five five"), (6, "five five FIVE"), (7, near + " x"), (8, LONG), (9, LONG + " more")]
+    got = sorted(((r.doc_id, r.text) for r in near_dedup.drop_near_copies(docs_of(spark, rows)).collect()), key=str)
+    want = [(1, A), (2, rows[2][1]), (None, rows[5][1]), (3, None), (None, None), (4, ""), (4, ""), (5, "five five five"), (8, LONG)]
+    assert got == sorted(want, key=str)
+
+
 def test_line_dedup(docs, none):
     out = drop_repeated_lines(docs)
     assert out.columns == docs.columns and out.schema["n_chars"].dataType == docs.schema["n_chars"].dataType

@@ -28,6 +28,26 @@ def test_words_and_hashes():
     assert text.shingles(np.arange(3, dtype=np.uint64), 5).size == 0
 
 
+def thue_morse(n, a="a", b="b"):
+    """Words that collide under every polynomial hash modulo a power of two."""
+    s = "0"
+    while len(s) < n:
+        s += s.translate(str.maketrans("01", "10"))
+    return s.replace("0", a).replace("1", b)
+
+
+@pytest.mark.parametrize("seed", [text.FIRST, text.SECOND])
+def test_regular_words_have_their_own_hashes(seed):
+    rows = [w for n in (8, 64, 1 << 11, 1 << 12) for w in (thue_morse(n), thue_morse(n, "b", "a"))] + ["a" * n for n in range(1, 40)] + ["a\0", "a\0\0", "\0", "ab" * 8, "b" + "ab" * 7 + "a"]
+    buf, off = text.utf8(pa.array(rows))
+    start, end, _, h = text.words(buf, off, text.NONSPACE, seed)
+    assert len(start) == len(rows) == len(set(h.tolist()))
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    for at in range(len(rows)):
+        same = text.same_spans(buf, start, end, padded, np.full(len(rows), start[at]), block=5)
+        assert same.tolist() == [len(w) <= len("".join(rows)[start[at] :]) and "".join(rows)[start[at] :].startswith(w) for w in rows]
+
+
 def test_odd_sketch_estimates_similarity():
     rng = np.random.default_rng(1)
     for share in (0.6, 0.75, 0.9):
@@ -148,13 +168,34 @@ def test_configurations_are_feasible():
     ["Don't STOP-now, it's 3.14 (really)!!", "ΟΔΥΣΣΕΥΣ' Σa 'Σ", "a<|endoftext|>b <|x", "İstanbul naïve e\u0301 \u00a0x\u2003y", "''s 's're x'll", "日本語 テキスト 12ab34", "", " \n\t", "A\x1cB\x85c", "x" * 9000],
 )
 def test_tokens_from_parts_are_those_of_the_whole(words):
-    tok = packing.WordTokenizer(vocabulary())
+    tok = packing.WordTokenizer(open(vocabulary(), encoding="utf-8").read())
     rows = [words, "plain text in between", words + " " + words, None]
     ids, begin = tok.encode(*text.utf8(pa.array(rows)), end_id=1)
     for r, w in enumerate(rows):
         assert ids[begin[r] : begin[r + 1]].tolist() == tok.tokenizer.encode(w or "", add_special_tokens=False).ids + [1]
 
 
+@pytest.mark.parametrize("hashed", [None, lambda buf, start, end: (end - start).astype(np.uint64), lambda buf, start, end: np.zeros(len(start), np.uint64)])
+def test_tokens_when_words_share_a_hash(monkeypatch, hashed):
+    """Bytes are compared with those in the batch and those remembered, whatever the hash does."""
+    if hashed:
+        monkeypatch.setattr(packing, "hash_spans", hashed)
+    tok = packing.WordTokenizer(open(vocabulary(), encoding="utf-8").read())
+    for rows in (["one two", "six ten", "two"], ["six", "one two nine", thue_morse(1 << 12)], [thue_morse(1 << 12, "b", "a"), thue_morse(1 << 11, "b", "a"), "x " + thue_morse(1 << 11)]):
+        ids, begin = tok.encode(*text.utf8(pa.array(rows)), end_id=1)
+        for r, w in enumerate(rows):
+            assert ids[begin[r] : begin[r + 1]].tolist() == tok.tokenizer.encode(w, add_special_tokens=False).ids + [1]
+
+
+def test_equal_rows_are_numbered_in_parts(spark):
+    """A length that all rows share is dealt out by count, equal rows too; places stay without gaps."""
+    items = spark.range(20_000).select(F.col("id").alias("row"), F.lit(None).cast("long").alias("doc_id"), F.lit(1).cast("long").alias("length"))
+    out = packing.pack(items.withColumn("offset", F.lit("clash")), "row", capacity=64)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "__salt" in plan and out.groupBy("sequence_id").agg(F.count("*").alias("n"), F.count_distinct("offset").alias("d"), F.max("offset").alias("m")).filter("n <> d or m <> n - 1 or n > 64").count() == 0
+    assert out.count() == 20_000 and out.select("sequence_id").distinct().count() == -(-20_000 // 64)
+
+
 def test_ledger_scans_what_is_new(spark, tmp_path):
     docs = spark.createDataFrame([(1, "token = abcdef1"), (2, "token = abcdef1"), (3, None), (4, "no"), (None, "no")], "doc_id long, text string")
     ledger = f"file://{tmp_path}/ledger"
