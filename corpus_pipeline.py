@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from instdir.llm import toxicity
-from instdir.llm.common import Scratch, small
+from instdir.llm.common import Scratch, without_rows
 from instdir.llm.decontaminate import contamination
 from instdir.llm.line_dedup import drop_repeated_lines
-from instdir.llm.near_dedup import near_duplicates
+from instdir.llm.near_dedup import drop_near_copies
 from instdir.llm.packing import pack_documents
 from instdir.llm.queries import vocabulary
 
@@ -22,39 +22,48 @@ ORACLE_SQL = None
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays below 0.3."""
+    """Documents whose toxicity score stays below 0.3.
+
+    Rows are judged by their text alone, also those without doc_id and those that share one; null and empty texts have the
+    score of the model's bias; equal rows go or stay alike; very long texts are scored in whole.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_clean(docs, model)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that three-line windows seen before cover; none is dropped."""
-    return drop_repeated_lines(docs)
+    """Documents without the lines that three-line windows seen before cover; none is dropped.
 
-
-def _but(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows of these doc_ids; a row without an id stays."""
-    gone = ids.select(F.col("doc_id").alias("__gone_id")).filter(F.col("__gone_id").isNotNull()).distinct()
-    return docs.join(small(gone), F.col("doc_id").cast("long") == F.col("__gone_id"), "left_anti")
+    Rows equal in doc_id and text are one document and share their result; null texts stay null; a text whose lines all go
+    becomes empty; n_chars follows the text; a row without doc_id comes before all others.
+    """
+    return drop_repeated_lines(docs)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
-    found = Scratch(spark, "dedup").save(near_duplicates(docs).filter("not kept").select("doc_id"), "gone")
-    return _but(docs, found)
+    """One row of each group of near copies, the one with the smallest id (none is last).
+
+    Rows are judged one by one: texts that share a doc_id are different documents, a row without doc_id is one too, and of
+    rows equal in doc_id and text one stays. Null, empty and wordless texts are nobody's copies and all stay.
+    """
+    return drop_near_copies(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs; rows of one doc_id, or of none, are judged one by one."""
+    """Documents in which no window of a benchmark item occurs.
+
+    Rows of one doc_id, or of none, are judged one by one, equal rows alike; null and wordless texts stay; very long texts
+    are read in whole; an empty benchmark drops nothing.
+    """
     hits = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("n_hit > 0")
-    hits = hits.select(F.col("doc_id").alias("__gone_id"), F.col("text_h").alias("__gone_h")).distinct()
-    gone = Scratch(spark, "clean").save(hits, "gone")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__gone_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__gone_h"))
-    return docs.join(small(gone), same, "left_anti")
+    return without_rows(docs, hits.select("doc_id", F.col("text_h").alias("h")), Scratch(spark, "clean"), "gone")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece's document, length, checksum of ids, and place in a sequence of 4096 tokens."""
+    """Every piece's document, length, checksum of ids, and place in a sequence of 4096 tokens.
+
+    Null and empty texts are one token; repeated rows are packed once each; a null doc_id stays null.
+    """
     return pack_documents(docs, vocabulary())
 
 
@@ -68,8 +77,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to the table of documents."""
-    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
+    """The stages applied to the table of documents; a stage's table is deleted once the next one is written."""
+    docs, scratch, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline"), None
     for name, stage in STAGES[:-1]:
         docs = scratch.save(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        scratch.drop(*filter(None, [before]))
+        before = name
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    scratch.drop(before)  # packing has written its pieces
+    return out
