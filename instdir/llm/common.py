@@ -145,12 +145,17 @@ def join_spread(left: DataFrame, right: DataFrame, on: str | list[str], scratch:
     return Dealt(counts, on, scratch, name, per_part).join(left, right, by or left.columns, how)
 
 
-def lookup(left: DataFrame, right: DataFrame, on: str | list[str], scratch: Scratch, name: str, by: list[str] | None = None, how: str = "inner", weight: Column | None = None, rows: int | None = None) -> DataFrame:
-    """left.join(right, on, how) for a written table ``right``: broadcast if it is counted small, else with frequent keys dealt out."""
+def lookup(left: DataFrame, right: DataFrame, on: str | list[str], scratch: Scratch, name: str, by: list[str] | None = None, how: str = "inner", weight: Column | None = None, rows: int | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """left.join(right, on, how) for a written table ``right``: broadcast if it is counted small, else with frequent keys dealt out.
+
+    counts (the key columns and n, see ``Dealt``) spares counting left's keys.
+    """
     hinted = small(right, BROADCAST_ROWS if rows is None else rows, weight)
     if hinted is not right:
         return left.join(hinted, on, how)
-    return join_spread(left, right, on, scratch, name, by, how)
+    if counts is None:
+        return join_spread(left, right, on, scratch, name, by, how)
+    return Dealt(counts, [on] if isinstance(on, str) else on, scratch, name).join(left, right, by or left.columns, how)
 
 
 def _parts(batch: pa.RecordBatch, by: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "warc").path("archives")
     warc.write_warc(_table(spark, sf_dir, "pages"), path)
-    c = warc.assemble(warc.read_warc(spark, path))
+    c = warc.assemble(warc.read_warc(spark, path, payloads=False))
     return c.select(
         warc.page_of(F.col("record_id")).alias("page_id"),
         F.col("capture.payload_bytes").alias("payload_bytes"),

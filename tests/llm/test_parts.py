@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from instdir.llm import media, near_dedup, packing, secret_scan, text, toxicity, url_filter, warc
+from instdir.llm import common, media, near_dedup, packing, secret_scan, text, toxicity, url_filter, warc
 from instdir.llm.queries import vocabulary
 
 
@@ -123,18 +123,59 @@ def test_archive_parser():
     for data in (one * 3, zlib.compress(one * 3, wbits=31), b"".join(zlib.compress(one, wbits=31) for _ in range(3))):
         got = list(warc.parse_archive(data))
         assert len(got) == 3 and all(b == b"a\r\n\r\nWARC/1.1\r\n" and http == {"content-type": "text/html"} for _, http, b in got)
-    assert list(warc.parse_archive(b"")) == []
-
-
-def test_captures(spark, tmp_path):
-    pages = spark.createDataFrame([(5, "http://a", "x"), (3, "http://b", "x"), (4, None, None), (9, "http://c", ""), (None, "u", "x"), (7, "http://d", "y\r\n\r\nz")], "page_id long, url string, html string")
+    assert list(warc.parse_archive(b"")) == [] and list(warc.parse_archive(zlib.compress(b"", wbits=31))) == []
+    long = one.replace(b"Content-Length: %d" % len(block), b"Content-Length: %d" % (len(block) + (3 << 20))).replace(b"\r\n\r\n" + block, b"\r\n\r\n" + block + b"x" * (3 << 20))
+    assert [len(b) for _, _, b in warc.parse_archive(zlib.compress(long + one, wbits=31))] == [15 + (3 << 20), 15]
+    for broken, says in ((one[:-20], "cut short"), (zlib.compress(one, wbits=31)[:-9], "cut short"), (one.replace(b"Content-Length: ", b"Content-Length: x"), "Content-Length"), (b"WARC/1.1\r\nWARC-Type: x\r\n\r\n", "Content-Length")):
+        with pytest.raises(ValueError, match=says):
+            list(warc.parse_archive(broken))
+
+
+@pytest.mark.parametrize("rows", [None, 0])
+def test_captures(spark, tmp_path, monkeypatch, rows):
+    """With rows 0 no side is broadcast, and the frequent payload is dealt out."""
+    if rows is not None:
+        monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+        monkeypatch.setattr(common.Dealt.__init__, "__defaults__", (2,))
+    evil = "http://e\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n"
+    made = [(5, "http://a", "x"), (3, "http://b", "x"), (4, None, None), (9, "http://c", ""), (None, "u", "x"), (7, "http://d", "y\r\n\r\nz"), (8, evil, "w"), (8, evil, "w"), (11, "", "v"), (11, "other", "v"), (None, None, "alone"), (-2, "n", "minus")]
+    pages = spark.createDataFrame(made, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("digest", "first", "name", "payload", "record_id", "n")})
     warc.write_warc(pages, f"file://{tmp_path}/w")
     records = warc.read_warc(spark, f"file://{tmp_path}/w").cache()
-    assert records.count() == 18
-    got = {warc_id.page: warc_id for warc_id in warc.assemble(records).select(warc.page_of(F.col("record_id")).alias("page"), "capture.*", "requests", "metadata").collect()}
-    assert {k: (r.warc_type, r.payload_bytes) for k, r in got.items()} == {5: ("revisit", 1), 3: ("response", 1), 4: ("response", 0), 9: ("revisit", 0), None: ("revisit", 1), 7: ("response", 6)}
-    assert got[5].refers_to == got[3].record_id and got[7].payload == bytearray(b"y\r\n\r\nz") and got[3].payload_digest == got[5].payload_digest
-    assert all(len(r.requests) == len(r.metadata) == 1 for r in got.values()) and bytes(got[5].requests[0].payload) == b""
+    assert records.count() == 3 * len(made)
+    got = warc.assemble(records).select(warc.page_of(F.col("record_id")).alias("page"), "capture.*", "requests", "metadata").collect()
+    assert len(got) == len(made) and all(len(r.requests) == len(r.metadata) == 1 and r.requests[0].record_id.startswith("<urn:capture:request:") for r in got)
+    kinds = sorted((str(r.page), r.warc_type, r.payload_bytes, str(warc_id(r.refers_to))) for r in got)
+    assert kinds == sorted([("5", "revisit", 1, "3"), ("3", "response", 1, "None"), ("4", "response", 0, "None"), ("9", "revisit", 0, "4"), ("None", "revisit", 1, "3"), ("7", "response", 6, "None"), *[("8", "response", 1, "None")] * 2, *[("11", "response", 1, "None")] * 2, ("None", "response", 5, "None"), ("-2", "response", 5, "None")])
+    by = {r.page: r for r in got}
+    assert by[5].refers_to == by[3].record_id and by[7].payload == bytearray(b"y\r\n\r\nz") and by[3].payload_digest == by[5].payload_digest
+    assert by[8].target_uri == evil.replace("\r", "%0D").replace("\n", "%0A").strip() and bytes(by[5].requests[0].payload) == b""
+
+
+def warc_id(refers_to):
+    return refers_to and int(re.search(r":(-?\d+)-", refers_to)[1])
+
+
+def test_archives_are_bounded_and_members_are_records(spark, tmp_path):
+    import random
+
+    rng = random.Random(1)
+    html = ["".join(rng.choices("abcdefghijklmnop", k=20_000)) for _ in range(30)] + ["z" * (50 << 20)]
+    pages = spark.createDataFrame([(i, f"http://{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(pages, f"file://{tmp_path}/w", archive_bytes=100_000)
+    files = [p.read_bytes() for p in (tmp_path / "w").glob("part-*")]
+    assert 3 <= len(files) and max(map(len, files)) < 200_000
+    members = 0
+    for data in files:
+        while data:
+            member = zlib.decompressobj(31)
+            text_ = member.decompress(data)
+            data = member.unused_data
+            assert text_ == b"" if not data else text_.startswith(b"WARC/1.1\r\n") and text_.endswith(b"\r\n\r\n")
+            members += bool(text_)
+    assert members == 3 * len(html)
+    lean = warc.read_warc(spark, f"file://{tmp_path}/w", payloads=False)
+    assert lean.filter("payload is not null").count() == 0 and lean.agg(F.max("payload_bytes")).first()[0] == 50 << 20
 
 
 @pytest.mark.parametrize("capacity, seed", [(100, 0), (64, 1), (4096, 2)])
