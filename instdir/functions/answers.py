@@ -2,13 +2,15 @@
 
 The rule "x or default" of dynamic languages replaces every falsy JSON value: null, "", 0, false, [] and {}. Numbers that
 don't cast become null. Answers that aren't a non-empty object are no data. A flag is true only as a JSON true.
+
+``read_answers`` parses each answer once and reads each of its keys once, into a typed struct; what follows uses its fields.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import strip, strip_fences
@@ -24,21 +26,26 @@ def parse_response(text: Column) -> Column:
 
     Duplicate keys and NaN are no JSON here. Text after the object is refused unless it ends in a brace too.
     """
-    body = strip_fences(text)
-    v = F.when(body.endswith("}"), F.try_parse_json(body))
+    return _bound(strip_fences(text), lambda body: _bound(F.when(body.endswith("}"), F.try_parse_json(body)), lambda v: F.when(_has_data(v), v)))
+
+
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the value, which is worked out once however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _has_data(v: Column) -> Column:
     kind = F.schema_of_variant(v)
-    return F.when(kind.startswith("OBJECT") & (kind != "OBJECT<>"), v)
+    return kind.startswith("OBJECT") & (kind != "OBJECT<>")
 
 
 def _get(v: Column, key: str, kind: str) -> Column:
     return F.try_variant_get(v, f"$.{key}", kind)
 
 
-def truthy_text(v: Column, key: str) -> Column:
-    """The value as text if it is truthy, else null."""
-    value, text = _get(v, key, "variant"), _get(v, key, "string")
-    kind = F.schema_of_variant(value)
-    full = F.to_json(value)
+def truthy_text(value: Column) -> Column:
+    """A variant's value as text if it is truthy, else null."""
+    text, kind, full = F.try_variant_get(value, "$", "string"), F.schema_of_variant(value), F.to_json(value)
     return (
         F.when(kind == "STRING", F.nullif(text, F.lit("")))
         .when(kind == "BOOLEAN", F.when(text == "true", text))
@@ -47,35 +54,73 @@ def truthy_text(v: Column, key: str) -> Column:
     )
 
 
-def text_or(v: Column, key: str, *others: Column) -> Column:
-    """The first that is truthy: the value, then the others; empty if none."""
-    return F.coalesce(truthy_text(v, key), *[F.nullif(o, F.lit("")) for o in others], F.lit(""))
-
+def text_or(*choices: Column) -> Column:
+    """The first choice that is neither null nor empty; empty if none."""
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in choices], F.lit(""))
 
-def number(v: Column, key: str, kind: str) -> Column:
-    return _get(v, key, kind)
 
-
-def flag(v: Column, key: str) -> Column:
+def flag(value: Column) -> Column:
     """True for a JSON true alone; text is never a flag."""
-    value = _get(v, key, "variant")
-    return F.coalesce(F.when(F.schema_of_variant(value) == "BOOLEAN", _get(v, key, "boolean")), F.lit(False))
+    return F.coalesce(F.when(F.schema_of_variant(value) == "BOOLEAN", F.try_variant_get(value, "$", "boolean")), F.lit(False))
 
 
-def text_list(v: Column, key: str) -> Column:
+def text_list(value: Column) -> Column:
     """A list of texts; anything else is empty."""
-    return F.coalesce(_get(v, key, "array<string>"), F.array().cast("array<string>"))
+    return F.coalesce(F.try_variant_get(value, "$", "array<string>"), F.array().cast("array<string>"))
+
+
+def is_mark(value: Column, mark: str = "PAN_INDIA") -> Column:
+    """Whether the value is the mark or a list of the mark alone."""
+    as_text = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    return F.coalesce(as_text == mark, F.lit(False)) | (text_list(value) == F.array(F.lit(mark)))
+
+
+#: What is read of an answer: keys with texts, with numbers, with lists of texts.
+TEXTS = ("company_name", "website", "primary_product", "hq_city", "hq_state", "phone", "email")
+NUMBERS = {"aum_crores": "double", "established_year": "int", "employee_count": "int", "ticket_size_min": "double", "ticket_size_max": "double"}
+#: The column of an answer; texts are null unless truthy.
+ANSWER = (
+    "struct<" + ", ".join([*(f"{k}: string" for k in TEXTS), *(f"{k}: {t}" for k, t in NUMBERS.items())])
+    + ", product_types: array<string>, operating_states: array<string>, marked: boolean, has_subsidiaries: boolean, filled: int>"
+)
+
+
+def _fields(v: Column) -> Column:
+    """A parsed answer's fields; each key is read once and its value bound by a lambda."""
+    texts = F.transform(F.array(*[_get(v, k, "variant") for k in TEXTS]), truthy_text)
+    area = _bound(_get(v, "operating_states", "variant"), lambda x: F.struct(text_list(x).alias("list"), is_mark(x).alias("marked")))
+    return _bound(
+        F.struct(texts.alias("texts"), area.alias("area")),
+        lambda x: F.struct(
+            *[x["texts"][i].alias(k) for i, k in enumerate(TEXTS)],
+            *[_get(v, k, t).alias(k) for k, t in NUMBERS.items()],
+            _bound(_get(v, "product_types", "variant"), text_list).alias("product_types"),
+            x["area"]["list"].alias("operating_states"),
+            x["area"]["marked"].alias("marked"),
+            _bound(_get(v, "has_subsidiaries", "variant"), flag).alias("has_subsidiaries"),
+            filled_fields(v).alias("filled"),
+        ),
+    )
+
+
+def read_answers(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with answer (see ANSWER; null without data), read from a column of texts.
+
+    The column comes out of a generator, so filters and projections above use its fields and never repeat the parse.
+    """
+    one = F.transform(F.array(parse_response(F.col(text))), lambda v: F.when(v.isNotNull(), _fields(v)))
+    return df.select(*[F.col(c) for c in df.columns if c != "answer"], F.explode(one.cast(f"array<{ANSWER}>")).alias("answer"))
 
 
-def everywhere(given: Column, v: Column, key: str = "operating_states", mark: str = "PAN_INDIA") -> Column:
-    """Whether the flag is given, or the value is the mark or a list of the mark alone."""
-    as_text = F.when(F.schema_of_variant(_get(v, key, "variant")) == "STRING", _get(v, key, "string"))
-    return F.coalesce(given, F.lit(False)) | F.coalesce(as_text == mark, F.lit(False)) | (text_list(v, key) == F.array(F.lit(mark)))
+def everywhere(given: Column, answer: Column) -> Column:
+    """Whether the flag is given, or the answer's service area is marked as everywhere."""
+    return F.coalesce(given, F.lit(False)) | F.coalesce(answer["marked"], F.lit(False))
 
 
-def service_area(given: Column, v: Column, regions: Sequence[str], key: str = "operating_states") -> Column:
+def service_area(given: Column, answer: Column, regions: Sequence[str]) -> Column:
     """All regions if everywhere, else the list of the answer."""
-    return F.when(everywhere(given, v, key), F.array(*[F.lit(r) for r in regions])).otherwise(text_list(v, key))
+    own = F.coalesce(answer["operating_states"], F.array().cast("array<string>"))
+    return F.when(everywhere(given, answer), F.array(*[F.lit(r) for r in regions])).otherwise(own)
 
 
 def filled_fields(v: Column) -> Column:

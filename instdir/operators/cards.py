@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schemas import LISTING
+
 PREVIEW = 3
 
 
+def listing(df: DataFrame) -> DataFrame:
+    """The columns of a directory that a listing shows."""
+    return df.select(*LISTING)
+
+
 def grouped(c: Column) -> Column:
     """A number with thousands separators and at most three decimals; null and 0 have no label."""
     return F.when(c != 0, F.call_function("format_number", c.cast("double"), F.lit("#,##0.###")))

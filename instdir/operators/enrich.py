@@ -42,10 +42,10 @@ def render_request(df: DataFrame, templates: dict[str, str] | None = None) -> Da
 
 
 def enrich(requests: DataFrame, responses: DataFrame, on: str = "request_id") -> DataFrame:
-    """requests with text and answer (a variant; null without data). Of several answers the least one counts."""
+    """requests with text and answer (its fields; null without data). Of several answers the least one counts."""
     one = responses.groupBy(on).agg(F.min(F.struct("http_status", "envelope")).alias("r"))
     out = requests.join(one, on, "left").withColumn("text", A.response_text(F.col("r.http_status"), F.col("r.envelope"))).drop("r")
-    return out.withColumn("answer", A.parse_response(F.col("text")))
+    return A.read_answers(out)
 
 
 def records(df: DataFrame, regions: Sequence[str] = INDIA, source: str = "model", no_data: str = NO_DATA) -> DataFrame:
@@ -58,28 +58,23 @@ def records(df: DataFrame, regions: Sequence[str] = INDIA, source: str = "model"
     failed = F.col("gate_error").isNotNull() | v.isNull()
     none = F.array().cast("array<string>")
 
-    def good(value: Column, otherwise: Column) -> Column:
-        return F.when(~failed, value).otherwise(otherwise)
+    def given(key: str) -> Column:
+        return F.when(~failed, v[key])
 
-    null = F.lit(None)
     fields = {
-        "company_name": good(A.text_or(v, "company_name", F.col("name"), F.lit("Unknown")), F.coalesce(F.nullif(F.col("name"), F.lit("")), F.lit("Unknown"))),
+        "company_name": A.text_or(given("company_name"), F.col("name"), F.lit("Unknown")),
         "company_type": F.col("company_type"),
-        "website": good(A.text_or(v, "website", F.col("url")), F.col("url")),
-        "aum_crores": good(A.number(v, "aum_crores", "double"), null),
-        "product_types": good(A.text_list(v, "product_types"), none),
-        "primary_product": good(A.text_or(v, "primary_product"), F.lit("")),
-        "hq_location": good(hq_label(A.text_or(v, "hq_city"), A.text_or(v, "hq_state")), F.lit("")),
-        "hq_state": good(A.text_or(v, "hq_state"), F.lit("")),
-        "operating_states": good(A.service_area(F.col("pan_india"), v, regions), none),
-        "pan_india": good(A.everywhere(F.col("pan_india"), v), F.coalesce("pan_india", F.lit(False))),
-        "established_year": good(A.number(v, "established_year", "int"), null),
-        "employee_count": good(A.number(v, "employee_count", "int"), null),
-        "ticket_size_min": good(A.number(v, "ticket_size_min", "double"), null),
-        "ticket_size_max": good(A.number(v, "ticket_size_max", "double"), null),
-        "has_subsidiaries": good(A.flag(v, "has_subsidiaries"), F.lit(False)),
-        "phone": good(A.text_or(v, "phone"), F.lit("")),
-        "email": good(A.text_or(v, "email"), F.lit("")),
+        "website": F.when(~failed, A.text_or(v["website"], F.col("url"))).otherwise(F.col("url")),
+        **{k: given(k) for k in A.NUMBERS},
+        "product_types": F.coalesce(given("product_types"), none),
+        "primary_product": A.text_or(given("primary_product")),
+        "hq_location": F.when(~failed, hq_label(A.text_or(v["hq_city"]), A.text_or(v["hq_state"]))).otherwise(""),
+        "hq_state": A.text_or(given("hq_state")),
+        "operating_states": F.when(~failed, A.service_area(F.col("pan_india"), v, regions)).otherwise(none),
+        "pan_india": F.coalesce("pan_india", F.lit(False)) | F.coalesce(given("marked"), F.lit(False)),
+        "has_subsidiaries": F.coalesce(given("has_subsidiaries"), F.lit(False)),
+        "phone": A.text_or(given("phone")),
+        "email": A.text_or(given("email")),
         "data_source": F.lit(source),
         "extraction_status": F.when(failed, "failed").otherwise("success"),
         "error": F.coalesce("gate_error", F.when(v.isNull(), no_data), F.lit("")),
@@ -103,7 +98,7 @@ def build_records(requests: DataFrame, responses: DataFrame, on: str = "request_
     """
     asked = enrich(requests.filter("gate_error is null"), responses, on)
     stopped = requests.filter("gate_error is not null").withColumn("text", F.lit(None).cast("string"))
-    stopped = stopped.withColumn("answer", F.try_parse_json(F.lit(None).cast("string")))
+    stopped = stopped.withColumn("answer", F.lit(None).cast(A.ANSWER))
     return records(asked.unionByName(stopped), regions)
 
 

@@ -38,5 +38,5 @@ def score_candidates(df: DataFrame, rules: ScoringRules, name: str = "name", url
 
 
 def gate_error() -> Column:
-    """What a failure record says of a row that the gate stops."""
+    """What a failure record says of a row that the gate stops (fixed wording)."""
     return F.concat(F.lit("Bank validation failed ("), F.col("score").cast("string"), F.lit("/100): "), F.col("reason"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import answers as A
 from ..functions.text import hq_label, strip_fences, url_root
 from ..operators import cards, clean, contacts, enrich, facets, load, scoring, search
-from ..schemas import RECORDS
+from ..schemas import CONTACTS, LISTING, RECORDS
 from ..sources import files
 from ..sources.scratch import fresh
 from ..streaming.ingest import ingest_incremental
@@ -61,9 +61,20 @@ def _overlap(band: str) -> str:
     return _OVERLAP.format(low=low, high="CAST('inf' AS DOUBLE)" if high == search.INFINITE else high)
 
 
-@proof(f"SELECT {_ROW_SQL} FROM listing ORDER BY aum_crores DESC NULLS LAST, id LIMIT 100", "listing")
+_LISTED = [c for c in LISTING if c not in ("product_types", "established_year", "employee_count")]
+
+
+@proof(
+    f"""SELECT {", ".join(c for c in _LISTED if c != "has_subsidiaries")}, {_joined("product_types")} AS products, id % 2 = 0 AS has_subsidiaries,
+    CAST(established_year AS DOUBLE) AS established_year, CAST(employee_count AS DOUBLE) AS employee_count FROM listing ORDER BY aum_crores DESC NULLS LAST, id""",
+    "listing",
+)
 def order_directory(spark, sf_dir):
-    return _rows(search.order_directory(ad.listing(spark, sf_dir)).limit(100))
+    """The whole directory: written as a table, scanned, what a listing shows of it, largest first."""
+    path = fresh(spark, "directory")
+    ad.listing(spark, sf_dir).withColumn("has_subsidiaries", F.col("id") % 2 == 0).withColumn("phone", F.lit("")).write.parquet(path)
+    out = search.order_directory(cards.listing(files.scan_directory(spark, path)))
+    return out.select(*_LISTED, joined("product_types").alias("products"), *[F.col(c).cast("double").alias(c) for c in ("established_year", "employee_count")])
 
 
 @proof(f"SELECT {_ROW_SQL} FROM listing ORDER BY aum_crores DESC NULLS LAST, id", "listing")
@@ -241,7 +252,7 @@ def _texted(spark, sf_dir) -> DataFrame:
 
 
 def _parsed(spark, sf_dir) -> DataFrame:
-    return _texted(spark, sf_dir).withColumn("answer", A.parse_response(F.col("text")))
+    return A.read_answers(_texted(spark, sf_dir))
 
 
 def _truthy_sql(key: str) -> str:
@@ -285,13 +296,13 @@ def parse_response(spark, sf_dir):
 @proof(f"SELECT row_number, coalesce({_truthy_sql('company_name')}, 'Unknown') AS company_name, coalesce({_truthy_sql('website')}, '') AS website FROM parsed", *_PARSED)
 def resolve_identity(spark, sf_dir):
     v = F.col("answer")
-    return _parsed(spark, sf_dir).select("row_number", A.text_or(v, "company_name", F.lit("Unknown")).alias("company_name"), A.text_or(v, "website").alias("website"))
+    return _parsed(spark, sf_dir).select("row_number", A.text_or(v["company_name"], F.lit("Unknown")).alias("company_name"), A.text_or(v["website"]).alias("website"))
 
 
 @proof(f"SELECT row_number, {_HQ_SQL} AS hq_location FROM parsed", *_PARSED, name="hq_label")
 def hq_labels(spark, sf_dir):
     v = F.col("answer")
-    return _parsed(spark, sf_dir).select("row_number", hq_label(A.text_or(v, "hq_city"), A.text_or(v, "hq_state")).alias("hq_location"))
+    return _parsed(spark, sf_dir).select("row_number", hq_label(A.text_or(v["hq_city"]), A.text_or(v["hq_state"])).alias("hq_location"))
 
 
 _GIVEN = "row_number % 11 = 0"
@@ -314,7 +325,7 @@ def service_area_filter(spark, sf_dir):
 
 @proof(f"SELECT row_number, {_joined(_list_sql('product_types'))} AS product_types FROM parsed", *_PARSED)
 def json_arrays(spark, sf_dir):
-    text = A.json_array(A.text_list(F.col("answer"), "product_types"))
+    text = A.json_array(F.col("answer.product_types"))
     return _parsed(spark, sf_dir).select("row_number", joined(A.from_json_array(text)).alias("product_types"))
 
 
@@ -328,12 +339,12 @@ def defaults(spark, sf_dir):
     v = F.col("answer")
     return _parsed(spark, sf_dir).select(
         "row_number",
-        A.text_or(v, "phone").alias("phone"),
-        A.text_or(v, "email").alias("email"),
-        A.number(v, "aum_crores", "double").alias("aum_crores"),
-        A.number(v, "established_year", "int").cast("double").alias("established_year"),
-        A.number(v, "ticket_size_min", "double").alias("ticket_size_min"),
-        A.flag(v, "has_subsidiaries").alias("has_subsidiaries"),
+        A.text_or(v["phone"]).alias("phone"),
+        A.text_or(v["email"]).alias("email"),
+        v["aum_crores"].alias("aum_crores"),
+        v["established_year"].cast("double").alias("established_year"),
+        v["ticket_size_min"].alias("ticket_size_min"),
+        F.coalesce(v["has_subsidiaries"], F.lit(False)).alias("has_subsidiaries"),
     )
 
 
@@ -341,7 +352,7 @@ def defaults(spark, sf_dir):
     "SELECT row_number, CAST(coalesce(len(list_filter(json_keys(v), lambda k: NOT list_contains(['null', '[]', '\"\"'], CAST(json_extract(v, '$.\"' || k || '\"') AS VARCHAR)))), 0) AS INTEGER) AS filled FROM parsed", *_PARSED
 )
 def completeness(spark, sf_dir):
-    return _parsed(spark, sf_dir).select("row_number", A.filled_fields(F.col("answer")).alias("filled"))
+    return _parsed(spark, sf_dir).select("row_number", F.coalesce("answer.filled", F.lit(0)).alias("filled"))
 
 
 # Requests with their answers
@@ -460,8 +471,40 @@ def contact_rules(spark, sf_dir):
     return contacts.contact_rules(ad.contacts(spark, sf_dir)).select("user_id", "phone", "error")
 
 
+@proof(
+    f"SELECT count(*) AS n_names, count(*) AS n_ids, bool_and(n = 1) AS one_each FROM (SELECT count(DISTINCT company_name || '|' || company_type || '|' || website) AS n FROM ({_OTHERS_SQL}) GROUP BY company_name, company_type, website)",
+    *_BOTH,
+)
+def surrogate_ids(spark, sf_dir):
+    """One id for each name, type and site, and none for two of them."""
+    rows, _ = load.to_directory(_others(spark, sf_dir).select("record.*"), LOAD_TS)
+    names = rows.groupBy("company_name", "company_type", "website").agg(F.count_distinct("id").alias("n"), F.min("id").alias("id"))
+    return names.agg(F.count("*").alias("n_names"), F.count_distinct("id").alias("n_ids"), F.bool_and(F.col("n") == 1).alias("one_each"))
+
+
 # Sources
 
+@proof(_OTHERS_SQL, *_BOTH)
+def records_round_trip(spark, sf_dir):
+    """Records written as CSV and read back, with their lists."""
+    path = fresh(spark, "records")
+    rows = _others(spark, sf_dir).select(F.col("row_number").cast("string").alias("row_number"), "record.*")
+    numbered = rows.withColumn("data_source", F.concat_ws(" ", "row_number", "data_source")).select(*[f.name for f in RECORDS])
+    files.write_records(numbered, path)
+    back = files.read_records(spark, path)
+    parts = F.split("data_source", " ", 2)
+    return _shown(back.withColumns({"row_number": parts[0].cast("long"), "data_source": parts[1]}))
+
+
+@proof("SELECT user_id, email, phone FROM contacts", "contacts")
+def append_contacts(spark, sf_dir):
+    """Contacts added in two batches."""
+    path, rows = fresh(spark, "contacts"), ad.contacts(spark, sf_dir)
+    for batch_of in (0, 1):
+        files.append_contacts(rows.filter(F.crc32(F.col("user_id").cast("binary")) % 2 == batch_of), path)
+    return spark.read.schema(CONTACTS).parquet(path)
+
+
 @proof(
     """SELECT CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_brand END AS company_name, CASE WHEN p_partkey % 2 = 0 THEN 'http://' || p_partkey ELSE 'https://' || p_partkey END AS website,
     CASE WHEN p_partkey % 2 = 0 THEN '' ELSE CAST(p_size AS VARCHAR) END AS extra FROM part"""

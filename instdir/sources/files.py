@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import csv
+import io
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,27 +17,48 @@ from ..schemas import CONTACTS, DIRECTORY, RECORDS, SEEDS
 CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "encoding": "UTF-8"}
 
 
+#: Bytes of a file's head that are read for its header at first.
+HEAD = 1 << 16
+
+
+def _header(spark: SparkSession, status) -> tuple[str, ...]:
+    """The first record of a file, from its head alone; a quoted name may hold line ends."""
+    path, size = status.getPath(), HEAD
+    while True:
+        stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(path)
+        head = stream.readNBytes(size)
+        stream.close()
+        text = bytes(head).decode("utf-8-sig", "ignore")
+        if len(head) < size or _closed(text):
+            return tuple(next(csv.reader(io.StringIO(text, newline="")), ()))
+        size *= 4
+
+
+def _closed(text: str) -> bool:
+    """Whether a line ends outside quotes."""
+    return any(part.find("\n") >= 0 for part in text.split('"')[::2])
+
+
 def header_groups(spark: SparkSession, glob: str) -> dict[tuple[str, ...], list[str]]:
-    """Files that match by their header line, found in one job for all files; a header is one line."""
-    lines = spark.read.text(glob).select("value", "_metadata.file_path", "_metadata.file_block_start").filter("file_block_start = 0")
-    first = lines.withColumn("at", F.monotonically_increasing_id()).groupBy("file_path").agg(F.min_by("value", "at").alias("header"))
+    """The files that match, by their header. Spark's own listing has their paths on the driver too; no data is scanned."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    files = sorted((f for f in found if f.isFile()), key=lambda f: f.getPath().toString())
+    with ThreadPoolExecutor(16) as pool:
+        headers = list(pool.map(lambda f: _header(spark, f), files))
     groups: dict[tuple[str, ...], list[str]] = {}
-    for header, paths in first.groupBy("header").agg(F.array_sort(F.collect_list("file_path"))).collect():
-        groups.setdefault(tuple(next(csv.reader([header]))), []).extend(paths)
+    for header, file in zip(headers, files, strict=True):
+        if header:
+            groups.setdefault(header, []).append(file.getPath().toString())
     return groups
 
 
 def read_candidates(spark: SparkSession, glob: str) -> DataFrame | None:
-    """All CSV files that match, by column name, all text, empty for missing; None if there is no file.
+    """All CSV files that match, by column name, all text, empty for missing; None if there is no file with a header.
 
     Spark applies one file's header to all it reads, so there is one read for each header.
     """
-    try:
-        groups = header_groups(spark, glob)
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    groups = header_groups(spark, glob)
     parts = [spark.read.options(**CSV).schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(paths) for names, paths in sorted(groups.items())]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).fillna("") if parts else None
 

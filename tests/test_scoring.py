@@ -7,6 +7,7 @@ from instdir.operators.scoring import score_candidates
 from instdir.rules import BANK_RULES, BANK_TYPES, DEFAULT_BANK_TYPE, ScoringRules, as_list
 from instdir.sources.seeds import bank_seeds
 
+# Names, sites and their known results.
 CASES = [
     ("HDFC Bank", "https://www.hdfcbank.com", True, 95),
     ("ICICI Bank", "https://www.icicibank.com", True, 150),

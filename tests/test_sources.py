@@ -15,6 +15,18 @@ def test_files_with_other_columns_unite_by_name(spark, tmp_path):
     assert files.read_candidates(spark, f"{tmp_path}/*.tsv") is None
 
 
+def test_header_with_line_ends_and_a_long_one(spark, tmp_path):
+    (tmp_path / "1.csv").write_text('"company_name","web\nsite"\nA,http://a\n')
+    names = [f"column {i} {'x' * 40}" for i in range(3000)]
+    (tmp_path / "2.csv").write_text(",".join(["company_name", *(f'"{n}"' for n in names)]) + "\n" + ",".join(["B"] * 3001) + "\n")
+    (tmp_path / "3.csv").write_text("")
+    (tmp_path / "4.csv").write_bytes("\ufeffcompany_name\r\nC\r\n".encode())
+    groups = files.header_groups(spark, f"{tmp_path}/*.csv")
+    assert sorted(map(len, groups)) == [1, 2, 3001]
+    out = files.read_candidates(spark, f"{tmp_path}/*.csv")
+    assert sorted((r.company_name, r["web\nsite"]) for r in out.select("company_name", "web\nsite").collect()) == [("A", "http://a"), ("B", ""), ("C", "")]
+
+
 def test_records_round_trip(spark, tmp_path):
     row = ("a", "t", "w", 1.5, ["x", 'y "z", q'], "", "l", "s", [], True, 1999, None, None, 2.0, False, "", "e", "m", "success", "")
     df = spark.createDataFrame([row, ("b", *[None] * 19)], RECORDS)
