@@ -187,7 +187,7 @@ def row_key(text: Column, doc_id: Column) -> Column:
 
 
 #: Columns of a row's key that hold no null, for joins.
-KEY = ["__no_id", "__id", "__h"]
+KEY = ["__row_no_id", "__row_id", "__row_hash"]
 
 
 def key_columns(doc_id: Column, h: Column) -> list[Column]:

@@ -10,7 +10,7 @@ are compared with the window's words, exactly.
 Tasks skip shingles that no window has by a bitmap of fixed size; what passes is counted and joined by Spark, so the
 benchmark may outgrow any task. All reading of texts is two passes of numpy over whole UTF-8 buffers.
 
-Defined cases: null and wordless texts have no words and no hits; null and wordless items have no windows; equal windows
+Defined cases: null and wordless texts have no words and no hits; very long texts and items are read in whole; null and wordless items have no windows; equal windows
 of several items count for each of those items; rows of one doc_id are judged one by one, repeated rows alike; a null
 doc_id stays null; item_ids that are null are left out of lists and counts; empty tables on either side give no hits;
 other columns are not looked at.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow, row_key, small
+from .common import Scratch, lookup, map_arrow, row_key
 from .text import ALNUM, LOWER, U64, bounds, pieces, shingles, words
 
 #: log2 of the bits of the bitmap that tasks get: 2 MB, whatever the benchmark's size.
@@ -140,7 +140,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, k: int = 5)
         none = map_arrow(_keyed(docs), _only_words, "doc_id long, n_words long, text_h long")
         return none.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"), "text_h")
     counts = scratch.save(_counts(docs, tokens.select("h").distinct(), sizes), "counts")
-    ranked = tokens.join(counts, "h").groupBy("window", "n", "w").agg(F.min(F.struct("freq", "place", "h")).alias("rarest"), F.count("*").alias("there"))
+    ranked = lookup(tokens, counts, "h", scratch, "tokens-heavy", by=["window", "place"]).groupBy("window", "n", "w").agg(F.min(F.struct("freq", "place", "h")).alias("rarest"), F.count("*").alias("there"))
     prefix = ranked.filter(F.col("there") == F.col("n") - F.col("w") + 1).select("window", "n", "rarest.h", "rarest.place")
     prefix = scratch.save(prefix, "prefix")
     rows = _places(docs, prefix.select("h").distinct(), sizes, size).withColumn("row", F.monotonically_increasing_id())
@@ -149,18 +149,22 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, k: int = 5)
     begin = F.col("at") - F.col("place")
     room = (begin >= F.col("first")) & (begin + F.col("n") <= F.col("n_words"))
     same = F.array_join(F.slice(F.split("around", " "), begin - F.col("first") + 1, F.col("n")), " ") == F.col("window")
-    hits = at.join(prefix, "h").filter(room).filter(same).select("row", begin.alias("begin"), "n", "window").distinct()
+    met = lookup(at, prefix, "h", scratch, "places-heavy", by=["row", "at"], weight=32 + F.octet_length("window"))
+    hits = met.filter(room).filter(same).select("row", begin.alias("begin"), "n", "window").distinct()
     hits = scratch.save(hits, "hits")
 
     before = Window.partitionBy("row").orderBy("begin", "n").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("begin") + F.col("n")
     new = end - F.greatest("begin", F.least(F.coalesce(F.max(end).over(before), F.lit(0)), end))
     covered = hits.select("row", "begin", "n").distinct().withColumn("new", new).groupBy("row").agg(F.sum("new").alias("n_hit"))
-    by_item = hits.select("row", "window").distinct().join(small(found.select("window", "item_id").distinct(), weight=F.octet_length("window") + F.coalesce(F.octet_length("item_id"), F.lit(0))), "window").filter("item_id is not null")
+    owners = scratch.save(found.select("window", "item_id").filter("item_id is not null").distinct(), "owners")
+    weight = F.octet_length("window") + F.octet_length("item_id")
+    by_item = lookup(hits.select("row", "window").distinct(), owners, "window", scratch, "owners-heavy", by=["row"], weight=weight)
     listed = by_item.select("row", "item_id").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"))
     marks = scratch.save(covered.join(listed, "row", "left"), "marks")
-    out = rows.select("doc_id", "n_words", "row", "text_h").join(small(marks, weight=24 + F.coalesce(F.length(F.array_join("item_ids", ",")), F.lit(0))), "row", "left")
-    scratch.drop("counts", "prefix", "hits", "items")
+    weight = 24 + F.coalesce(F.octet_length(F.array_join("item_ids", ",")), F.lit(0))
+    out = lookup(rows.select("doc_id", "n_words", "row", "text_h"), marks, "row", scratch, "marks-heavy", how="left", weight=weight)
+    scratch.drop("counts", "prefix", "hits", "items", "owners")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), "text_h")
 
 

@@ -3,12 +3,12 @@
 Every run of three consecutive lines is hashed to 128 bits; a window's first occurrence is the one with the smallest
 (doc_id, line). All lines that a later occurrence covers are removed, overlapping occurrences merged; the other lines
 stay in order. Only hashes, ids and line numbers are shuffled to find repeats; a window that fills a third of the corpus
-is added up before the shuffle.
+is added up before the shuffle and dealt out in the join.
 
 Defined cases: lines are split at \\n and compared as they are; windows whose three lines are all blank don't count; a
 text of fewer than three lines has no window and stays, as do null and empty texts; a null doc_id sorts before any
 other; rows equal in doc_id and text are one document and share their result; no row is ever dropped, a text whose lines
-all go becomes empty; an empty table gives an empty result; other columns are kept as they are.
+all go becomes empty; a very long text is read in whole, one window per line; an empty table gives an empty result; other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, row_key, small
+from .common import KEY, Scratch, key_columns, keyed, lookup, row_key
 
 
 def _windows(lines: Column, size: int) -> Column:
@@ -38,27 +38,29 @@ def repeated_lines(docs: DataFrame, size: int = 3) -> DataFrame:
     rows = rows.select("key", F.explode(_windows(F.col("lines"), size)).alias("w")).select("key", "w.line", "w.h1", "w.h2")
     rows = scratch.save(rows, "windows")
     at = F.struct("key.doc_id", "line", "key.h")
-    repeats = rows.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first <> last")
-    repeats = scratch.save(repeats.select("h1", "h2", "first"), "repeats")
-    later = rows.join(small(repeats), ["h1", "h2"]).filter(at != F.col("first")).select("key", "line").distinct()
+    repeats = rows.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n")).filter("first <> last")
+    repeats = scratch.save(repeats.select("h1", "h2", "first", "n"), "repeats")
+    later = lookup(rows, repeats.drop("n"), ["h1", "h2"], scratch, "windows-heavy", by=["key", "line"], counts=repeats)
+    later = later.filter(at != F.col("first")).select("key", "line").distinct()
     in_order = Window.partitionBy("key").orderBy("line")
     begins = F.coalesce(F.col("line") > F.lag("line").over(in_order) + size, F.lit(True)).cast("int")
     runs = later.withColumn("begins", begins).withColumn("run", F.sum("begins").over(in_order))
     ranges = runs.groupBy("key", "run").agg(F.min("line").alias("first"), (F.max("line") + size - 1).alias("last"))
     covered = scratch.save(ranges.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("gone")), "covered")
-    scratch.drop("windows", "repeats")
+    scratch.drop("windows", "repeats", "windows-heavy")
     return covered
 
 
 def drop_repeated_lines(docs: DataFrame, size: int = 3) -> DataFrame:
     """docs with the covered lines taken out of text; n_chars, if there, follows the text."""
-    covered = repeated_lines(docs, size).select(F.col("key.doc_id").alias("__repeats_id"), F.col("key.h").alias("__repeats_h"), F.col("gone").alias("__repeats_gone"))
+    scratch = Scratch(docs.sparkSession, "covered")
+    covered = scratch.save(repeated_lines(docs, size).select(*key_columns(F.col("key.doc_id"), F.col("key.h")), F.col("gone").alias("__gone")), "by-key")
+    out = lookup(keyed(docs), covered, KEY, scratch, "heavy", by=KEY, how="left", weight=24 + 8 * F.size("__gone"))
     text = F.col("text").cast("string")
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__repeats_id")) & (F.xxhash64(text) == F.col("__repeats_h"))
-    out = docs.join(small(covered, weight=16 + 8 * F.size("__repeats_gone")), on, "left").withColumn("text", F.when(F.col("__repeats_gone").isNull(), text).otherwise(without(text, F.col("__repeats_gone"))))
+    out = out.withColumn("text", F.when(F.col("__gone").isNull(), text).otherwise(without(text, F.col("__gone"))))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("__repeats_gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
+        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
     return out.select(*docs.columns)
 
 

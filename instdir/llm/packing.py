@@ -327,7 +327,7 @@ def best_plan(counts: np.ndarray, capacity: int, shares: tuple[float, ...] = (0.
     return min((linear_grouping(counts, capacity, smallest=s) for s in shares), key=lambda plan: plan.sequences)
 
 
-def pack(items: DataFrame, row: str, capacity: int = 4096, least_part: int = 500) -> DataFrame:
+def pack(items: DataFrame, row: str, capacity: int = 4096, least_part: int = 100) -> DataFrame:
     """items with sequence_id and offset: no sequence longer than capacity, its items without gaps from 0.
 
     ``length`` is between 1 and capacity; ``row`` names a column of unique numbers, which stay the same when a task is run

@@ -5,10 +5,11 @@ all labelled rows outside the held-out fold, added up in Spark; the covariance i
 towards its own diagonal. A score is the posterior of class 1: the sigmoid of the difference of the two log-densities,
 each half the squared Mahalanobis distance from a cached Cholesky factor plus its log-determinant, and of the log-priors.
 
-Defined cases: null text counts as empty, and an empty text is a vector like any other; a row without doc_id is never
-learnt from, its held_out is null and it is scored like any other; equal texts get equal scores; a class with no labelled
-row gives every text the share of the other class (0.5 with no labels at all); an empty table gives an empty result;
-labels that are null count as absent; other columns are not looked at.
+Defined cases: null text counts as empty, and an empty text is a vector like any other; a very long text is read in whole;
+a row without doc_id is never learnt from, its held_out is null and it is scored like any other; repeated labels of one id
+count once (the greater), repeated rows of it each; equal texts get equal scores; a class with no labelled row gives every
+text the share of the other class (0.5 with no labels at all); an empty table gives an empty result; labels that are null
+count as absent; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_arrow, small
+from .common import Scratch, fold, lookup, map_arrow
 from .text import NONSPACE, hash_spans, list_array, mix, pieces, shingles, spans, words
 
 HELD_OUT_OF, HELD_OUT = 5, 0
@@ -92,7 +93,8 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 def fit(feats: DataFrame, labels: DataFrame, to_pooled: float = 0.1, to_diagonal: float = 0.1) -> QdaModel:
     """Means and shrunk covariances of all labelled rows outside the held-out fold."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").filter(fold(F.col("doc_id"), HELD_OUT_OF) != HELD_OUT).groupBy("doc_id").agg(F.max("y").alias("y"))
-    known = feats.join(small(marks), "doc_id").select("y", "x")
+    scratch = Scratch(feats.sparkSession, "marks")
+    known = lookup(feats, scratch.save(marks, "marks"), "doc_id", scratch, "heavy", by=["doc_id"]).select("y", "x")
     d = len(NAMES)
 
     def fn(batch):

@@ -7,9 +7,10 @@ difference of the logarithms over its bytes and its end. It is accepted from a t
 urls of a fold that the counts leave out.
 
 All six-byte windows of the corpus are counted by Spark. The probabilities are worked out once for each different window,
-by a join on contexts; if the windows' weights pass a checked size they are joined to the urls, not broadcast.
+by a join on contexts. Tasks get the weights of the commonest windows, as many as a bound allows; what a url has of the
+others is joined, and a window that many urls share is dealt out.
 
-Defined cases: a null url or one without :// has an empty host and path, fits no rule, and is judged by the model (a null
+Defined cases: a very long url is scored over all its bytes; a null url or one without :// has an empty host and path, fits no rule, and is judged by the model (a null
 one scores 0); rows are judged one by one, equal urls alike; with no url marked for one of the classes that class has
 uniform probabilities, and with none left out for calibration the threshold is 0; an empty table gives an empty result;
 other columns are not looked at.
@@ -22,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fold, map_arrow
-from .text import pieces
+from .common import Scratch, fold, join_spread, lookup, map_arrow
+from .text import list_array, pieces
 
 #: Bytes of a window: five of context, one that follows.
 SPAN = 6
@@ -70,7 +71,7 @@ def _windows(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counts(urls: DataFrame) -> DataFrame:
-    """Each window of all urls and how often the marked ones (mark 1: accepted, 2: rejected) have it."""
+    """Each window of all urls, how often they have it (n), and how often the marked ones (mark 1: accepted, 2: rejected) do."""
 
     def fn(batch):
         mark = batch.column("mark").to_numpy()
@@ -78,14 +79,14 @@ def _counts(urls: DataFrame) -> DataFrame:
             key, row = _windows(buf, off)
             found, back = np.unique(key, return_inverse=True)
             got = [np.bincount(back, (mark[i:j] == m)[row], minlength=len(found)).astype(np.int64) for m in (1, 2)]
-            yield pa.table({"window": found, "n1": got[0], "n2": got[1]})
+            yield pa.table({"window": found, "n": np.bincount(back, minlength=len(found)).astype(np.int64), "n1": got[0], "n2": got[1]})
 
-    every = map_arrow(urls.select("url", "mark"), fn, "window long, n1 long, n2 long")
-    return every.groupBy("window").agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2"))
+    every = map_arrow(urls.select("url", "mark"), fn, "window long, n long, n1 long, n2 long", by="url")
+    return every.groupBy("window").agg(*[F.sum(c).alias(c) for c in ("n", "n1", "n2")])
 
 
-def _weights(counts: DataFrame) -> DataFrame:
-    """window and the difference of the logarithms of its last byte's probabilities in the two models."""
+def _weights(counts: DataFrame, scratch: Scratch) -> DataFrame:
+    """window, n, and the difference of the logarithms of its last byte's probabilities in the two models."""
     orders = F.explode(F.sequence(F.lit(0), F.lit(SPAN - 1))).alias("order")
     context = F.expr("shiftright(window, 8) & (shiftleft(1L, 8 * order) - 1)").alias("context")
     byte = F.col("window").bitwiseAND(255).alias("byte")
@@ -96,46 +97,78 @@ def _weights(counts: DataFrame) -> DataFrame:
         *[F.sum(f"n{m}").alias(f"c{m}") for m in (1, 2)],
         *[F.count_if(F.col(f"n{m}") > 0).alias(f"t{m}") for m in (1, 2)],
     )
-    asked = counts.select("window", orders).select("window", "order", context, byte)
+    asked = counts.select("window", "n", orders).select("window", "n", "order", context, byte)
     # contexts of one byte at most are few and on every window's way: broadcast; the others are joined
     few = asked.filter("order <= 1").join(F.broadcast(of.filter("order <= 1")), ["order", "context"], "left")
-    many = asked.filter("order > 1").join(of.filter("order > 1"), ["order", "context"], "left")
+    far = of.filter("order > 1")
+    many = join_spread(asked.filter("order > 1"), far, ["order", "context"], scratch, "contexts", by=["window"], how="left")
     hit = F.try_element_at("followers", "byte")
-    parts = few.unionByName(many).select("window", F.struct("order", *[F.coalesce(c, F.lit(0)).cast("double").alias(n) for n, c in (("n1", hit["n1"]), ("c1", F.col("c1")), ("t1", F.col("t1")), ("n2", hit["n2"]), ("c2", F.col("c2")), ("t2", F.col("t2")))]).alias("part"))
+    parts = few.unionByName(many).select("window", "n", F.struct("order", *[F.coalesce(c, F.lit(0)).cast("double").alias(n) for n, c in (("n1", hit["n1"]), ("c1", F.col("c1")), ("t1", F.col("t1")), ("n2", hit["n2"]), ("c2", F.col("c2")), ("t2", F.col("t2")))]).alias("part"))
 
     def p(m: int) -> Column:
         step = lambda p, x: F.when(x[f"c{m}"] > 0, (x[f"n{m}"] + x[f"t{m}"] * p) / (x[f"c{m}"] + x[f"t{m}"])).otherwise(p)
         return F.aggregate("parts", F.lit(1 / 256.0), step)
 
-    return parts.groupBy("window").agg(F.array_sort(F.collect_list("part")).alias("parts")).select("window", (F.ln(p(1)) - F.ln(p(2))).alias("weight"))
+    return parts.groupBy("window", "n").agg(F.array_sort(F.collect_list("part")).alias("parts")).select("window", "n", (F.ln(p(1)) - F.ln(p(2))).alias("weight"))
 
 
-def _scored(urls: DataFrame, weights: DataFrame, limit: int) -> DataFrame:
-    """urls(key, url, ...) with score, the mean weight of a url's windows."""
-    if weights.count() <= limit:
-        got = weights.toPandas().sort_values("window")
-        shared = urls.sparkSession.sparkContext.broadcast((got["window"].to_numpy(), got["weight"].to_numpy()))
-        names = urls.columns
+def _least_common(weights: DataFrame, limit: int) -> int:
+    """The least power of two so that at most ``limit`` windows occur as often."""
+    steps = weights.groupBy(F.floor(F.log2("n")).cast("int").alias("step")).count().orderBy(F.desc("step")).collect()  # 64 rows at most
+    least, held = 1 << 62, 0
+    for r in steps:
+        held += r["count"]
+        if held > limit:
+            break
+        least = 1 << r.step
+    return least
 
-        def fn(batch):
-            windows, weight = shared.value
-            score = np.zeros(batch.num_rows)
-            for i, j, buf, off in pieces(batch.column("url")):
-                key, row = _windows(buf, off)
-                score[i:j] = np.bincount(row, weight[np.searchsorted(windows, key)], minlength=j - i) / (np.diff(off) + 1)
-            score[batch.column("url").is_null().to_numpy(zero_copy_only=False)] = 0.0
-            yield pa.Table.from_arrays([*(batch.column(c) for c in names), pa.array(score)], [*names, "score"])
 
-        return map_arrow(urls, fn, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in urls.schema) + ", score double")
+def _scored(urls: DataFrame, weights: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
+    """urls(key, url, ...) with score, the mean weight of a url's windows; tasks get ``limit`` weights at most."""
+    least = _least_common(weights, limit)
+    got = weights.filter(F.col("n") >= least).select("window", "weight").toPandas().sort_values("window")
+    shared = urls.sparkSession.sparkContext.broadcast((got["window"].to_numpy(), got["weight"].to_numpy()))
+    names = urls.columns
 
-    def rows(batch):
+    def fn(batch):
+        windows, weight = shared.value
+        known, count, rest, ends = np.zeros(batch.num_rows), np.ones(batch.num_rows), [], [np.zeros(1, np.int64)]
         for i, j, buf, off in pieces(batch.column("url")):
             key, row = _windows(buf, off)
-            yield pa.table({"key": batch.column("key").take(pa.array(row + i)), "window": key, "n": (np.diff(off) + 1)[row]})
-
-    asked = map_arrow(urls.filter("url is not null").select("key", "url"), rows, "key long, window long, n long")
-    mean = asked.join(weights, "window").groupBy("key").agg((F.sum("weight") / F.max("n")).alias("score"))
-    return urls.join(mean, "key", "left").withColumn("score", F.coalesce("score", F.lit(0.0))).select(*urls.columns, "score")
+            at = np.searchsorted(windows, key)
+            hit = np.append(windows, -1)[at] == key
+            known[i:j] = np.bincount(row[hit], weight[at[hit]], minlength=j - i)
+            count[i:j] = np.diff(off) + 1
+            rest.append(key[~hit])
+            ends.append(ends[-1][-1] + np.cumsum(np.bincount(row[~hit], minlength=j - i)))
+        known[batch.column("url").is_null().to_numpy(zero_copy_only=False)] = 0.0
+        others = list_array(np.concatenate(rest), np.concatenate(ends), pa.int64())
+        yield pa.Table.from_arrays([*(batch.column(c) for c in names), pa.array(known), pa.array(count), others], [*names, "known", "count", "rest"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in urls.schema) + ", known double, count double, rest array<long>"
+    partly = map_arrow(urls, fn, schema, by="url")
+    rare = weights.filter(F.col("n") < least)
+    if rare.isEmpty():
+        return partly.withColumn("score", F.col("known") / F.col("count")).select(*names, "score")
+    partly = scratch.save(partly, "partly")
+    asked = partly.filter("url is not null").select("key", F.explode("rest").alias("window"))
+    sums = lookup(asked, scratch.save(rare, "rare").drop("n"), "window", scratch, "windows-heavy", by=["key"], rows=0, counts=rare.select("window", "n"))
+    sums = sums.groupBy("key").agg(F.sum("weight").alias("more"))
+    score = (F.col("known") + F.coalesce("more", F.lit(0.0))) / F.col("count")
+    return partly.join(sums, "key", "left").withColumn("score", score).select(*names, "score")
+
+
+def best_edge(at: np.ndarray, accepted: np.ndarray, rejected: np.ndarray) -> float:
+    """The edge between two steps (or before the first, after the last) that parts both classes with the best mean rate.
+
+    Of several best ones the one with the widest gap around it, then the lowest. at: the steps, in order.
+    """
+    rate = (accepted.sum() - np.concatenate([[0], np.cumsum(accepted)])) / accepted.sum() + np.concatenate([[0], np.cumsum(rejected)]) / rejected.sum()
+    below, above = np.concatenate([[at[0] - 2], at]), np.concatenate([at, [at[-1] + 2]])
+    best = np.flatnonzero(rate >= rate.max() - 1e-12)
+    chosen = best[(above - below)[best].argmax()]
+    return float(below[chosen] + above[chosen]) / 2
 
 
 def _threshold(scored: DataFrame) -> float:
@@ -146,11 +179,7 @@ def _threshold(scored: DataFrame) -> float:
     a, b = got["a"].to_numpy(dtype=float), got["b"].to_numpy(dtype=float)
     if not len(got) or not a.sum() or not b.sum():
         return 0.0
-    # a threshold between two steps: accepted from it on, rejected below it
-    rate = (a.sum() - np.concatenate([[0], np.cumsum(a)])) / a.sum() + np.concatenate([[0], np.cumsum(b)]) / b.sum()
-    best, at = np.flatnonzero(rate == rate.max()), got["at"].to_numpy(dtype=float)
-    edges = np.concatenate([[at[0] - 1], (at[:-1] + at[1:]) / 2, [at[-1] + 1]])
-    return float(edges[best].mean()) / 100
+    return best_edge(got["at"].to_numpy(dtype=float), a, b) / 100
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], limit: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -164,9 +193,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], limit: int = BROA
     urls = scratch.save(urls, "urls")
     mark = F.when(F.col("held_out") | F.col("verdict").isNull(), 0).when(F.col("verdict") == "allow", 1).otherwise(2)
     counts = scratch.save(_counts(urls.withColumn("mark", mark)), "counts")
-    weights = scratch.save(_weights(counts), "weights")
-    scored = scratch.save(_scored(urls, weights, limit), "scored")
+    weights = scratch.save(_weights(counts, scratch), "weights")
+    scored = scratch.save(_scored(urls, weights, limit, scratch), "scored")
     threshold = _threshold(scored)
-    scratch.drop("urls", "counts", "weights")
+    scratch.drop("urls", "counts", "weights", "partly", "rare", "contexts", "windows-heavy")
     said = F.coalesce("verdict", F.when(F.col("score") >= threshold, "allow").otherwise("block"))
     return scored.select("page_id", "url", "host", "path", "rule", "score", said.alias("verdict"))

@@ -16,7 +16,7 @@ DOCS = [
     (1, A), (2, A), (2, A), (3, None), (4, ""), (5, "   \n\t "), (6, LONG), (7, LONG + " more"), (8, "two words"), (9, "two words"),
     (None, A), (None, None), (10, LINES + "\nown"), (11, "before\n" + LINES), (12, "\n\n\n\n\n\n"), (13, "\n\n\n\n\n"), (14, A.upper()), (15, "x\n" * 9), (1, "another text of the same id"),
 ]
-EXTRA = ["key", "h", "row", "gone", "first", "n", "window", "score", "value", "payload", "media", "sequence_id", "offset", "label", "toxic", "_gone", "_id", "blob", "cid", "root"]
+EXTRA = ["key", "h", "row", "gone", "text_h", "draw", "confirmed", "unlabelled", "first", "n", "window", "score", "value", "payload", "media", "sequence_id", "offset", "label", "toxic", "_gone", "_id", "blob", "cid", "root"]
 
 
 def docs_of(spark, rows=DOCS):
@@ -219,28 +219,33 @@ def test_warc_of_no_pages(spark, tmp_path):
     assert warc.assemble(warc.read_warc(spark, f"file://{tmp_path}/w")).count() == 0
 
 
-def test_pipeline(spark, docs, none, labels, tmp_path):
+def test_stages_over_no_rows(spark, none, labels, tmp_path):
     import corpus_pipeline as pipeline
 
     folder = f"file://{tmp_path}"
     labels.write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, A)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
-    for rows in (docs, none):
-        now = rows
-        for name, stage in pipeline.STAGES:
-            out = stage(spark, now, folder)
-            if name != "packing":
-                assert out.columns == rows.columns
-                now = spark.createDataFrame(out.collect(), rows.schema)
-            else:
-                assert {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns) and out.select("doc_id").distinct().count() == now.select("doc_id").distinct().count()
-
-
-def test_benchmark_rows_are_dropped_one_by_one(spark, tmp_path):
-    import corpus_pipeline as pipeline
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, none, folder)
+        assert out.count() == 0 and (name == "packing" or out.columns == none.columns)
+
+
+@pytest.mark.parametrize("parts", [None, 2])
+def test_shuffled_sides_give_the_same(spark, docs, labels, monkeypatch, parts):
+    """With parts no side is broadcast and every frequent key is dealt out; results are those of broadcasts."""
+    from instdir.llm import common
+
+    items = spark.createDataFrame([("b", A), ("a", "TWO words"), ("c", "two words")], "item_id string, text string")
+    if parts:
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(common.Dealt.__init__, "__defaults__", (parts,))
+    lines = sorted((str(r.doc_id), str(r.text)[:50], str(r.n_chars)) for r in drop_repeated_lines(docs).collect())
+    hits = sorted((str(r.doc_id), r.n_words, r.n_hit, tuple(r.item_ids)) for r in contamination(docs, items).collect())
+    feats = quality.features(docs)
+    scores = sorted((str(r.doc_id), round(r.score, 9)) for r in quality.score(feats, quality.fit(feats, labels)).collect())
+    toxic = sorted((str(r.doc_id), round(r.score, 6)) for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect())
+    _seen.setdefault("got", (lines, hits, scores, toxic))
+    assert _seen["got"] == (lines, hits, scores, toxic)
+
 
-    spark.createDataFrame([("i", A)], "item_id string, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
-    clean = "nothing of it is here"
-    df = docs_of(spark, [(None, A), (None, clean), (None, None), (20, "so " + A), (20, clean), (20, None), (21, A), (22, clean)])
-    got = [(r.doc_id, r.text) for r in pipeline.without_benchmark(spark, df, f"file://{tmp_path}").collect()]
-    assert sorted(got, key=str) == sorted([(None, clean), (None, None), (20, clean), (20, None), (22, clean)], key=str)
+_seen: dict = {}

@@ -135,11 +135,15 @@ def test_held_out_accuracy(spark, name, label, of, least):
 def test_op8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     got = Q.op8_blob_ledger(spark, sf_dir).toPandas().set_index("doc_id")
+    wide = [r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"gh[pousr]_[A-Za-z0-9]{36,}", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"[a-z][a-z0-9+.-]*://[A-Za-z0-9._~%-]+:[A-Za-z0-9._~%-]+@"]
     for i, text in zip(docs.doc_id, docs.text):
         found = [(m.start(), 0, m.end(), "assign") for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A) if len(m[2]) >= 6]
         found += [(m.start(), 1, m.end(), "access") for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
         found += [(m.start(), 2, m.end(), "hex") for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+        base = ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(found))
+        for rank, (kind, pattern) in enumerate(zip(("key", "token", "web", "login"), wide)):
+            found += [(m.start(), 3 + rank, m.end(), kind) for m in re.finditer(pattern, text, re.A)]
         spans = ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(found))
         r = got.loc[i]
-        assert (r.spans, r.base_sha256) == (spans, hashlib.sha256(spans.encode()).hexdigest())
+        assert (r.spans, r.base_sha256) == (spans, hashlib.sha256(base.encode()).hexdigest())
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(f[3] == k for f in found) for k in ("assign", "access", "hex")]
