@@ -42,7 +42,7 @@ _LETTER = np.zeros(256, dtype=bool)
 _LETTER[97:123] = True
 _MARK = NONSPACE.copy()
 _MARK[97:123] = _MARK[128:] = False
-#: Words whose ids a worker keeps at most, and their bytes; beyond that it starts anew.
+#: Words whose ids a worker keeps at most, and their bytes; beyond that only those met in several batches stay.
 CACHE_WORDS, CACHE_BYTES = 500_000, 32 << 20
 _tokenizers: dict[str, "WordTokenizer"] = {}
 
@@ -69,6 +69,23 @@ class WordTokenizer:
         self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, and whose ids they have
         self.ids, self.off = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64)
         self.bytes, self.byte_off = np.zeros(1 << 20, np.uint8), np.zeros(1 << 18, np.int64)
+        self.met = np.zeros(0, np.int64)  # in how many batches
+
+    def _shrink(self) -> None:
+        """Forget words until at most half of the bounds are used: first those met once."""
+        size, least = np.diff(self.byte_off[: len(self.keys) + 1]), 1
+        stay = np.ones(len(self.keys), dtype=bool)
+        while stay.sum() > CACHE_WORDS // 2 or size[stay].sum() > CACHE_BYTES // 2:
+            least += 1
+            stay = self.met >= least
+        kept, new = np.flatnonzero(stay), np.cumsum(stay) - 1
+        keys, place, met = self.keys[stay[self.place]], new[self.place[stay[self.place]]], self.met[kept] // 2
+        held = [(d, o, np.diff(o[: len(stay) + 1])[kept]) for d, o in ((self.ids, self.off), (self.bytes, self.byte_off))]
+        self.clear()
+        parts = [(d[np.repeat(o[kept] - np.cumsum(n) + n, n) + np.arange(n.sum())], n) for d, o, n in held]
+        self.ids, self.off = self._kept(self.ids, self.off, 0, parts[0][1], parts[0][0])
+        self.bytes, self.byte_off = self._kept(self.bytes, self.byte_off, 0, parts[1][1], parts[1][0])
+        self.keys, self.place, self.met = keys, place, met
 
     def _learn(self, hashes: np.ndarray, parts: list[bytes]) -> None:
         plain = [i for i, p in enumerate(parts) if p.isalpha()]
@@ -83,6 +100,7 @@ class WordTokenizer:
         self.bytes, self.byte_off = self._kept(self.bytes, self.byte_off, n, [len(p) for p in parts], np.frombuffer(b"".join(parts), np.uint8))
         at = np.searchsorted(self.keys, hashes)
         self.keys, self.place = np.insert(self.keys, at, hashes), np.insert(self.place, at, np.arange(n, n + k))
+        self.met = np.append(self.met, np.zeros(k, np.int64))
 
     @staticmethod
     def _kept(data: np.ndarray, off: np.ndarray, n: int, lens: list[int], more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,13 +124,14 @@ class WordTokenizer:
         found, first, back = np.unique(hash_spans(low, start, end), return_index=True, return_inverse=True)
         same = (size == size[first][back]) & same_spans(low, start, end, padded, start[first][back])
         if len(self.keys) + len(found) > CACHE_WORDS or self.byte_off[len(self.keys)] > CACHE_BYTES:
-            self.clear()
+            self._shrink()
         at = np.searchsorted(self.keys, found)
         new = np.flatnonzero(np.append(self.keys, np.uint64(0))[at] != found) if len(self.keys) else np.arange(len(found))
         if len(new):
             data = low.tobytes()
             self._learn(found[new], [data[start[first[i]] : end[first[i]]] for i in new.tolist()])
         word = self.place[np.searchsorted(self.keys, found)]
+        self.met[word] += 1
         order = np.argsort(first)
         one, held = first[order], word[order]
         known = (size[one] == (self.byte_off[held + 1] - self.byte_off[held])) & same_spans(low, start[one], end[one], self.bytes, self.byte_off[held])

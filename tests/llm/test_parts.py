@@ -228,6 +228,19 @@ def test_tokens_when_words_share_a_hash(monkeypatch, hashed):
             assert ids[begin[r] : begin[r + 1]].tolist() == tok.tokenizer.encode(w, add_special_tokens=False).ids + [1]
 
 
+def test_words_are_forgotten(monkeypatch):
+    """With little room the ids stay right, and words met again and again stay known."""
+    monkeypatch.setattr(packing, "CACHE_WORDS", 40)
+    tok = packing.WordTokenizer(open(vocabulary(), encoding="utf-8").read())
+    for n in range(12):
+        rows = ["the one and only", " ".join(f"word{n}x{i}" for i in range(12)), "the one, the two"]
+        ids, begin = tok.encode(*text.utf8(pa.array(rows)), end_id=1)
+        for r, w in enumerate(rows):
+            assert ids[begin[r] : begin[r + 1]].tolist() == tok.tokenizer.encode(w, add_special_tokens=False).ids + [1]
+        assert len(tok.keys) == len(tok.place) == len(tok.met) and (np.diff(tok.keys.astype(object)) > 0).all()
+    assert max(tok.met) >= 2 and len(tok.keys) < 80
+
+
 def test_equal_rows_are_numbered_in_parts(spark):
     """A length that all rows share is dealt out by count, equal rows too; places stay without gaps."""
     items = spark.range(20_000).select(F.col("id").alias("row"), F.lit(None).cast("long").alias("doc_id"), F.lit(1).cast("long").alias("length"))
