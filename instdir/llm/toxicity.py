@@ -36,6 +36,8 @@ from .text import ALNUM, bounds, list_array, mix, pieces, words
 #: Log of the number of word buckets: the model's size is fixed.
 LOG_BUCKETS = 20
 HELD_OUT_OF, HELD_OUT = 4, 2
+#: The prior that is used where it is neither given nor found.
+PRIOR = 0.1
 
 
 @dataclass(frozen=True)
@@ -101,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 8000, unlabelled: i
     sizes = np.diff(lists.offsets.to_numpy())
     rows, cols = np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy()
     is_p, is_u = is_p[order], is_u[order]
-    rank, seen = _unseen_ranks(rows, cols, is_p, is_u, prior or 0.1, min_z, steps)
+    rank, seen = _unseen_ranks(rows, cols, is_p, is_u, prior or PRIOR, min_z, steps)
     if prior is None:
         prior = least_ratio(rank[is_p & seen], rank[is_u & seen])
     share = best_share(rank[is_p & seen], rank[is_u & seen], prior, threshold)
@@ -142,18 +144,23 @@ def best_share(positive: np.ndarray, unlabelled: np.ndarray, prior: float, thres
     if not len(positive) or not len(unlabelled):
         return prior
     share_p, share_u = _shares(positive, unlabelled)
+    share_p, share_u = np.append(share_p, 0), np.append(share_u, 0)  # or no flag at all
     missed, flagged = prior * (1 - share_p), np.maximum(0, share_u - prior * share_p)
     return float(share_u[((1 - threshold) * missed + threshold * flagged).argmin()])
 
 
 def least_ratio(positive: np.ndarray, unlabelled: np.ndarray, confidence: float = 0.1, weight: float = 0.01) -> float:
-    """The prior by the best top bin: of all thresholds the one whose ratio of shares, with its margin, is least; its ratio."""
+    """The prior by the best top bin: of all thresholds the one whose ratio of shares, with its margin, is least; its ratio.
+
+    Where no threshold tells the two apart (a ratio over a half) it is PRIOR.
+    """
     if not len(positive) or not len(unlabelled):
-        return 0.1
+        return PRIOR
     share_p, share_u = _shares(positive, unlabelled)
     margin = sum(np.sqrt(np.log(4 / confidence) / (2 * len(x))) for x in (positive, unlabelled))
     best = (share_u / share_p + (1 + weight) / share_p * margin).argmin()
-    return float(np.clip(share_u[best] / share_p[best], 1e-3, 0.99))
+    ratio = float(share_u[best] / share_p[best])
+    return max(ratio, 1e-3) if ratio <= 0.5 else PRIOR
 
 
 def risk(z: np.ndarray, is_p: np.ndarray, is_u: np.ndarray, prior: float) -> tuple[float, float]:

@@ -377,6 +377,8 @@ def test_share_to_flag_is_the_best_there_is():
     share = toxicity.best_share(positive, unlabelled, 0.2)
     edge = toxicity._edge(unlabelled, share)
     assert abs((unlabelled >= edge).mean() - share) < 1e-9 and wrong(edge) <= min(map(wrong, positive)) + 1e-9 and 0.15 < share < 0.25
+    none = np.zeros(50)  # a classifier that tells nothing: no flag
+    assert toxicity.least_ratio(none, none) == toxicity.PRIOR and toxicity.best_share(none, none, toxicity.PRIOR) == 0 and toxicity._edge(none, 0) == 1.0
     assert toxicity._edge(np.array([0.0] * 90 + [1.0] * 10), 0.2) == 1.0 and toxicity._edge(np.zeros(5), 0.1) == 1.0
 
 
