@@ -113,35 +113,6 @@ def op10_regularised_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score(feats, model), quality.HELD_OUT_OF, quality.HELD_OUT)
 
 
-def _either_case(word: str) -> str:
-    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
-
-
-def _spans_sql() -> str:
-    """Every kind's findings as (start, rank, end, kind), from texts in which matches are marked by two characters of private use."""
-    parts = []
-    for rank, (kind, pattern, _, group, least) in enumerate(r for rules in secret_scan.VERSIONS.values() for r in rules):
-        if kind == "assign":
-            words = "|".join(map(_either_case, ("password", "passwd", "secret", "token", "api_?key")))
-            pattern = pattern.replace("password|passwd|secret|token|api_?key", words)
-        pattern = pattern.replace("'", "''")
-        marked = rf"string_split(regexp_replace(t, '{pattern}', chr(57344) || '\0' || chr(57345), 'g'), chr(57344))"
-        said = f"regexp_extract_all(t, '{pattern}', {group})"
-        before = "list_sum(list_transform(p[1:i], lambda x: length(replace(x, chr(57345), ''))))"
-        parts.append(
-            f"list_filter(list_transform(range(1, len({marked})), lambda i: {{'s': CAST({before.replace('p[', marked + '[')} AS BIGINT), 'r': {rank}, "
-            f"'e': CAST({before.replace('p[', marked + '[')} AS BIGINT) + strpos({marked}[i + 1], chr(57345)) - 1, 'k': '{kind}', 'n': length({said}[i])}}), lambda f: f.n >= {least})"
-        )
-    return f"list_sort(list_concat({', '.join(parts)}))"
-
-
-def _told_sql(found: str) -> str:
-    return f"array_to_string(list_transform({found}, lambda f: f.k || ':' || f.s || ':' || f.e), ',')"
-
-
-_BASE_KINDS = "[" + ", ".join(f"'{r[0]}'" for r in secret_scan.RULES) + "]"
-
-
 QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_linear_grouping, op3_prefix_filtered_windows, op4_minhash_odd_sketches, op5_png_cosine, op6_markov_ratio, op7_positive_unlabelled, op8_blob_ledger, op9_three_line_windows, op10_regularised_qda)}
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_transactions": """
@@ -180,13 +151,6 @@ l AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids F
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(l.n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(l.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN l ON l.doc_id = d.doc_id
-""",
-    "op8_blob_ledger": f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-f AS (SELECT doc_id, {_spans_sql()} AS found FROM d)
-SELECT doc_id, {", ".join(f"CAST(len(list_filter(found, lambda f: f.k = '{k}')) AS BIGINT) AS n_{k}" for k in ("assign", "access", "hex"))},
-       sha256({_told_sql(f"list_filter(found, lambda f: list_contains({_BASE_KINDS}, f.k))")}) AS base_sha256, {_told_sql("found")} AS spans
-FROM f
 """,
     "op9_three_line_windows": """
 WITH l AS (SELECT doc_id, text, n_chars, string_split(text, chr(10)) AS lines FROM documents),
