@@ -87,7 +87,8 @@ class WordTokenizer:
         self.bytes, self.byte_off = self._kept(self.bytes, self.byte_off, 0, parts[1][1], parts[1][0])
         self.keys, self.place, self.met = keys, place, met
 
-    def _learn(self, hashes: np.ndarray, parts: list[bytes]) -> None:
+    def _ids(self, parts: list[bytes]) -> list[list[int]]:
+        """The ids of parts that are met for the first time."""
         plain = [i for i, p in enumerate(parts) if p.isalpha()]
         other = sorted(set(range(len(parts))) - set(plain))
         got: list = [None] * len(parts)
@@ -95,6 +96,10 @@ class WordTokenizer:
             got[i] = [t.id for t in self.model.tokenize(parts[i].decode())]
         for i, e in zip(other, self.tokenizer.encode_batch([parts[i].decode("utf-8", "replace") for i in other], add_special_tokens=False), strict=True):
             got[i] = e.ids
+        return got
+
+    def _learn(self, hashes: np.ndarray, parts: list[bytes]) -> None:
+        got = self._ids(parts)
         n, k = len(self.keys), len(got)
         self.ids, self.off = self._kept(self.ids, self.off, n, [len(x) for x in got], np.fromiter((t for x in got for t in x), np.uint32))
         self.bytes, self.byte_off = self._kept(self.bytes, self.byte_off, n, [len(p) for p in parts], np.frombuffer(b"".join(parts), np.uint8))
@@ -111,6 +116,11 @@ class WordTokenizer:
         off[n + 1 : n + len(lens) + 1] = at + np.cumsum(lens)
         return data, off
 
+    @staticmethod
+    def _folded(buf: np.ndarray) -> np.ndarray:
+        """The bytes by which parts are told apart."""
+        return LOWER[buf]
+
     def _parts(self, low: np.ndarray, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of what lies between white space and before marks that follow a letter."""
         cut = np.flatnonzero(_LETTER[low[:-1]] & _MARK[low[1:]]) + 1 if len(low) > 1 else np.zeros(0, np.int64)
@@ -139,9 +149,12 @@ class WordTokenizer:
         sure[order] = known
         return word[back], same & sure[back]
 
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def encode(self, buf: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of each text, closed by end_id, one after another, and where each text's begin."""
-        n, low = len(off) - 1, LOWER[buf]
+        n, low = len(off) - 1, self._folded(buf)
         start, end = self._parts(low, buf, off)
         row = np.searchsorted(off, start, "right") - 1
         alone = self._entangled(buf, off)
@@ -153,7 +166,7 @@ class WordTokenizer:
             alone = np.union1d(alone, row[~sure])
             keep = ~np.isin(row, alone)
             row, word = row[keep], word[keep]
-        whole = {int(r): self.tokenizer.encode(buf[off[r] : off[r + 1]].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids for r in alone}
+        whole = {int(r): self._whole(buf[off[r] : off[r + 1]].tobytes().decode("utf-8", "replace")) for r in alone}
         lens = self.off[word + 1] - self.off[word]
         size = np.bincount(row, lens, minlength=n).astype(np.int64) + 1
         for r, ids in whole.items():

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import media, quality, secret_scan, toxicity, warc
+from .alignment import align_documents
+from .binary_packing import pack_binary
 from .common import Scratch, fold
 from .decontaminate import contamination
 from .line_dedup import drop_repeated_lines
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .runs import periodic_runs
 from .url_filter import judge_urls
 
 
@@ -113,7 +116,23 @@ def op10_regularised_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score(feats, model), quality.HELD_OUT_OF, quality.HELD_OUT)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_linear_grouping, op3_prefix_filtered_windows, op4_minhash_odd_sketches, op5_png_cosine, op6_markov_ratio, op7_positive_unlabelled, op8_blob_ledger, op9_three_line_windows, op10_regularised_qda)}
+def op11_power_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pack_binary(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket", "number")
+
+
+def op12_square_catching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs(_table(spark, sf_dir, "documents"))
+    told = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    hashes = [F.sha2(c.cast("binary"), 256).alias(name) for c, name in ((told, "runs_sha256"), (F.col("text"), "collapsed_sha256"))]
+    return out.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", *hashes)
+
+
+def op13_diagonal_skipping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")).drop("row")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_linear_grouping, op3_prefix_filtered_windows, op4_minhash_odd_sketches, op5_png_cosine, op6_markov_ratio, op7_positive_unlabelled, op8_blob_ledger, op9_three_line_windows, op10_regularised_qda, op11_power_of_two, op12_square_catching, op13_diagonal_skipping)}
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_transactions": """
 WITH h AS (SELECT page_id, coalesce(html, '') AS p, sha1(coalesce(html, '')) AS s FROM pages),

@@ -45,10 +45,10 @@ _HEAD = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=U64)
 
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column one after another, and where each row begins and ends; null as empty."""
+    """The bytes of a string or binary column one after another, and where each row begins and ends; null as empty."""
     if col.null_count:
-        col = pc.fill_null(col, "")
-    col = col.cast(pa.large_string())
+        col = pc.fill_null(col, pa.scalar("").cast(col.type))
+    col = col.cast(pa.large_binary())
     _, offsets, data = col.buffers()
     off = np.frombuffer(offsets, np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
     buf = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
