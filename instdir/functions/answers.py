@@ -29,6 +29,11 @@ def parse_response(text: Column) -> Column:
     return _bound(strip_fences(text), lambda body: _bound(F.when(body.endswith("}"), F.try_parse_json(body)), lambda v: F.when(_has_data(v), v)))
 
 
+def has_data(text: Column) -> Column:
+    """Whether ``parse_response`` gives something; no key is read."""
+    return F.coalesce(parse_response(text).isNotNull(), F.lit(False))
+
+
 def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
     """f of the value, which is worked out once however often f names it."""
     return F.transform(F.array(value), f)[0]

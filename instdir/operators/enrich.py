@@ -41,11 +41,24 @@ def render_request(df: DataFrame, templates: dict[str, str] | None = None) -> Da
     return df.withColumn("prompt", prompt).withColumn("request_id", F.sha2(F.col("prompt").cast("binary"), 256))
 
 
-def enrich(requests: DataFrame, responses: DataFrame, on: str = "request_id") -> DataFrame:
-    """requests with text and answer (its fields; null without data). Of several answers the least one counts."""
-    one = responses.groupBy(on).agg(F.min(F.struct("http_status", "envelope")).alias("r"))
-    out = requests.join(one, on, "left").withColumn("text", A.response_text(F.col("r.http_status"), F.col("r.envelope"))).drop("r")
-    return A.read_answers(out)
+def best_answers(responses: DataFrame, on: str = "request_id", attempt: str | None = "attempt") -> DataFrame:
+    """One row a request, with text: of several answers the one that counts.
+
+    An answer with data is before any without, one with text before one without any, then the latest attempt (a column that
+    may be missing; null is the earliest), then the text itself, so the choice is the same on every run. What is compared is
+    worked out before the shuffle from status, text and whether the text parses; no field of an answer is read for it, and
+    only the text is shuffled. Tasks keep one answer a request, so a request that was tried very often is no hot key.
+    """
+    text = A.response_text(F.col("http_status"), F.col("envelope"))
+    tried = F.col(attempt).cast("long") if attempt in responses.columns else F.lit(None).cast("long")
+    told = responses.select(on, tried.alias("attempt"), F.explode(F.array(text)).alias("text"))  # the text is worked out once
+    rank = F.struct(A.has_data(F.col("text")).alias("usable"), F.col("text").isNotNull().alias("answered"), "attempt", "text")
+    return told.select(on, rank.alias("rank")).groupBy(on).agg(F.max("rank").alias("rank")).select(on, "rank.text")
+
+
+def enrich(requests: DataFrame, responses: DataFrame, on: str = "request_id", attempt: str | None = "attempt") -> DataFrame:
+    """requests with text and answer (its fields; null without data), from the best of each one's answers."""
+    return A.read_answers(requests.join(best_answers(responses, on, attempt), on, "left"))
 
 
 def records(df: DataFrame, regions: Sequence[str] = INDIA, source: str = "model", no_data: str = NO_DATA) -> DataFrame:
@@ -91,12 +104,12 @@ def without_gate(df: DataFrame) -> DataFrame:
     return df.withColumn("gate_error", F.lit(None).cast("string"))
 
 
-def build_records(requests: DataFrame, responses: DataFrame, on: str = "request_id", regions: Sequence[str] = INDIA) -> DataFrame:
+def build_records(requests: DataFrame, responses: DataFrame, on: str = "request_id", regions: Sequence[str] = INDIA, attempt: str | None = "attempt") -> DataFrame:
     """The records of requests (with gate_error) and their answers; requests that the gate stopped take none.
 
     Stopped rows go round the join, so the gate is before the expensive part.
     """
-    asked = enrich(requests.filter("gate_error is null"), responses, on)
+    asked = enrich(requests.filter("gate_error is null"), responses, on, attempt)
     stopped = requests.filter("gate_error is not null").withColumn("text", F.lit(None).cast("string"))
     stopped = stopped.withColumn("answer", F.lit(None).cast(A.ANSWER))
     return records(asked.unionByName(stopped), regions)

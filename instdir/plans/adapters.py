@@ -98,6 +98,14 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(i.alias("row_number"), F.when(i % 13 == 0, 500).otherwise(200).alias("http_status"), envelope.alias("envelope"))
 
 
+def retried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same answers as three to a request, in every order of their attempts, some attempts shared and some unknown."""
+    i = F.col("row_number")
+    k = F.floor(i / 3)
+    attempt = F.least((5 * (i % 3) + k) % 3, F.lit(1))
+    return responses(spark, sf_dir).select(k.alias("row_number"), F.when(i % 17 != 0, attempt).alias("attempt"), "http_status", "envelope")
+
+
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contacts from customers: phones of six kinds, some emails empty."""
     c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
@@ -174,6 +182,10 @@ responses AS (SELECT event_id AS row_number, CASE WHEN event_id % 13 = 0 THEN 50
 texted AS (SELECT *, {_STRIP("CASE WHEN http_status = 200 THEN json_extract_string(CAST(envelope AS JSON), '$.candidates[0].content.parts[0].text') END")} AS text FROM responses),
 bare AS (SELECT *, {_STRIP("CASE WHEN contains(text, '```') THEN array_to_string(list_filter(string_split(text, chr(10)), lambda l: NOT starts_with(trim(l), '```')), chr(10)) ELSE text END")} AS plain FROM texted),
 parsed AS (SELECT *, CASE WHEN plain LIKE '%}}' AND json_valid(plain) THEN CASE WHEN json_type(CAST(plain AS JSON)) = 'OBJECT' AND len(json_keys(CAST(plain AS JSON))) > 0 THEN CAST(plain AS JSON) END END AS v FROM bare)""",
+    "picked": """
+picked AS (SELECT row_number // 3 AS row_number, text, v, row_number() OVER (PARTITION BY row_number // 3 ORDER BY v IS NOT NULL DESC, text IS NOT NULL DESC,
+       CASE WHEN row_number % 17 <> 0 THEN least((5 * (row_number % 3) + row_number // 3) % 3, 1) END DESC NULLS LAST, text DESC NULLS LAST) AS nth FROM parsed
+       QUALIFY nth = 1)""",
     "contacts": """
 contacts AS (SELECT CAST(c_custkey AS VARCHAR) AS user_id, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE lower(c_name) || '@x.example' END AS email,
        CASE c_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN CAST(9000000000 + c_custkey AS VARCHAR) WHEN 2 THEN '+91 ' || CAST(9000000000 + c_custkey AS VARCHAR)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from ..operators import cards, clean, contacts, enrich, facets, load, scoring, s
 from ..schemas import CONTACTS, LISTING, RECORDS
 from ..sources import files
 from ..sources.scratch import fresh
-from ..streaming.ingest import ingest_incremental
+from ..streaming.ingest import ingest_incremental, read_ingested
 from . import adapters as ad
 from . import batch
 
@@ -415,6 +416,14 @@ def enrich_join(spark, sf_dir):
     return out.select("row_number", F.col("text").isNotNull().alias("answered"), F.col("answer").isNotNull().alias("has_data"))
 
 
+@proof("SELECT c.row_number, p.text IS NOT NULL AS answered, p.v IS NOT NULL AS has_data, coalesce(sha256(p.text), '') AS told FROM clean c LEFT JOIN picked p USING (row_number)", *_BOTH, "picked")
+def enrich_retries(spark, sf_dir):
+    """Requests with three answers each: failed, empty, fenced, broken and good ones in every order."""
+    out = enrich.enrich(_clean(spark, sf_dir), ad.retried(spark, sf_dir), "row_number")
+    told = F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("")).alias("told")
+    return out.select("row_number", F.col("text").isNotNull().alias("answered"), F.col("answer").isNotNull().alias("has_data"), told)
+
+
 @proof(f"SELECT 'bank' AS origin, * FROM ({_BANKS_SQL}) UNION ALL SELECT 'nbfc' AS origin, * FROM ({_OTHERS_SQL})", *_BOTH)
 def pipeline_records(spark, sf_dir):
     banks, others = (_shown(f(spark, sf_dir).select("row_number", "record.*")).withColumn("origin", F.lit(name)) for f, name in ((_banks, "bank"), (_others, "nbfc")))
@@ -522,9 +531,17 @@ def union_sources(spark, sf_dir):
 
 @proof("SELECT event_id, user_id, event_type FROM events WHERE value >= 10")
 def incremental_ingest(spark, sf_dir):
-    """A file stream run twice; the second run finds nothing new."""
-    root = fresh(spark, "ingest")
-    schema = ad.table(spark, sf_dir, "events").schema
-    for _ in range(2):
-        ingest_incremental(spark, f"{sf_dir}/event[s].parquet", schema, f"{root}/out", f"{root}/log", lambda df: df.filter("value >= 10").select("event_id", "user_id", "event_type"))
-    return spark.read.parquet(f"{root}/out")
+    """Twelve files taken three at a time: a run that fails at a row, one that takes what is left, one that finds nothing new."""
+    root, events = fresh(spark, "ingest"), ad.table(spark, sf_dir, "events")
+    events.repartition(12, "event_id").write.parquet(f"{root}/in")
+    columns = events.select("event_id", "user_id", "event_type").schema
+    worst = events.filter("value >= 10").agg(F.max("event_id")).first()[0]
+    broken = lambda df: wanted(df).withColumn("event_id", F.when(F.col("event_id") == worst, F.raise_error(F.lit("a broken row"))).otherwise(F.col("event_id")))
+    wanted = lambda df: df.filter("value >= 10").select("event_id", "user_id", "event_type")
+    for transform in (broken, wanted, wanted):
+        try:
+            ingest_incremental(spark, f"{root}/in", events.schema, f"{root}/out", f"{root}/log", transform, files_per_batch=3)
+        except StreamingQueryException:
+            if transform is not broken:
+                raise
+    return read_ingested(spark, f"{root}/out", columns)

@@ -1,9 +1,11 @@
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from instdir.operators.enrich import build_records, enrich, outcome, with_gate, without_gate
 from instdir.schemas import RECORDS
 from instdir.sources import files
-from instdir.streaming.ingest import ingest_incremental
+from instdir.streaming.ingest import ingest_incremental, read_ingested
 
 
 def test_files_with_other_columns_unite_by_name(spark, tmp_path):
@@ -56,6 +58,27 @@ def test_second_run_takes_new_files_alone(spark, tmp_path):
     assert spark.read.parquet(sink).count() == 4
 
 
+def test_a_run_that_dies_keeps_its_batches(spark, tmp_path):
+    """Ten files, two a batch, a failure in the middle: the second run reads only what wasn't committed, and no row is there twice."""
+    src, sink, log = (str(tmp_path / x) for x in ("src", "sink", "log"))
+    for i in range(10):
+        spark.range(100 * i, 100 * i + 7).coalesce(1).write.mode("append").parquet(src)
+    schema = spark.range(1).schema
+    run = lambda t: ingest_incremental(spark, src, schema, sink, log, t, files_per_batch=2)
+    assert read_ingested(spark, sink, schema).count() == 0
+    with pytest.raises(StreamingQueryException):
+        run(lambda d: d.select(F.when(F.col("id") == 503, F.raise_error(F.lit("broken")).cast("long")).otherwise(F.col("id")).alias("id")))
+    kept = {r.id for r in read_ingested(spark, sink, schema).collect()}
+    before = len(kept) // 14
+    assert 0 < before < 5 and len(kept) == 14 * before
+    done = run(lambda d: d)
+    assert [b["rows"] for b in done] == [14] * (5 - before) and done[0]["batch"] == before
+    ids = [r.id for r in read_ingested(spark, sink, schema).collect()]
+    assert sorted(ids) == [100 * i + j for i in range(10) for j in range(7)]
+    assert run(lambda d: d) == [] and ingest_incremental(spark, src, schema, sink, log + "2", bytes_per_batch=1)
+    assert read_ingested(spark, sink, schema).count() == 140  # another checkpoint has its own folders
+
+
 def _answer(body):
     return '{"candidates":[{"content":{"parts":[{"text":"%s"}]}}]}' % body.replace('"', '\\"')
 
@@ -82,6 +105,28 @@ def test_records_of_requests_and_answers(spark):
     assert gated["2"].extraction_status == "success" and enrich(requests, responses).count() == 5
 
 
+def test_the_good_answer_counts_in_every_order(spark):
+    from itertools import permutations
+
+    good, other = _answer('{"hq_city":"Pune"}'), _answer('{"hq_city":"Goa"}')
+    fenced = '{"candidates":[{"content":{"parts":[{"text":"```json\\n{\\"hq_city\\":\\"Pune\\"}\\n```"}]}}]}'
+    bad = [(100, "x"), (500, good), (200, "x"), (200, _answer("{}")), (200, _answer("[1]")), (200, ""), (200, None), (None, None)]
+    rows, n = [], 0
+    for a in bad:
+        for b in bad:
+            for answers in permutations([a, b, (200, fenced if n % 2 else good)]):
+                rows += [(str(n), k, *x) for k, x in enumerate(answers)]
+                n += 1
+    rows += [("both", 1, 200, other), ("both", 2, 200, good), ("both", None, 200, other), ("none", 1, 100, "x"), ("none", 2, 500, good)]
+    responses = spark.createDataFrame(rows, "request_id string, attempt int, http_status int, envelope string")
+    requests = responses.select("request_id").distinct().unionByName(spark.createDataFrame([("unasked",)], "request_id string"))
+    got = {r.request_id: r.answer and r.answer.hq_city for r in enrich(requests, responses).collect()}
+    assert len(got) == n + 3 and {v for k, v in got.items() if k not in ("none", "unasked")} == {"Pune"}
+    assert got["none"] is None and got["unasked"] is None
+    twice = {r.request_id: r.text for r in enrich(requests, responses.unionByName(responses).drop("attempt")).collect()}
+    assert twice["both"] == '{"hq_city":"Pune"}' and enrich(requests, responses.filter("false")).filter("answer is not null").count() == 0
+
+
 def test_batch_of_seeds_and_candidates(spark):
     from instdir.plans import batch
     from instdir.sources.seeds import bank_seeds
