@@ -2,7 +2,7 @@
 
 Both tokenizers' tokens of one text are byte ranges whose ends ascend; where an A and a B token end together the text is cut
 into groups. Texts are mostly stretches where one A token is one B token, and there both arrays of ends agree at a fixed shift
-of their indexes. So ends are compared at the present shift in blocks of 1, 2, 4, ... tokens; the block that differs is halved
+of their indexes. So ends are compared at the present shift in blocks of 4, 8, 16, ... tokens; the block that differs is halved
 down to the last agreeing token. What follows is an irregular group: the side whose end is behind moves on until both ends
 meet, which gives the new shift.
 
@@ -48,6 +48,7 @@ class TokenPair:
 
     def __init__(self, name: str, vocabulary: str, model: bytes):
         self.a, self.b = byte_tokenizer(f"{name}-plain", vocabulary, special=False), PieceTokenizer(model)
+        self.a.share = self.b.share = 0.5
         self.bytes_a, self.bytes_b = (np.array(x, dtype=object) for x in (bytes_of_a(self.a.tokenizer), bytes_of_b(self.b.pieces)))
         self.len_a, self.len_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
         # each id in figures with what follows it: a comma, or at a group's end a bar (A) or a semicolon (B)
@@ -78,7 +79,7 @@ def align(ends_a: list[int], ends_b: list[int]) -> tuple[bytearray, bytearray]:
     i = j = 0
     while i < n:
         # along the diagonal, twice as far at each probe; once ends differ, half as far
-        begin, step = i, 1
+        begin, step = i, 4
         while i < n and ends_a[i : i + step] == ends_b[j : j + step]:
             i, j, step = i + step, j + step, 2 * step
         while step > 1 and i < n:
@@ -103,23 +104,49 @@ def align(ends_a: list[int], ends_b: list[int]) -> tuple[bytearray, bytearray]:
     return last_a, last_b
 
 
-def _row(pair: TokenPair, text: bytes, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[int, int, int, str, np.ndarray]:
-    """n_a, n_b, n_groups, the hash of the groups, and the links as A id * size of B + B id, of one text with its space."""
-    none = 0, 0, 0, "", np.zeros(0, np.int64)
-    if len(text) < 2 or b"".join(pair.bytes_a[ids_a].tolist()) != text or b"".join(pair.bytes_b[ids_b].tolist()) != text:
-        return none
+def _differing(data: bytes, off: np.ndarray, tokens: list[bytes], begin: np.ndarray) -> np.ndarray:
+    """Whether each text isn't what its tokens' bytes make."""
+    if b"".join(tokens) == data:
+        return np.zeros(len(off) - 1, dtype=bool)
+    return np.array([b"".join(tokens[begin[r] : begin[r + 1]]) != data[off[r] : off[r + 1]] for r in range(len(off) - 1)], dtype=bool)
+
+
+def _without_last(ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's ids without the one that closes them."""
+    keep = np.ones(len(ids), dtype=bool)
+    keep[begin[1:] - 1] = False
+    return ids[keep].astype(np.int64), begin - np.arange(len(begin))
+
+
+def _of_rows(ids: np.ndarray, begin: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of these rows (a mask), and how many each row has; the others have none."""
+    size = np.diff(begin)
+    return ids[np.repeat(rows, size)], np.where(rows, size, 0)
+
+
+def aligned_texts(pair: TokenPair, buf: np.ndarray, off: np.ndarray) -> list[pa.Array | np.ndarray]:
+    """n_a, n_b, n_groups, groups_sha256 and links (A id * size of B + B id, with where each row's begin) of texts after a space.
+
+    All texts are aligned in one go: where a text ends, tokens of both kinds end.
+    """
+    data, n_b = buf.tobytes(), len(pair.bytes_b)
+    (ids_a, begin_a), (ids_b, begin_b) = (_without_last(*x.encode(buf, off, 0)) for x in (pair.a, pair.b))
+    good = np.diff(off) > 1
+    good &= ~_differing(data, off, pair.bytes_a[ids_a].tolist(), begin_a)
+    good &= ~_differing(data, off, pair.bytes_b[ids_b].tolist(), begin_b)
+    (ids_a, n), (ids_b, m) = _of_rows(ids_a, begin_a, good), _of_rows(ids_b, begin_b, good)
     last_a, last_b = align(np.cumsum(pair.len_a[ids_a]).tolist(), np.cumsum(pair.len_b[ids_b]).tolist())
     last_a, last_b = np.frombuffer(last_a, np.uint8), np.frombuffer(last_b, np.uint8)
-    n, m, groups = len(ids_a), len(ids_b), int(last_a.sum())
     # A's tokens of a group stand behind all tokens of the groups before it, B's behind A's of their own group
-    group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
     until_a, until_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
-    order = np.empty(n + m, np.int64)
-    order[np.arange(n) + np.concatenate([[0], until_b])[group_a]] = 2 * ids_a.astype(np.int64) + last_a
-    order[np.arange(m) + until_a[group_b]] = 2 * (len(pair.bytes_a) + ids_b.astype(np.int64)) + last_b
-    shown = "".join(pair.shown[order].tolist())[:-1]
-    links = ids_a[last_a > 0].astype(np.int64) * len(pair.bytes_b) + ids_b[last_b > 0]
-    return n, m, groups, hashlib.sha256(shown.encode()).hexdigest(), links
+    order = np.empty(len(ids_a) + len(ids_b), np.int64)
+    order[np.arange(len(ids_a)) + np.concatenate([[0], until_b])[np.cumsum(last_a) - last_a]] = 2 * ids_a + last_a
+    order[np.arange(len(ids_b)) + until_a[np.cumsum(last_b) - last_b]] = 2 * (len(pair.bytes_a) + ids_b) + last_b
+    shown, ends = pair.shown[order].tolist(), np.cumsum(n + m).tolist()
+    told = [hashlib.sha256("".join(shown[a:b])[:-1].encode()).hexdigest() if b > a else "" for a, b in zip([0, *ends], ends)]  # noqa: B905
+    links = ids_a[until_a - 1] * n_b + ids_b[until_b - 1]
+    groups = np.diff(np.concatenate([[0], np.cumsum(last_a, dtype=np.int64)])[np.concatenate([[0], np.cumsum(n)])])
+    return [n, m, groups, pa.array(told, pa.string()), links]
 
 
 _ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links binary"
@@ -141,14 +168,11 @@ def aligned(docs: DataFrame, vocabulary: str, model: str) -> tuple[DataFrame, st
         pair, doc_id = _pairs[name], batch.column("doc_id")
         empty, space = (pa.scalar(x, pa.large_string()) for x in ("", " "))
         spaced = pc.binary_join_element_wise(empty, pc.fill_null(batch.column("text").cast(pa.large_string()), ""), space)  # space, then text
-        for i, j, buf, off in pieces(spaced, 1 << 20):
-            (ids_a, at_a), (ids_b, at_b) = (x.encode(buf, off, 0) for x in (pair.a, pair.b))  # each text's closed by one id more
-            data = buf.tobytes()
-            rows = [_row(pair, data[off[r] : off[r + 1]], ids_a[at_a[r] : at_a[r + 1] - 1], ids_b[at_b[r] : at_b[r + 1] - 1]) for r in range(j - i)]
-            columns = list(zip(*rows, strict=True))
-            numbers = [pa.array(c, pa.int64()) for c in columns[:3]]
-            links = pa.array([x.astype(kind).tobytes() for x in columns[4]], pa.binary())
-            yield pa.Table.from_arrays([doc_id.slice(i, j - i), *numbers, pa.array(columns[3]), links], ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links"])
+        for i, j, buf, off in pieces(spaced, 1 << 19):
+            n, m, groups, told, links = aligned_texts(pair, buf, off)
+            ends = np.concatenate([[0], np.cumsum(groups)]) * np.dtype(kind).itemsize
+            column = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(links.astype(kind))])
+            yield pa.Table.from_arrays([doc_id.slice(i, j - i), pa.array(n), pa.array(m), pa.array(groups), told, column], ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), fn, _ALIGNED), kind, n_b
 

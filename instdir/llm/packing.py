@@ -57,6 +57,8 @@ def _grown(a: np.ndarray, n: int) -> np.ndarray:
 class WordTokenizer:
     """Ids of whole texts, from remembered ids of their parts. ``vocabulary`` is the text of a tokenizer's file."""
 
+    share = 1.0  # of the bounds, where a worker has several
+
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -75,7 +77,7 @@ class WordTokenizer:
         """Forget words until at most half of the bounds are used: first those met once."""
         size, least = np.diff(self.byte_off[: len(self.keys) + 1]), 1
         stay = np.ones(len(self.keys), dtype=bool)
-        while stay.sum() > CACHE_WORDS // 2 or size[stay].sum() > CACHE_BYTES // 2:
+        while stay.sum() > self.share * CACHE_WORDS // 2 or size[stay].sum() > self.share * CACHE_BYTES // 2:
             least += 1
             stay = self.met >= least
         kept, new = np.flatnonzero(stay), np.cumsum(stay) - 1
@@ -133,7 +135,7 @@ class WordTokenizer:
         padded, size = np.concatenate([low, np.zeros(8, np.uint8)]), end - start
         found, first, back = np.unique(hash_spans(low, start, end), return_index=True, return_inverse=True)
         same = (size == size[first][back]) & same_spans(low, start, end, padded, start[first][back])
-        if len(self.keys) + len(found) > CACHE_WORDS or self.byte_off[len(self.keys)] > CACHE_BYTES:
+        if len(self.keys) + len(found) > self.share * CACHE_WORDS or self.byte_off[len(self.keys)] > self.share * CACHE_BYTES:
             self._shrink()
         at = np.searchsorted(self.keys, found)
         new = np.flatnonzero(np.append(self.keys, np.uint64(0))[at] != found) if len(self.keys) else np.arange(len(found))
