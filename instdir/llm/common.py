@@ -171,9 +171,12 @@ def _parts(batch: pa.RecordBatch, by: str, limit: int = 2 << 20) -> Iterator[pa.
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Table | pa.RecordBatch]], schema: str, by: str = "text") -> DataFrame:
     """Arrow batches through fn, at most about BATCH_BYTES each; one with larger texts in column ``by`` is cut by their size."""
     prepare(df.sparkSession)
+    names = df.columns
+    df = df.toDF(*[f"_{i}" for i in range(len(names))])  # a name may hold dots or backticks
 
     def run(batches):
         for batch in batches:
+            batch = batch.rename_columns(names)
             for part in _parts(batch, by) if batch.num_rows else ():
                 for out in fn(part):
                     yield from out.to_batches() if isinstance(out, pa.Table) else [out]
@@ -181,6 +184,11 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Table |
     return df.mapInArrow(run, schema)
 
 
+def quoted(names: list[str]) -> list[str]:
+    """Column names as Spark reads them: with dots and backticks in them, too."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
 def row_key(text: Column, doc_id: Column) -> Column:
     """Names a row by what it holds, so that it is the same after a lost task; equal rows share it."""
     return F.struct(doc_id.alias("doc_id"), F.xxhash64(text).alias("h"))
@@ -198,13 +206,13 @@ def key_columns(doc_id: Column, h: Column) -> list[Column]:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with KEY of each row."""
-    return docs.select(*docs.columns, *key_columns(F.col("doc_id"), F.xxhash64(F.col("text").cast("string"))))
+    return docs.select(*quoted(docs.columns), *key_columns(F.col("doc_id"), F.xxhash64(F.col("text").cast("string"))))
 
 
 def without_rows(docs: DataFrame, gone: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """docs without the rows whose key is in the written table gone(doc_id, h)."""
     gone = scratch.save(gone.select(*key_columns(F.col("doc_id"), F.col("h"))).distinct(), f"{name}-keys")
-    return lookup(keyed(docs), gone, KEY, scratch, f"{name}-heavy", by=KEY, how="left_anti").select(*docs.columns)
+    return lookup(keyed(docs), gone, KEY, scratch, f"{name}-heavy", by=KEY, how="left_anti").select(*quoted(docs.columns))
 
 
 def fold(doc_id: Column, n: int) -> Column:

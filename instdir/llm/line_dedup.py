@@ -8,7 +8,8 @@ is added up before the shuffle and dealt out in the join.
 Defined cases: lines are split at \\n and compared as they are; windows whose three lines are all blank don't count; a
 text of fewer than three lines has no window and stays, as do null and empty texts; a null doc_id sorts before any
 other; rows equal in doc_id and text are one document and share their result; no row is ever dropped, a text whose lines
-all go becomes empty; a very long text is read in whole, one window per line; an empty table gives an empty result; other columns are kept as they are.
+all go becomes empty; a very long text is read in whole, one window per line, in time that grows with its lines;
+an empty table gives an empty result; other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import KEY, Scratch, key_columns, keyed, lookup, row_key
+from .common import KEY, Scratch, key_columns, keyed, lookup, quoted, row_key
 
 
 def _windows(lines: Column, size: int) -> Column:
@@ -61,10 +62,21 @@ def drop_repeated_lines(docs: DataFrame, size: int = 3) -> DataFrame:
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
-    return out.select(*docs.columns)
+    return out.select(*quoted(docs.columns))
 
 
 def without(text: Column, gone: Column) -> Column:
-    """text without the lines of these ranges."""
-    lines = F.split(text, "\n", -1)
-    return F.array_join(F.filter(lines, lambda _, i: ~F.exists(gone, lambda r: (r["first"] <= i) & (i <= r["last"]))), "\n")
+    """text without the lines of these ranges, which are in order and apart: the stretches between them, put together.
+
+    Each line is moved once, however many ranges there are; the lines are split off once and held by a lambda's argument.
+    """
+
+    def between(of):
+        def stretch(k):
+            begin = F.coalesce(F.get(of["gone"], k - 1)["last"] + 1, F.lit(0))
+            end = F.coalesce(F.get(of["gone"], k)["first"], F.size(of["lines"]))
+            return F.slice(of["lines"], begin + 1, end - begin)
+
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(of["gone"])), stretch)), "\n")
+
+    return F.transform(F.array(F.struct(F.split(text, "\n", -1).alias("lines"), gone.alias("gone"))), between)[0]

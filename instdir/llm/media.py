@@ -7,7 +7,7 @@ A hash is the sign pattern, around the median, of the 8 x 8 lowest frequencies o
 
 Defined cases: null and empty texts are a payload of 576 bytes 255; a very long text is one image of as many rows as it
 needs; repeated rows give repeated rows; a null doc_id stays null; a media column that is null gives null payload and
-hash, a broken one an error that names the fault; an empty table gives an empty result; other columns are not looked at.
+hash, a broken one an error that names the fault or, if asked for, null and the fault; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_arrow
+from .common import map_arrow, quoted
 
 #: Samples a row; payloads are filled with 255 up to a positive multiple of it.
 WIDTH = 576
@@ -95,28 +96,45 @@ def unfilter(rows: np.ndarray, step: int) -> np.ndarray:
 
 
 def decode_png(data: bytes) -> np.ndarray:
-    """Rows of samples of an 8-bit image without interlacing; every checksum is tested."""
+    """Rows of samples of an 8-bit image without interlacing; every checksum is tested. A broken image is a ValueError that names the fault."""
     if data[:8] != _SIGNATURE:
         raise ValueError("PNG: no signature")
     at, head, parts, ended = 8, None, [], False
     while at < len(data) and not ended:
+        if len(data) < at + 12:
+            raise ValueError("PNG: cut short")
         size, kind = struct.unpack(">I4s", data[at : at + 8])
         body = data[at + 8 : at + 8 + size]
         if len(body) < size or data[at + 8 + size : at + 12 + size] != struct.pack(">I", zlib.crc32(body, zlib.crc32(kind))):
             raise ValueError(f"PNG: checksum of {kind.decode('latin-1')} is wrong")
         at += 12 + size
         if kind == b"IHDR":
+            if len(body) != 13:
+                raise ValueError("PNG: header of a wrong length")
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             parts.append(body)
         ended = kind == b"IEND"
     if head is None or not ended:
         raise ValueError("PNG: cut short")
+    if at < len(data):
+        raise ValueError("PNG: bytes after the end")
     width, height, depth, colour, _, _, interlaced = head
     if depth != 8 or interlaced:
         raise ValueError("PNG: only 8 bits a sample, not interlaced")
+    if colour not in _SAMPLES:
+        raise ValueError(f"PNG: no samples of colour type {colour}")
+    if not width or not height:
+        raise ValueError("PNG: no rows or columns")
     step = _SAMPLES[colour]
-    rows = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8)
+    inflate, need = zlib.decompressobj(), height * (width * step + 1)
+    try:
+        raw = inflate.decompress(b"".join(parts), need + 1)  # not more than the header tells, however far it would inflate
+    except zlib.error as e:
+        raise ValueError("PNG: broken compressed data") from e
+    if len(raw) != need or not inflate.eof or inflate.unused_data:
+        raise ValueError("PNG: samples don't fill the rows of the header")
+    rows = np.frombuffer(raw, np.uint8)
     return unfilter(rows.reshape(height, width * step + 1), step)
 
 
@@ -155,17 +173,30 @@ def texts_as_png(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), fn, "doc_id long, n_bytes long, media binary")
 
 
-def decoded(images: DataFrame) -> DataFrame:
-    """images (with a binary column media) with payload, the samples read back, and hash."""
-    names = [c for c in images.columns if c not in ("payload", "hash")]
+def decoded(images: DataFrame, broken: str = "raise") -> DataFrame:
+    """images (with a binary column media) with payload, the samples read back, and hash.
+
+    A broken image ends the job, or with broken="null" has neither and tells why in one more column, fault (else null).
+    """
+    own = ["payload", "hash", *(["fault"] if broken == "null" else [])]
+    names = [c for c in images.columns if c not in own]
 
     def fn(batch):
-        payload, hashes = [], []
+        payload, hashes, faults = [], [], []
         for media in batch.column("media"):
-            pixels = decode_png(media.as_py()) if media.is_valid else None
+            pixels, fault = None, None
+            try:
+                pixels = decode_png(media.as_py()) if media.is_valid else None
+            except ValueError as e:
+                if broken == "raise":
+                    raise
+                fault = str(e)
+            faults.append(fault)
             payload.append(None if pixels is None else pixels.tobytes())
             hashes.append(None if pixels is None else cosine_hash(pixels))
-        yield pa.Table.from_arrays([*(batch.column(c) for c in names), pa.array(payload, pa.binary()), pa.array(hashes, pa.binary())], [*names, "payload", "hash"])
+        made = [pa.array(payload, pa.binary()), pa.array(hashes, pa.binary()), pa.array(faults, pa.string())][: len(own)]
+        yield pa.Table.from_arrays([*(batch.column(c) for c in names), *made], [*names, *own])
 
-    kept = images.select(*names)
-    return map_arrow(kept, fn, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + ["payload binary", "hash binary"]))
+    kept = images.select(*quoted(names))
+    kinds = [T.BinaryType(), T.BinaryType(), T.StringType()]
+    return map_arrow(kept, fn, T.StructType([*kept.schema.fields, *(T.StructField(n, k) for n, k in zip(own, kinds, strict=False))]), by="media")

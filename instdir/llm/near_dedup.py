@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import DEALT_KEYS, KEY, Dealt, Scratch, join_spread, key_columns, keyed, lookup, map_arrow
+from .common import DEALT_KEYS, KEY, Dealt, Scratch, join_spread, key_columns, keyed, lookup, map_arrow, quoted
 from .text import LOWER, NONSPACE, SECOND, U64, bounds, hash_spans, list_array, mix, pieces, seeds, shingles, words
 
 #: Bits of an odd sketch, kept as 64-bit columns, and the MinHash samples folded into it.
@@ -289,12 +289,12 @@ def drop_near_copies(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFram
     judged = near_duplicates(docs, percent, k, by_row=True)
     keys = judged.select("doc_id", F.col("text_h").alias("h"), "kept", "n_shingles").groupBy("doc_id", "h", "kept").agg(F.max("n_shingles").alias("n_shingles"), F.count("*").alias("n"))
     keys = scratch.save(keys.filter("not kept or (n > 1 and n_shingles > 0)").select(*key_columns(F.col("doc_id"), F.col("h")), "kept"), "keys")
-    rest = lookup(keyed(docs), keys.drop("kept"), KEY, scratch, "heavy-1", by=KEY, how="left_anti").select(*docs.columns)
+    rest = lookup(keyed(docs), keys.drop("kept"), KEY, scratch, "heavy-1", by=KEY, how="left_anti").select(*quoted(docs.columns))
     one = keys.filter("kept").drop("kept")
     if one.isEmpty():
         return rest
     again = lookup(keyed(docs), one, KEY, scratch, "heavy-2", by=KEY, how="left_semi").dropDuplicates(KEY)
-    return rest.unionByName(again.select(*docs.columns))
+    return rest.unionByName(again.select(*quoted(docs.columns)))
 
 
 def _same_document(named: DataFrame, classes: DataFrame, again: DataFrame, scratch: Scratch, name: str) -> DataFrame:

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, fold, lookup, map_arrow
 from .text import ALNUM, bounds, list_array, mix, pieces, words
@@ -59,8 +60,7 @@ def word_buckets(docs: DataFrame) -> DataFrame:
             out += [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
         yield pa.Table.from_arrays([*(batch.column(c) for c in names), list_array(np.concatenate(out), np.concatenate([[0], np.cumsum([len(x) for x in out])]), pa.int32())], [*names, "buckets"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return map_arrow(docs, fn, f"{schema}, buckets array<int>")
+    return map_arrow(docs, fn, T.StructType([*(f for f in docs.schema if f.name != "text"), T.StructField("buckets", T.ArrayType(T.IntegerType()))]))
 
 
 def _draw(seed: int) -> Column:

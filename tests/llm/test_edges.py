@@ -1,10 +1,17 @@
 """Every operator and stage over odd tables: nulls, empty and very long texts, ties, repeated rows, no rows, clashing columns."""
 
+import random
+import re
+import struct
+import time
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from instdir.llm import media, near_dedup, quality, secret_scan, toxicity, url_filter, warc
 from instdir.llm import queries as Q
+from instdir.llm.common import Scratch, without_rows
 from instdir.llm.decontaminate import contamination
 from instdir.llm.line_dedup import drop_repeated_lines
 from instdir.llm.packing import pack_documents
@@ -231,22 +238,109 @@ def test_stages_over_no_rows(spark, none, labels, tmp_path):
         assert out.count() == 0 and (name == "packing" or out.columns == none.columns)
 
 
-@pytest.mark.parametrize("parts", [None, 2])
-def test_shuffled_sides_give_the_same(spark, docs, labels, monkeypatch, parts):
-    """With parts no side is broadcast and every frequent key is dealt out; results are those of broadcasts."""
+def test_shuffled_sides_give_the_same(spark, docs, labels, monkeypatch):
+    """No side is broadcast and every frequent key is dealt out: results are those of broadcasts."""
     from instdir.llm import common
 
     items = spark.createDataFrame([("b", A), ("a", "TWO words"), ("c", "two words")], "item_id string, text string")
-    if parts:
-        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
-        monkeypatch.setattr(common.Dealt.__init__, "__defaults__", (parts,))
-    lines = sorted((str(r.doc_id), str(r.text)[:50], str(r.n_chars)) for r in drop_repeated_lines(docs).collect())
-    hits = sorted((str(r.doc_id), r.n_words, r.n_hit, tuple(r.item_ids)) for r in contamination(docs, items).collect())
-    feats = quality.features(docs)
-    scores = sorted((str(r.doc_id), round(r.score, 9)) for r in quality.score(feats, quality.fit(feats, labels)).collect())
-    toxic = sorted((str(r.doc_id), round(r.score, 6)) for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect())
-    _seen.setdefault("got", (lines, hits, scores, toxic))
-    assert _seen["got"] == (lines, hits, scores, toxic)
-
 
-_seen: dict = {}
+    def results():
+        lines = sorted((str(r.doc_id), str(r.text)[:50], str(r.n_chars)) for r in drop_repeated_lines(docs).collect())
+        hits = sorted((str(r.doc_id), r.n_words, r.n_hit, tuple(r.item_ids)) for r in contamination(docs, items).collect())
+        feats = quality.features(docs)
+        scores = sorted((str(r.doc_id), round(r.score, 9)) for r in quality.score(feats, quality.fit(feats, labels)).collect())
+        toxic = sorted((str(r.doc_id), round(r.score, 6)) for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect())
+        copies = sorted((str(r.doc_id), str(r.text)[:50]) for r in near_dedup.drop_near_copies(docs).collect())
+        return lines, hits, scores, toxic, copies
+
+    broadcast = results()
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common.Dealt.__init__, "__defaults__", (2,))
+    assert results() == broadcast
+
+
+ODD_NAMES = ["meta.lang", "a`b", "a.b.c", " spaced, name"]
+
+
+def test_columns_with_dots_and_backticks(spark, docs, labels):
+    """Every stage keeps them, and every operator takes tables that have them."""
+    odd = docs.select("*", *[F.struct(F.lit(n).alias("in.ner")).alias(n) for n in ODD_NAMES])
+    items = spark.createDataFrame([("b", A)], "item_id string, text string").withColumn("x.y", F.lit(1))
+    labels = labels.withColumn("x.y", F.lit(1))
+    hits = contamination(odd, items).filter("n_hit > 0").select("doc_id", F.col("text_h").alias("h"))
+    kept = [
+        (drop_repeated_lines(odd), drop_repeated_lines(docs)),
+        (near_dedup.drop_near_copies(odd), near_dedup.drop_near_copies(docs)),
+        (toxicity.keep_clean(odd, toxicity.fit(odd, labels)), toxicity.keep_clean(docs, toxicity.fit(docs, labels))),
+        (without_rows(odd, hits, Scratch(spark, "odd"), "gone"), without_rows(docs, hits, Scratch(spark, "odd"), "gone")),
+    ]
+    told = lambda df: sorted((str(r.doc_id), str(r.text)[:60]) for r in df.select("doc_id", "text").collect())
+    for with_names, plain in kept:
+        assert with_names.columns == odd.columns and told(with_names) == told(plain)
+        assert {r[n]["in.ner"] for r in with_names.collect() for n in ODD_NAMES} == set(ODD_NAMES)
+    assert pack_documents(odd, Q.vocabulary()).count() == pack_documents(docs, Q.vocabulary()).count()
+    feats = quality.features(odd)
+    assert quality.score(feats, quality.fit(feats, labels)).count() == len(DOCS)
+
+
+def test_five_megabytes_of_alternating_lines(spark):
+    """Every second line is in a repeated window: ranges are half as many as lines, and time grows with the lines."""
+    n = 40_000
+    shared = [f"shared {i} {'x' * 50}" for i in range(3 * n // 4)]
+    text = "\n".join(line for i in range(n // 4) for line in (*shared[3 * i : 3 * i + 3], f"own {i} {'y' * 50}"))
+    assert len(text) > 2_000_000
+    rows = [(1, "\n".join(shared)), (2, text), (3, text.replace("own", "other"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r.text for r in drop_repeated_lines(df).collect()}
+    assert time.time() - began < 60
+    assert got[1] == rows[0][1] and got[2] == "\n".join(f"own {i} {'y' * 50}" for i in range(n // 4)) and got[3] == got[2].replace("own", "other")
+
+
+@pytest.mark.parametrize("text", ["x://" + "a.b1" * 1_250_000, "eyJ" * 1_700_000, "eyJ" + "a" * 5_000_000 + ".b", "ghp_" * 1_250_000, "-----BEGIN " * 450_000, "password" * 600_000, "a:" * 2_500_000, "x://u:" + "p" * 5_000_000, "9" * 5_000_000 + "://"])
+def test_five_megabytes_of_one_run_are_scanned_in_seconds(text):
+    rules = [r for v in secret_scan.VERSIONS for r in secret_scan._compiled(v)]
+    began = time.time()
+    secret_scan.find(text, rules)
+    assert time.time() - began < 15
+
+
+def test_runs_tried_from_their_beginning_give_the_same_findings():
+    plain = {"web": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "login": r"[a-z][a-z0-9+.-]*://[A-Za-z0-9._~%-]+:[A-Za-z0-9._~%-]+@"}
+    rules, rng = secret_scan._compiled("wide-1"), random.Random(9)
+    parts, met = ["eyJ", "eyJabcdefgh", ".", "abcdefgh", "-", "1", "http", "://", "u", ":", "p", "@", " ", "H", "a.b", "%"], 0
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(25)))
+        want = sorted((m.start(), m.end(), kind) for kind, p in plain.items() for m in re.finditer(p, text, re.A))
+        got = sorted((a, b, kind) for a, _, b, kind in secret_scan.find(text, rules) if kind in plain)
+        met += len(want)
+        assert got == want, text
+    assert met > 50
+
+
+def test_broken_images(spark):
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(body, zlib.crc32(kind)))
+
+    def image(width=4, height=2, depth=8, colour=0, raw=None, head=None, end=b""):
+        raw = b"\0" * (5 * height) if raw is None else raw
+        head = struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, 0) if head is None else head
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", raw if raw[:1] == b"x" else zlib.compress(raw)) + chunk(b"IEND", b"") + end
+
+    good = image()
+    cases = {
+        good: None,
+        image(colour=5): "colour type 5", image(head=b"short"): "header", image(end=b"more"): "after the end", image(raw=b"\0" * 7): "fill",
+        image(raw=b"\0" * 30): "fill", image(raw=b"\0" * 10 + b"\0"): "fill", image(raw=b"x broken"): "compressed", image(raw=b"\7" + b"\0" * 9): "filter",
+        image(width=0, raw=b"\0\0"): "no rows", image(depth=16): "8 bits", good[:-6]: "cut short", good[:20]: "checksum", good[:34]: "cut short", b"GIF": "signature", b"": "signature",
+        good.replace(b"IDAT", b"IDAX"): "checksum",
+    }
+    for data, fault in cases.items():
+        if fault:
+            with pytest.raises(ValueError, match=fault):
+                media.decode_png(data)
+    df = spark.createDataFrame([(i, bytearray(d)) for i, d in enumerate(cases)] + [(99, None)], "i long, media binary").withColumn("x.y", F.lit(1))
+    got = {r.i: r for r in media.decoded(df, broken="null").collect()}
+    for i, fault in enumerate(cases.values()):
+        assert (got[i].payload is None) == (got[i].hash is None) == bool(fault) and (fault or "") in (got[i].fault or "") and (got[i].fault is None) == (fault is None)
+    assert got[99].payload is None and got[99].fault is None and media.decoded(df.filter("i = 0")).columns == ["i", "media", "x.y", "payload", "hash"]
