@@ -5,27 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_any, contains_word_of, initials, name_words, url_root
+from ..functions.text import contains_word_of, initials, name_words, url_root
 from ..rules import ScoringRules, as_list
+from .terms import MANY, TermSet
 
 SIGNALS = ("known", "initials", "word", "url_keyword", "name_keyword")
 
 
-def score_signals(df: DataFrame, rules: ScoringRules, name: str = "name", url: str = "url") -> DataFrame:
-    """df with rejected and a boolean s_... for each signal. A rejected row has no other signal."""
+def score_signals(df: DataFrame, rules: ScoringRules, name: str = "name", url: str = "url", many: int = MANY) -> DataFrame:
+    """df with rejected and a boolean s_... for each signal. A rejected row has no other signal.
+
+    Terms, domains and keywords may be tables of any size (see ``terms``; those of over ``many`` rows are joined);
+    stopwords are part of each task's plan.
+    """
     low_url, low_name = F.lower(url), F.lower(name)
-    stop, keywords = as_list(rules.stopwords), as_list(rules.keywords)
+    stop, keywords = as_list(rules.stopwords), TermSet(rules.keywords, many=many)
+    looked_up = {
+        "__known": (TermSet(rules.known_domains, many=many), url_root(F.col(url))),
+        "__url_keyword": (keywords, low_url),
+        "__name_keyword": (keywords, low_name),
+        "__rejected": (TermSet(rules.reject_terms, many=many), low_url),
+    }
+    for column, (terms, text) in looked_up.items():
+        df = terms.mark(df, text, column)
     first = initials(F.col(name))
     words = F.filter(name_words(F.col(name)), lambda w: (F.length(w) > 4) & ~(w.isin(stop) if stop else F.lit(False)))
     hits = {
-        "known": contains_any(url_root(F.col(url)), as_list(rules.known_domains)),
+        "known": F.col("__known"),
         "initials": (F.length(first) >= 2) & low_url.contains(first),
         "word": contains_word_of(low_url, words),
-        "url_keyword": contains_any(low_url, keywords),
-        "name_keyword": contains_any(low_name, keywords),
+        "url_keyword": F.col("__url_keyword"),
+        "name_keyword": F.col("__name_keyword"),
     }
-    out = df.withColumn("rejected", contains_any(low_url, as_list(rules.reject_terms)))
-    return out.withColumns({f"s_{s}": ~F.col("rejected") & hits[s] for s in SIGNALS})
+    out = df.withColumn("rejected", F.col("__rejected"))
+    return out.withColumns({f"s_{s}": ~F.col("rejected") & hits[s] for s in SIGNALS}).drop(*looked_up)
 
 
 def score_candidates(df: DataFrame, rules: ScoringRules, name: str = "name", url: str = "url") -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import answers as A
 from ..functions.text import hq_label, strip_fences, url_root
-from ..operators import cards, clean, contacts, enrich, facets, load, scoring, search
+from ..operators import cards, clean, contacts, enrich, facets, load, scoring, search, terms
+from ..rules import ScoringRules
 from ..schemas import CONTACTS, LISTING, RECORDS
 from ..sources import files
 from ..sources.scratch import fresh
@@ -234,6 +235,41 @@ def score_reason(spark, sf_dir):
     return _scored(spark, sf_dir).select("row_number", "reason")
 
 
+def _term_tables(spark, sf_dir) -> ScoringRules:
+    """Rules whose sets are tables: names from two tables, the words of titles, hosts."""
+    pages, host = ad.table(spark, sf_dir, "pages"), F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
+    words = pages.select(F.explode(F.split(F.lower(F.regexp_extract("html", r"<title>([^<]*)</title>", 1)), " ")).alias("term")).filter("length(term) > 5")
+    names = ad.table(spark, sf_dir, "customer").select(F.lower("c_name").alias("term")).unionByName(ad.table(spark, sf_dir, "part").select(F.lower("p_name").alias("term")))
+    hosts = pages.filter("page_id % 3 = 0").select(host.alias("term")).filter("length(term) > 0")
+    return ScoringRules(reject_terms=names.unionByName(hosts.filter("term like 'a%'")), known_domains=hosts, keywords=names.unionByName(words), stopwords=ad.RULES.stopwords)
+
+
+_TERM_SIGNALS = ["rejected", "s_known", "s_url_keyword", "s_name_keyword"]
+
+
+def _term_proof(name: str, many: int):
+    @proof(
+        """, host AS (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS term FROM pages WHERE page_id % 3 = 0 AND length(regexp_extract(url, '^https?://([^/?#]+)', 1)) > 0),
+    named AS (SELECT lower(c_name) AS term FROM customer UNION SELECT lower(p_name) FROM part),
+    word AS (SELECT DISTINCT term FROM (SELECT unnest(string_split(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), ' ')) AS term FROM pages) WHERE length(term) > 5),
+    kw AS (SELECT term FROM named UNION SELECT term FROM word), rej AS (SELECT term FROM named UNION SELECT term FROM host WHERE term LIKE 'a%'),
+    u AS (SELECT DISTINCT u, root FROM low), m AS (SELECT DISTINCT m FROM low),
+    ur AS (SELECT u, root, EXISTS (SELECT 1 FROM rej WHERE contains(u, term)) AS rejected, EXISTS (SELECT 1 FROM kw WHERE contains(u, term)) AS k, EXISTS (SELECT 1 FROM host WHERE contains(root, term)) AS d FROM u),
+    mr AS (SELECT m, EXISTS (SELECT 1 FROM kw WHERE contains(m, term)) AS k FROM m)
+    SELECT row_number, rejected, NOT rejected AND d AS s_known, NOT rejected AND ur.k AS s_url_keyword, NOT rejected AND mr.k AS s_name_keyword
+    FROM low JOIN ur USING (u, root) JOIN mr USING (m)""",
+        *_SCORED,
+        name=name,
+    )
+    def query(spark, sf_dir):
+        rows = scoring.score_signals(_clean(spark, sf_dir), _term_tables(spark, sf_dir), many=many)
+        return rows.select("row_number", *_TERM_SIGNALS)
+
+
+_term_proof("score_term_tables", terms.MANY)
+_term_proof("score_terms_joined", 0)
+
+
 _GATE_SQL = "CASE WHEN NOT is_valid THEN 'Bank validation failed (' || score || '/100): ' || reason END"
 
 
@@ -505,6 +541,21 @@ def records_round_trip(spark, sf_dir):
     return _shown(back.withColumns({"row_number": parts[0].cast("long"), "data_source": parts[1]}))
 
 
+@proof("SELECT p_name AS company_name, CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 3 = 1 THEN 'https://' || p_partkey ELSE p_brand END AS website, CASE WHEN p_partkey % 3 = 1 THEN p_brand ELSE '' END AS \"line\nend\" FROM part")
+def union_odd_sources(spark, sf_dir):
+    """CSV files in folders with brackets, three headers: one column, a quoted name with a line end, a repeated name whose last column counts."""
+    path, part = fresh(spark, "csv"), ad.table(spark, sf_dir, "part")
+    key = F.col("p_partkey").cast("string")
+    site = F.concat(F.lit("https://"), key)
+    kinds = [("company_name", ["p_name"]), ('company_name,"line\nend",website', ["p_name", "p_brand", site]), ("website,company_name,website", [key, "p_name", "p_brand"])]
+    for i, (header, columns) in enumerate(kinds):
+        row = F.to_csv(F.struct(*[c if isinstance(c, str) else c.alias("c") for c in columns]), {"escape": '"'})
+        lines = part.filter(F.col("p_partkey") % 3 == i).select((F.col("p_partkey") % 5).alias("b"), F.col("p_partkey").alias("nth"), row.alias("value"))
+        heads = lines.select("b").distinct().select("b", F.lit(-1).cast(part.schema["p_partkey"].dataType).alias("nth"), F.lit(header).alias("value"))
+        lines.unionByName(heads).repartition("b").sortWithinPartitions("b", "nth").select("b", "value").write.partitionBy("b").text(f"{path}/kind[{i}]")
+    return files.read_candidates(spark, f"{path}/*/*/*.txt").select("company_name", "website", F.col("`line\nend`"))
+
+
 @proof("SELECT user_id, email, phone FROM contacts", "contacts")
 def append_contacts(spark, sf_dir):
     """Contacts added in two batches."""

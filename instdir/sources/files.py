@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import csv
-import io
-from concurrent.futures import ThreadPoolExecutor
+import re
 from functools import reduce
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,49 +17,81 @@ from ..schemas import CONTACTS, DIRECTORY, RECORDS, SEEDS
 CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "encoding": "UTF-8"}
 
 
-#: Bytes of a file's head that are read for its header at first.
-HEAD = 1 << 16
+#: Bytes that no file has: as the share of a task and the price of a file they give each file a task of its own.
+_ALONE = str(1 << 40)
 
 
-def _header(spark: SparkSession, status) -> tuple[str, ...]:
-    """The first record of a file, from its head alone; a quoted name may hold line ends."""
-    path, size = status.getPath(), HEAD
-    while True:
-        stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(path)
-        head = stream.readNBytes(size)
-        stream.close()
-        text = bytes(head).decode("utf-8-sig", "ignore")
-        if len(head) < size or _closed(text):
-            return tuple(next(csv.reader(io.StringIO(text, newline="")), ()))
-        size *= 4
+def escaped(path: str) -> str:
+    """A path as a pattern that matches it alone."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
-def _closed(text: str) -> bool:
-    """Whether a line ends outside quotes."""
-    return any(part.find("\n") >= 0 for part in text.split('"')[::2])
+def header_groups(spark: SparkSession, glob: str) -> dict[tuple[str, ...], list[str]]:
+    """The files that match, by their header (the first record; a quoted name may hold line ends, read as \\n).
 
+    Tasks read the heads, a file each, and stop at the record's end; the driver gets a header and a path for each file, as it
+    does when Spark lists them. Files without a line have no header.
+    """
+    own = spark.newSession()  # its settings are for this read alone
+    for key, value in {"maxPartitionBytes": _ALONE, "openCostInBytes": _ALONE}.items():
+        own.conf.set(f"spark.sql.files.{key}", value)
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        lines = own.read.text(glob).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("begin"), "value")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return {}
+        raise
+
+    def heads(batches):
+        import csv
+        import io
+
+        import pyarrow as pa
+
+        path, text, quotes = None, [], 0
+        for batch in batches:
+            for p, begin, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if begin:
+                    return  # the rest of a very large file
+                path = p
+                text.append(value)
+                quotes += value.count('"')
+                if quotes % 2 == 0:  # outside quotes
+                    break
+            if path is not None and quotes % 2 == 0:
+                break
+        names = next(csv.reader(io.StringIO("\n".join(text).removeprefix("\ufeff"), newline="")), [])
+        if names:
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([names], pa.list_(pa.string()))], ["path", "names"])
 
-def header_groups(spark: SparkSession, glob: str) -> dict[tuple[str, ...], list[str]]:
-    """The files that match, by their header. Spark's own listing has their paths on the driver too; no data is scanned."""
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(glob)
-    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
-    files = sorted((f for f in found if f.isFile()), key=lambda f: f.getPath().toString())
-    with ThreadPoolExecutor(16) as pool:
-        headers = list(pool.map(lambda f: _header(spark, f), files))
     groups: dict[tuple[str, ...], list[str]] = {}
-    for header, file in zip(headers, files, strict=True):
-        if header:
-            groups.setdefault(header, []).append(file.getPath().toString())
-    return groups
+    for row in lines.mapInArrow(heads, "path string, names array<string>").collect():
+        groups.setdefault(tuple(row.names), []).append(unquote(row.path))
+    return {names: sorted(paths) for names, paths in groups.items()}
+
+
+def _columns(names: tuple[str, ...]) -> list[tuple[str, str | None]]:
+    """For each place of a header a column name that Spark can tell from the others, and the name it is read by (None: not read).
+
+    Of a name that is there several times, in whatever case, the last place counts; a place without a name isn't read.
+    """
+    last = {name.lower(): i for i, name in enumerate(names)}
+    return [(f"_{i}", name if name and last[name.lower()] == i else None) for i, name in enumerate(names)]
 
 
 def read_candidates(spark: SparkSession, glob: str) -> DataFrame | None:
     """All CSV files that match, by column name, all text, empty for missing; None if there is no file with a header.
 
-    Spark applies one file's header to all it reads, so there is one read for each header.
+    Spark applies one file's header to all it reads, so there is one read for each header. Of a name that a header has
+    several times the last column counts.
     """
-    groups = header_groups(spark, glob)
-    parts = [spark.read.options(**CSV).schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(paths) for names, paths in sorted(groups.items())]
+    parts = []
+    for names, paths in sorted(header_groups(spark, glob).items()):
+        columns = _columns(names)
+        schema = T.StructType([T.StructField(c, T.StringType()) for c, _ in columns])
+        rows = spark.read.options(**CSV).option("enforceSchema", True).schema(schema).csv([escaped(p) for p in paths])
+        parts.append(rows.select(*[F.coalesce(c, F.lit("")).alias(n) for c, n in columns if n]))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).fillna("") if parts else None
 
 

@@ -55,3 +55,20 @@ def test_rule_sets_from_tables(spark):
     assert as_list(spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "v string")) == ["a", "b"]
     with pytest.raises(ValueError):
         as_list(spark.range(10_001).select(F.col("id").cast("string")))
+
+
+def test_terms_of_every_number_mark_what_contains_one(spark):
+    """100,000 terms by automaton and by grams, as by plain contains; short, empty and odd terms, repeated and null texts."""
+    from instdir.operators.terms import TermSet
+
+    many = [f"{(i * 2654435761) % 10**9:09d}"[: 5 + i % 5] for i in range(100_000)]
+    texts = [f"http://{'ab' * (i % 7)}{(i * 97) % 10**6:06d}é日{i}/" for i in range(400)] + ["", "a", None, "日本", "x.y*z"] + ["same 12345"] * 50
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
+    for terms in (many, ["é日3", "x.y*", "本", "ab00", "", None], ["é日3", "x.y*", "本", "ab00", "nowhere", None], ["z"], [], [None], many[:5]):
+        table = spark.createDataFrame([(t,) for t in terms], "`a.b` string")
+        held = [t for t in terms if t is not None]
+        want = {i: None if t is None and held else any(x in (t or "") for x in held) for i, t in enumerate(texts)}
+        for way in (TermSet(table), TermSet(table, many=0), TermSet(table, few=0), TermSet(terms, few=0)):
+            got = {r.i: r.hit for r in way.mark(df, F.col("t"), "hit").collect()}
+            assert got == want, (terms[:5], way.few)
+    assert TermSet(table).mark(df.filter("false"), F.col("t"), "hit").count() == 0 == TermSet(table, many=0).mark(df.filter("false"), F.col("t"), "hit").count()

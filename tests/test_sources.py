@@ -29,6 +29,23 @@ def test_header_with_line_ends_and_a_long_one(spark, tmp_path):
     assert sorted((r.company_name, r["web\nsite"]) for r in out.select("company_name", "web\nsite").collect()) == [("A", "http://a"), ("B", ""), ("C", "")]
 
 
+def test_odd_file_names_and_headers(spark, tmp_path):
+    """Brackets, spaces, percent and braces in names; a repeated name (the last counts), one in another case, one that is missing; a long file."""
+    (tmp_path / "a[1].csv").write_text("company_name,website\nA,http://a\n")
+    (tmp_path / "b {x,y} 100%25.csv").write_text('"company_name","note","note",""\nB,first,last,none\n')
+    (tmp_path / "c?*.csv").write_bytes(b'"company_name","two\r\nlines","Website"\r\nC,t,http://c\r\n')
+    (tmp_path / "d.csv").write_text("Note,company_name,note\nupper,D,lower\n")
+    (tmp_path / "e.csv").write_text("company_name,dot.ted,tick`ed\n" + "E,x,y\n" * 300_000)
+    (tmp_path / "f.csv").write_text('"never closed,\nF\n')
+    out = files.read_candidates(spark, f"{tmp_path}/[a-e]*.csv")
+    assert sorted(c.lower() for c in out.columns) == sorted(["company_name", "website", "note", "two\nlines", "dot.ted", "tick`ed"])
+    rows = out.select("company_name", "website", "note", F.col("`two\nlines`").alias("two"), F.col("`dot.ted`").alias("dot"), F.col("`tick``ed`").alias("tick")).distinct().collect()
+    got = {r.company_name: tuple(r)[1:] for r in rows}
+    assert got == {"A": ("http://a", "", "", "", ""), "B": ("", "last", "", "", ""), "C": ("http://c", "", "t", "", ""), "D": ("", "lower", "", "", ""), "E": ("", "", "", "x", "y")}
+    assert out.count() == 300_004 and len(files.header_groups(spark, f"{tmp_path}/*.csv")) == 6
+    assert files.read_candidates(spark, f"{tmp_path}/{files.escaped('a[1].csv')}").count() == 1
+
+
 def test_records_round_trip(spark, tmp_path):
     row = ("a", "t", "w", 1.5, ["x", 'y "z", q'], "", "l", "s", [], True, 1999, None, None, 2.0, False, "", "e", "m", "success", "")
     df = spark.createDataFrame([row, ("b", *[None] * 19)], RECORDS)
