@@ -83,38 +83,56 @@ def is_mark(value: Column, mark: str = "PAN_INDIA") -> Column:
 #: What is read of an answer: keys with texts, with numbers, with lists of texts.
 TEXTS = ("company_name", "website", "primary_product", "hq_city", "hq_state", "phone", "email")
 NUMBERS = {"aum_crores": "double", "established_year": "int", "employee_count": "int", "ticket_size_min": "double", "ticket_size_max": "double"}
-#: The column of an answer; texts are null unless truthy.
-ANSWER = (
-    "struct<" + ", ".join([*(f"{k}: string" for k in TEXTS), *(f"{k}: {t}" for k, t in NUMBERS.items())])
-    + ", product_types: array<string>, operating_states: array<string>, marked: boolean, has_subsidiaries: boolean, filled: int>"
-)
-
-
-def _fields(v: Column) -> Column:
-    """A parsed answer's fields; each key is read once and its value bound by a lambda."""
-    texts = F.transform(F.array(*[_get(v, k, "variant") for k in TEXTS]), truthy_text)
-    area = _bound(_get(v, "operating_states", "variant"), lambda x: F.struct(text_list(x).alias("list"), is_mark(x).alias("marked")))
-    return _bound(
-        F.struct(texts.alias("texts"), area.alias("area")),
-        lambda x: F.struct(
-            *[x["texts"][i].alias(k) for i, k in enumerate(TEXTS)],
-            *[_get(v, k, t).alias(k) for k, t in NUMBERS.items()],
-            _bound(_get(v, "product_types", "variant"), text_list).alias("product_types"),
-            x["area"]["list"].alias("operating_states"),
-            x["area"]["marked"].alias("marked"),
-            _bound(_get(v, "has_subsidiaries", "variant"), flag).alias("has_subsidiaries"),
-            filled_fields(v).alias("filled"),
-        ),
-    )
+#: What is told of a value that was made null: its field, its text, and the rule that it didn't meet.
+FAULTS = "array<struct<field:string,text:string,rule:string>>"
+#: The fields of an answer and their types; texts are null unless truthy. rescued has the faults of its numbers.
+FIELDS = {
+    **dict.fromkeys(TEXTS, "string"), **NUMBERS, "product_types": "array<string>", "operating_states": "array<string>", "marked": "boolean",
+    "has_subsidiaries": "boolean", "filled": "int", "rescued": FAULTS,
+}
+
+
+def answer_type(keys: Sequence[str] = tuple(FIELDS)) -> str:
+    return "struct<" + ", ".join(f"{k}: {t}" for k, t in FIELDS.items() if k in keys) + ">"
+
+
+#: The column of an answer with all of its fields.
+ANSWER = answer_type()
+
+
+def _rescued(v: Column) -> Column:
+    """The faults of numbers that are there and don't cast."""
+
+    def fault(key: str, kind: str) -> Column:
+        text = _get(v, key, "string")
+        return F.when(text.isNotNull() & _get(v, key, kind).isNull(), F.struct(F.lit(key).alias("field"), text.alias("text"), F.lit(kind).alias("rule")))
+
+    return F.array_compact(F.array(*[fault(k, t) for k, t in NUMBERS.items()]))
+
+
+def _fields(v: Column, keys: Sequence[str]) -> Column:
+    """A parsed answer's fields of these; each key is read once and its value bound by a lambda."""
+    named = [k for k in TEXTS if k in keys]
+    texts = F.transform(F.array(*[_get(v, k, "variant") for k in named]), truthy_text) if named else F.array().cast("array<string>")
+    value = {k: (lambda x, i=i: x["texts"][i]) for i, k in enumerate(named)}
+    value |= {k: (lambda _, k=k, t=t: _get(v, k, t)) for k, t in NUMBERS.items()}
+    value["product_types"] = lambda _: _bound(_get(v, "product_types", "variant"), text_list)
+    value |= {"operating_states": lambda x: x["area"]["list"], "marked": lambda x: x["area"]["marked"]}
+    value["has_subsidiaries"] = lambda _: _bound(_get(v, "has_subsidiaries", "variant"), flag)
+    value |= {"filled": lambda _: filled_fields(v), "rescued": lambda _: _rescued(v)}
+    parts = [texts.alias("texts")]
+    if {"operating_states", "marked"} & set(keys):
+        parts.append(_bound(_get(v, "operating_states", "variant"), lambda x: F.struct(text_list(x).alias("list"), is_mark(x).alias("marked"))).alias("area"))
+    return _bound(F.struct(*parts), lambda x: F.struct(*[value[k](x).alias(k) for k in FIELDS if k in keys]))
 
 
-def read_answers(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with answer (see ANSWER; null without data), read from a column of texts.
+def read_answers(df: DataFrame, text: str = "text", keys: Sequence[str] = tuple(FIELDS)) -> DataFrame:
+    """df with answer (see FIELDS; null without data), read from a column of texts; only these fields are read.
 
     The column comes out of a generator, so filters and projections above use its fields and never repeat the parse.
     """
-    one = F.transform(F.array(parse_response(F.col(text))), lambda v: F.when(v.isNotNull(), _fields(v)))
-    return df.select(*[F.col(c) for c in df.columns if c != "answer"], F.explode(one.cast(f"array<{ANSWER}>")).alias("answer"))
+    one = F.transform(F.array(parse_response(F.col(text))), lambda v: F.when(v.isNotNull(), _fields(v, keys)))
+    return df.select(*[F.col(c) for c in df.columns if c != "answer"], F.explode(one.cast(f"array<{answer_type(keys)}>")).alias("answer"))
 
 
 def everywhere(given: Column, answer: Column) -> Column:

@@ -56,9 +56,14 @@ def best_answers(responses: DataFrame, on: str = "request_id", attempt: str | No
     return told.select(on, rank.alias("rank")).groupBy(on).agg(F.max("rank").alias("rank")).select(on, "rank.text")
 
 
-def enrich(requests: DataFrame, responses: DataFrame, on: str = "request_id", attempt: str | None = "attempt") -> DataFrame:
-    """requests with text and answer (its fields; null without data), from the best of each one's answers."""
-    return A.read_answers(requests.join(best_answers(responses, on, attempt), on, "left"))
+def enrich(requests: DataFrame, responses: DataFrame, on: str = "request_id", attempt: str | None = "attempt", asked: Column | None = None) -> DataFrame:
+    """requests with text and answer (its fields; null without data), from the best of each one's answers.
+
+    asked tells which requests take an answer (all, if not given).
+    """
+    best = best_answers(responses, on, attempt).withColumnRenamed(on, "__on")
+    same = F.col(on) == F.col("__on")
+    return A.read_answers(requests.join(best, same if asked is None else same & asked, "left").drop("__on"))
 
 
 def records(df: DataFrame, regions: Sequence[str] = INDIA, source: str = "model", no_data: str = NO_DATA) -> DataFrame:
@@ -107,12 +112,9 @@ def without_gate(df: DataFrame) -> DataFrame:
 def build_records(requests: DataFrame, responses: DataFrame, on: str = "request_id", regions: Sequence[str] = INDIA, attempt: str | None = "attempt") -> DataFrame:
     """The records of requests (with gate_error) and their answers; requests that the gate stopped take none.
 
-    Stopped rows go round the join, so the gate is before the expensive part.
+    The gate is part of the join's condition, so each table is scanned once.
     """
-    asked = enrich(requests.filter("gate_error is null"), responses, on, attempt)
-    stopped = requests.filter("gate_error is not null").withColumn("text", F.lit(None).cast("string"))
-    stopped = stopped.withColumn("answer", F.lit(None).cast(A.ANSWER))
-    return records(asked.unionByName(stopped), regions)
+    return records(enrich(requests, responses, on, attempt, F.col("gate_error").isNull()), regions)
 
 
 def outcome(df: DataFrame) -> Column:

@@ -25,6 +25,21 @@ def overlaps(low: Column, high: Column) -> Column:
     return (least.isNull() & most.isNull()) | ((F.coalesce(least, F.lit(0.0)) <= high) & (F.coalesce(most, F.lit(INFINITE)) >= low))
 
 
+def matches(product: str | None = None, region: str | None = None, band: str | None = None, company_type: str | None = None) -> Column:
+    """Whether a row meets all filters given; empty and None are none."""
+    met = F.lit(True)
+    if product:
+        met &= F.array_contains("product_types", product)
+    if region:
+        met &= F.col("hq_state") == region
+    if band:
+        low, high = band_bounds(band)
+        met &= overlaps(F.lit(low), F.lit(high))
+    if company_type:
+        met &= F.col("company_type") == company_type
+    return met
+
+
 def by_product(df: DataFrame, product: str) -> DataFrame:
     return df.filter(F.array_contains("product_types", product))
 
@@ -44,10 +59,7 @@ def by_type(df: DataFrame, company_type: str) -> DataFrame:
 
 def search(df: DataFrame, product: str | None = None, region: str | None = None, band: str | None = None, company_type: str | None = None) -> DataFrame:
     """Rows that meet all filters given; empty and None are none. The order of df stays."""
-    for value, narrowed in ((product, by_product), (region, by_region), (band, by_band), (company_type, by_type)):
-        if value:
-            df = narrowed(df, value)
-    return df
+    return df.filter(matches(product, region, band, company_type))
 
 
 def serves(df: DataFrame, region: str) -> DataFrame:

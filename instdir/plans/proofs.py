@@ -12,7 +12,7 @@ from ..functions import answers as A
 from ..functions.text import hq_label, strip_fences, url_root
 from ..operators import cards, clean, contacts, enrich, facets, load, scoring, search, terms
 from ..rules import ScoringRules
-from ..schemas import CONTACTS, LISTING, RECORDS
+from ..schemas import LISTING, RECORDS
 from ..sources import files
 from ..sources.scratch import fresh
 from ..streaming.ingest import ingest_incremental, read_ingested
@@ -141,6 +141,22 @@ def facet_type(spark, sf_dir):
     return facets.facet(ad.listing(spark, sf_dir), "company_type")
 
 
+_FACETED = ["product_types", "hq_state", "company_type"]
+_MET = f"list_contains(product_types, '{PRODUCT}') AND hq_state = '{REGION}' AND company_type = '{SEGMENT}' AND {_overlap('medium')}"
+
+
+@proof(
+    f"""SELECT 'product_types' AS facet, value, count(*) AS n FROM (SELECT unnest(list_distinct(product_types)) AS value FROM listing) GROUP BY value
+    UNION ALL SELECT 'hq_state', hq_state, count(*) FROM listing WHERE hq_state <> '' GROUP BY hq_state
+    UNION ALL SELECT 'company_type', company_type, count(*) FROM listing WHERE company_type <> '' GROUP BY company_type
+    UNION ALL SELECT 'result', '', count(*) FROM listing WHERE {_MET}""",
+    "listing",
+)
+def facet_screen(spark, sf_dir):
+    """The three facets with counts, and the result count of a search, in one pass over the listing."""
+    return facets.screen(ad.listing(spark, sf_dir), _FACETED, search.matches(PRODUCT, REGION, "medium", SEGMENT))
+
+
 _GROUPED = r"CASE WHEN {0} <> 0 THEN regexp_replace(format('{{:,.3f}}', CAST({0} AS DOUBLE)), '\.?0+$', '') END".format
 _PLAIN = r"regexp_replace(format('{{:.3f}}', {0}), '\.?0+$', '')".format
 
@@ -288,8 +304,9 @@ def _texted(spark, sf_dir) -> DataFrame:
     return r.withColumn("text", A.response_text(F.col("http_status"), F.col("envelope")))
 
 
-def _parsed(spark, sf_dir) -> DataFrame:
-    return A.read_answers(_texted(spark, sf_dir))
+def _parsed(spark, sf_dir, *keys: str) -> DataFrame:
+    """The answers with these fields alone."""
+    return A.read_answers(_texted(spark, sf_dir), keys=keys)
 
 
 def _truthy_sql(key: str) -> str:
@@ -327,19 +344,19 @@ def strip_fence_lines(spark, sf_dir):
 
 @proof("SELECT row_number, v IS NOT NULL AS has_data FROM parsed", *_PARSED)
 def parse_response(spark, sf_dir):
-    return _parsed(spark, sf_dir).select("row_number", F.col("answer").isNotNull().alias("has_data"))
+    return _parsed(spark, sf_dir, "company_name").select("row_number", F.col("answer").isNotNull().alias("has_data"))
 
 
 @proof(f"SELECT row_number, coalesce({_truthy_sql('company_name')}, 'Unknown') AS company_name, coalesce({_truthy_sql('website')}, '') AS website FROM parsed", *_PARSED)
 def resolve_identity(spark, sf_dir):
     v = F.col("answer")
-    return _parsed(spark, sf_dir).select("row_number", A.text_or(v["company_name"], F.lit("Unknown")).alias("company_name"), A.text_or(v["website"]).alias("website"))
+    return _parsed(spark, sf_dir, "company_name", "website").select("row_number", A.text_or(v["company_name"], F.lit("Unknown")).alias("company_name"), A.text_or(v["website"]).alias("website"))
 
 
 @proof(f"SELECT row_number, {_HQ_SQL} AS hq_location FROM parsed", *_PARSED, name="hq_label")
 def hq_labels(spark, sf_dir):
     v = F.col("answer")
-    return _parsed(spark, sf_dir).select("row_number", hq_label(A.text_or(v["hq_city"]), A.text_or(v["hq_state"])).alias("hq_location"))
+    return _parsed(spark, sf_dir, "hq_city", "hq_state").select("row_number", hq_label(A.text_or(v["hq_city"]), A.text_or(v["hq_state"])).alias("hq_location"))
 
 
 _GIVEN = "row_number % 11 = 0"
@@ -347,7 +364,7 @@ _GIVEN = "row_number % 11 = 0"
 
 def _areas(spark, sf_dir) -> DataFrame:
     v, given = F.col("answer"), F.expr(_GIVEN)
-    return _parsed(spark, sf_dir).select("row_number", A.everywhere(given, v).alias("pan_india"), A.service_area(given, v, ad.REGIONS).alias("operating_states"))
+    return _parsed(spark, sf_dir, "operating_states", "marked").select("row_number", A.everywhere(given, v).alias("pan_india"), A.service_area(given, v, ad.REGIONS).alias("operating_states"))
 
 
 @proof(f"SELECT row_number, {_everywhere_sql(_GIVEN)} AS pan_india, {_joined(_area_sql(_GIVEN))} AS operating_states FROM parsed", *_PARSED)
@@ -363,7 +380,7 @@ def service_area_filter(spark, sf_dir):
 @proof(f"SELECT row_number, {_joined(_list_sql('product_types'))} AS product_types FROM parsed", *_PARSED)
 def json_arrays(spark, sf_dir):
     text = A.json_array(F.col("answer.product_types"))
-    return _parsed(spark, sf_dir).select("row_number", joined(A.from_json_array(text)).alias("product_types"))
+    return _parsed(spark, sf_dir, "product_types").select("row_number", joined(A.from_json_array(text)).alias("product_types"))
 
 
 @proof(
@@ -374,7 +391,7 @@ def json_arrays(spark, sf_dir):
 )
 def defaults(spark, sf_dir):
     v = F.col("answer")
-    return _parsed(spark, sf_dir).select(
+    return _parsed(spark, sf_dir, "phone", "email", "aum_crores", "established_year", "ticket_size_min", "has_subsidiaries").select(
         "row_number",
         A.text_or(v["phone"]).alias("phone"),
         A.text_or(v["email"]).alias("email"),
@@ -389,7 +406,7 @@ def defaults(spark, sf_dir):
     "SELECT row_number, CAST(coalesce(len(list_filter(json_keys(v), lambda k: NOT list_contains(['null', '[]', '\"\"'], CAST(json_extract(v, '$.\"' || k || '\"') AS VARCHAR)))), 0) AS INTEGER) AS filled FROM parsed", *_PARSED
 )
 def completeness(spark, sf_dir):
-    return _parsed(spark, sf_dir).select("row_number", F.coalesce("answer.filled", F.lit(0)).alias("filled"))
+    return _parsed(spark, sf_dir, "filled").select("row_number", F.coalesce("answer.filled", F.lit(0)).alias("filled"))
 
 
 # Requests with their answers
@@ -477,6 +494,31 @@ def run_tally(spark, sf_dir):
     return facets.run_tally(out.withColumn("outcome", enrich.outcome(out)))
 
 
+@proof(
+    f"""SELECT 'n_rows' AS metric, count(*) AS n FROM clean UNION ALL SELECT 'n_files', 1 UNION ALL SELECT 'n_flagged', count(*) FROM clean WHERE {_PAN}
+    UNION ALL SELECT 'required_company_name', 1 UNION ALL SELECT 'required_company_type', 1
+    UNION ALL SELECT 'outcome_' || o.outcome, count(t.outcome) FROM (SELECT unnest(['ok', 'failed', 'rejected', 'skipped']) AS outcome) o LEFT JOIN
+    (SELECT CASE WHEN name = '' AND url = '' THEN 'skipped' WHEN NOT is_valid THEN 'rejected' WHEN v IS NULL THEN 'failed' ELSE 'ok' END AS outcome FROM scored LEFT JOIN parsed USING (row_number)) t
+    ON t.outcome = o.outcome GROUP BY o.outcome""",
+    *_BOTH,
+)
+def run_report(spark, sf_dir):
+    """What a run that writes its records finds on the way: rows, files, flagged rows, outcomes, checks."""
+    told, seen = observed_run(spark, sf_dir)
+    told.write.parquet(fresh(spark, "run"))
+    return spark.createDataFrame([(k, int(v)) for k, v in seen.get.items()], "metric string, n long")
+
+
+def observed_run(spark, sf_dir):
+    """The records of a run with their outcome, observed."""
+    rows = clean.classify(_clean(spark, sf_dir, F.col("_metadata.file_path").alias("file")), ad.TYPES, ad.DEFAULT_TYPE)
+    rows = enrich.with_gate(scoring.score_candidates(rows, ad.RULES)).withColumn("pan_india", F.expr(_PAN))
+    out = enrich.build_records(rows, ad.responses(spark, sf_dir), "row_number", ad.REGIONS)
+    told = out.select("record.*", enrich.outcome(out).alias("outcome"), F.col("pan_india").alias("given"), "file")
+    told, seen = facets.observed(told, F.col("outcome"), "given", F.col("file"), ["company_name", "company_type"])
+    return told.drop("given", "file"), seen
+
+
 @proof(f"SELECT count(*) AS n_rows, CAST(1 AS BIGINT) AS n_files, count(*) FILTER (WHERE {_PAN}) AS n_flagged FROM clean", *_CAND)
 def flag_count(spark, sf_dir):
     rows = _clean(spark, sf_dir, F.col("_metadata.file_path").alias("file"))
@@ -527,6 +569,37 @@ def surrogate_ids(spark, sf_dir):
     return names.agg(F.count("*").alias("n_names"), F.count_distinct("id").alias("n_ids"), F.bool_and(F.col("n") == 1).alias("one_each"))
 
 
+@proof(f"SELECT count(*) AS n_rows, count(DISTINCT (company_name, company_type, website)) AS n_ids, TRUE AS same_again FROM (SELECT DISTINCT company_name, company_type, website FROM ({_OTHERS_SQL}))", *_BOTH)
+def colliding_ids(spark, sf_dir):
+    """With a hash of a few hundred values institutions share ids; none is lost, each gets one of its own, a second run the same."""
+    few = lambda: F.pmod(load.surrogate_id(), F.lit(301))
+    records = _others(spark, sf_dir).select("record.*")
+    one, two = (load.to_directory(r, LOAD_TS, unique=True, first=few)[0].select("id", *load.NAMES) for r in (records, records.repartition(5, "website")))
+    both = one.join(two.withColumnRenamed("id", "again"), load.NAMES)
+    return both.agg(F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_ids"), F.bool_and(F.col("id") == F.col("again")).alias("same_again"))
+
+
+_LOST_SQL = " UNION ALL ".join(
+    f"SELECT row_number, '{k}' AS field, v->>'$.{k}' AS text, '{t}' AS rule FROM parsed WHERE v->>'$.{k}' IS NOT NULL AND TRY_CAST(v->>'$.{k}' AS {'INTEGER' if t == 'int' else 'DOUBLE'}) IS NULL" for k, t in A.NUMBERS.items()
+)
+
+
+@proof(
+    f""", o AS (SELECT row_number, CASE WHEN row_number % 19 <> 0 THEN company_name END AS company_name, company_type, website FROM ({_OTHERS_SQL})),
+    f AS ({_LOST_SQL} UNION ALL SELECT row_number, 'company_name', NULL, 'required' FROM o WHERE company_name IS NULL)
+    SELECT company_name, company_type, website, field, text, rule, company_name IS NULL AS left_out FROM o JOIN f USING (row_number)
+    UNION ALL SELECT company_name, company_type, website, '', NULL, 'loaded', FALSE FROM o WHERE company_name IS NOT NULL""",
+    *_BOTH,
+)
+def load_faults(spark, sf_dir):
+    """Records loaded in one write: the rows, and a row with its rule for every record left out and every value made null."""
+    records = _others(spark, sf_dir).select("row_number", "record.*", F.col("answer.rescued").alias("rescued"))
+    records = records.withColumn("company_name", F.when(F.col("row_number") % 19 != 0, F.col("company_name")))
+    rows, faults = load.load_directory(records, fresh(spark, "loaded"), LOAD_TS, rescued="rescued")
+    loaded = rows.select(*load.NAMES, F.lit("").alias("field"), F.lit(None).cast("string").alias("text"), F.lit("loaded").alias("rule"), F.lit(False).alias("left_out"))
+    return faults.drop("id").unionByName(loaded)
+
+
 # Sources
 
 @proof(_OTHERS_SQL, *_BOTH)
@@ -562,7 +635,16 @@ def append_contacts(spark, sf_dir):
     path, rows = fresh(spark, "contacts"), ad.contacts(spark, sf_dir)
     for batch_of in (0, 1):
         files.append_contacts(rows.filter(F.crc32(F.col("user_id").cast("binary")) % 2 == batch_of), path)
-    return spark.read.schema(CONTACTS).parquet(path)
+    return files.read_contacts(spark, path)
+
+
+@proof("SELECT user_id, email, phone FROM contacts", "contacts")
+def append_contacts_again(spark, sf_dir):
+    """Three named batches, of which two come again: each is there once."""
+    path, rows = fresh(spark, "contacts"), ad.contacts(spark, sf_dir)
+    for batch_of in (0, 1, 0, 2, 1):
+        files.append_contacts(rows.filter(F.crc32(F.col("user_id").cast("binary")) % 3 == batch_of), path, f"batch-{batch_of}")
+    return files.read_contacts(spark, path)
 
 
 @proof(

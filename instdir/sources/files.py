@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from functools import reduce
 from urllib.parse import unquote
 
@@ -14,6 +15,8 @@ from pyspark.sql import types as T
 from ..functions.answers import from_json_array, json_array
 from ..schemas import CONTACTS, DIRECTORY, RECORDS, SEEDS
 
+#: The column of a table of contacts that names the batch of a row.
+BATCH = "_batch"
 CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "encoding": "UTF-8"}
 
 
@@ -105,8 +108,11 @@ def write_records(records: DataFrame, path: str) -> None:
     records.withColumns(lists).write.mode("overwrite").options(header=True, escape='"', encoding="UTF-8").csv(path)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records from CSV, typed; text that is empty reads as empty, what doesn't cast as null."""
+def read_records(spark: SparkSession, path: str, rescued: str | None = None) -> DataFrame:
+    """Records from CSV, typed; text that is empty reads as empty, what doesn't cast as null (a list as empty).
+
+    rescued names one more column: the field, text and rule of each value that was there and didn't cast.
+    """
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in RECORDS])
     raw = spark.read.options(**CSV).schema(text).csv(path)
 
@@ -116,7 +122,15 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
             return from_json_array(c)
         return F.coalesce(c, F.lit("")) if isinstance(f.dataType, T.StringType) else c.try_cast(f.dataType)
 
-    return raw.select(*[typed(f).alias(f.name) for f in RECORDS])
+    def fault(f: T.StructField):
+        c = F.col(f.name)
+        lost = F.from_json(c, "array<string>").isNull() if isinstance(f.dataType, T.ArrayType) else c.try_cast(f.dataType).isNull()
+        told = F.struct(F.lit(f.name).alias("field"), c.alias("text"), F.lit(f.dataType.simpleString()).alias("rule"))
+        return F.when((F.coalesce(c, F.lit("")) != "") & lost, told)
+
+    out = raw.select("*", F.array_compact(F.array(*[fault(f) for f in RECORDS if not isinstance(f.dataType, T.StringType)])).alias("__rescued"))
+    more = [F.col("__rescued").alias(rescued)] if rescued else []
+    return out.select(*[typed(f).alias(f.name) for f in RECORDS], *more)
 
 
 def directory_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
@@ -129,6 +143,16 @@ def scan_directory(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def append_contacts(contacts: DataFrame, path: str) -> None:
-    """Add a batch of contacts; a failure is raised."""
-    contacts.select(*CONTACTS.names).write.mode("append").parquet(path)
+def append_contacts(contacts: DataFrame, path: str, batch: str | None = None) -> None:
+    """Add a batch of contacts; a failure is raised.
+
+    A batch has a folder of its own. One that comes again under its name, after a failure or by mistake, replaces itself;
+    one without a name is always added.
+    """
+    rows = contacts.select(*CONTACTS.names, F.lit(batch or uuid.uuid4().hex).alias(BATCH))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(path)
+
+
+def read_contacts(spark: SparkSession, path: str) -> DataFrame:
+    """The contacts of all batches."""
+    return spark.read.schema(CONTACTS).parquet(path).select(*CONTACTS.names)

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from instdir.operators import facets, search
 from instdir.operators.cards import card
@@ -113,3 +114,32 @@ def test_load(spark):
     only, _ = to_directory(df, "2024-01-01 00:00:00", only_success=True, unique=True)
     assert only.count() == 1 and str(only.first().aum_crores) == "1.2500"
     assert {r.id for r in rows.collect()} >= {only.first().id}
+
+
+def test_institutions_that_share_an_id_are_all_there(spark):
+    from instdir.operators.load import colliding_ids, load_directory, second_id
+
+    rows = [(f"bank {i % 40}", "t", None if i % 3 else f"http://{i % 40}", float(i), "success") for i in range(200)]
+    df = spark.createDataFrame(rows, "company_name string, company_type string, website string, aum_crores double, extraction_status string")
+    for f in DIRECTORY:
+        if f.name not in (*df.columns, "id", "created_at", "last_updated"):
+            df = df.withColumn(f.name, F.lit(None).cast(f.dataType))
+    names = df.select("company_name", "website").distinct().count()
+    for first in (lambda: F.lit(7).cast("long"), lambda: F.pmod(second_id(), F.lit(5))):
+        one, two = ({(r.company_name, r.website): r.id for r in to_directory(d, "2024-01-01 00:00:00", unique=True, first=first)[0].collect()} for d in (df, df.repartition(7)))
+        assert one == two and len(one) == names == len(set(one.values())) and colliding_ids(df, first).count() >= 1
+    assert colliding_ids(df).count() == 0
+
+
+def test_faults_of_a_load(spark, tmp_path):
+    from instdir.operators.load import load_directory
+
+    rows = [("a", "t", 1.0, None), (None, None, 2.0, None), ("b", "t", 1e30, [("year", "x", "int")]), ("c", "t", None, [])]
+    df = spark.createDataFrame(rows, "company_name string, company_type string, aum_crores double, lost array<struct<field:string,text:string,rule:string>>")
+    for f in DIRECTORY:
+        if f.name not in (*df.columns, "id", "created_at", "last_updated"):
+            df = df.withColumn(f.name, F.lit(None).cast(f.dataType))
+    loaded, faults = load_directory(df, str(tmp_path / "d"), "2024-01-01 00:00:00", rescued="lost")
+    assert sorted(r.company_name for r in loaded.collect()) == ["a", "b", "c"] and loaded.columns == DIRECTORY.names
+    got = sorted((r.company_name or "", r.field, r.text or "", r.rule, r.left_out) for r in faults.collect())
+    assert got == [("", "company_name", "", "required", True), ("", "company_type", "", "required", True), ("b", "aum_crores", "1.0E30", "decimal(20,4)", False), ("b", "year", "x", "int", False)]

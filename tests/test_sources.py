@@ -62,6 +62,44 @@ def test_contacts_are_appended(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "c")).count() == 2
 
 
+def test_a_batch_that_comes_again_replaces_itself(spark, tmp_path):
+    df = spark.createDataFrame([("1", "e", "p"), ("2", None, "q")], "user_id string, email string, phone string")
+    for batch, rows in (("a", df), ("b", df.limit(1)), ("a", df), ("b/c d=e", df), ("b", df.limit(1))):
+        files.append_contacts(rows, str(tmp_path / "c"), batch)
+    assert files.read_contacts(spark, str(tmp_path / "c")).count() == 5
+    assert sorted(files.read_contacts(spark, str(tmp_path / "c")).columns) == ["email", "phone", "user_id"]
+
+
+def test_what_does_not_cast_is_rescued(spark, tmp_path):
+    (tmp_path / "r.csv").write_text(",".join(f.name for f in RECORDS) + "\n" + 'A,t,w,much,not a list,,l,s,"[""x""]",perhaps,1999,,1e400x,,true,,,m,success,\nB,t,w,1.5,[],,l,s,[],true,12,3,,,false,,,m,success,\n')
+    got = {r.company_name: r for r in files.read_records(spark, str(tmp_path / "r.csv"), rescued="lost").collect()}
+    assert [(f.field, f.text, f.rule) for f in got["A"].lost] == [("aum_crores", "much", "double"), ("product_types", "not a list", "array<string>"), ("pan_india", "perhaps", "boolean"), ("ticket_size_min", "1e400x", "double")]
+    assert got["A"].aum_crores is None and got["A"].operating_states == ["x"] and got["B"].lost == []
+
+
+def test_a_run_observed_scans_each_table_once(spark, sf_dir):
+    from instdir.plans import proofs
+
+    told, seen = proofs.observed_run(spark, sf_dir)
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2
+    told.write.format("noop").mode("overwrite").save()
+    found = seen.get
+    assert sum(v for k, v in found.items() if k.startswith("outcome_")) == found["n_rows"] == told.count() and found["n_files"] == 1
+    tally = {r.outcome: r.n for r in proofs.QUERIES["run_tally"](spark, sf_dir).collect()}
+    assert {k: v for k, v in ((o, found[f"outcome_{o}"]) for o in ("ok", "failed", "rejected", "skipped")) if v} == tally
+
+
+def test_one_pass_over_the_screen(spark):
+    from instdir.operators import facets, search
+
+    df = spark.createDataFrame([(["b", "a", "b"], "x", None), (None, "", "t"), ([], None, "t"), (["b", None], "y", "u")], "product_types array<string>, hq_state string, company_type string")
+    got = {(r.facet, r.value): r.n for r in facets.screen(df, ["product_types", "hq_state", "company_type"], search.matches(product="b")).collect()}
+    assert got == {("product_types", "a"): 1, ("product_types", "b"): 2, ("hq_state", "x"): 1, ("hq_state", "y"): 1, ("company_type", "t"): 2, ("company_type", "u"): 1, ("result", ""): 2}
+    empty = facets.screen(df.filter("false"), ["product_types"], search.matches(region="z")).collect()
+    assert [(r.facet, r.value, r.n) for r in empty] == [("result", "", 0)]
+
+
 def test_second_run_takes_new_files_alone(spark, tmp_path):
     src, sink, log = (str(tmp_path / x) for x in ("src", "sink", "log"))
     df = spark.range(3)
