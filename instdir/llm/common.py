@@ -145,17 +145,46 @@ def join_spread(left: DataFrame, right: DataFrame, on: str | list[str], scratch:
     return Dealt(counts, on, scratch, name, per_part).join(left, right, by or left.columns, how)
 
 
-def lookup(left: DataFrame, right: DataFrame, on: str | list[str], scratch: Scratch, name: str, by: list[str] | None = None, how: str = "inner", weight: Column | None = None, rows: int | None = None, counts: DataFrame | None = None) -> DataFrame:
+#: Bits of a bitmap over keys at most (32 MB), bits for each key if there is room, and bits of a row of its table.
+SIFT_BITS, BITS_A_KEY, _ROW_BITS = 1 << 28, 16, 1 << 15
+
+
+def sifted(left: DataFrame, right: DataFrame, on: list[str], scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of left that may have a partner in the written table right, and those that surely have none.
+
+    They are told apart by a bitmap over right's keys, whose size is bounded: it is built by Spark, and broadcast. Where keys
+    are so many that it fills up, more rows are let through; none that has a partner is missed.
+    """
+    bits = _ROW_BITS
+    while bits < min(SIFT_BITS, BITS_A_KEY * right.count()):
+        bits *= 2
+    bit = F.pmod(F.xxhash64(F.lit(41), *on), F.lit(bits))
+    rows = right.select(bit.alias("bit")).groupBy((F.col("bit") / _ROW_BITS).cast("int").alias("__at")).agg(F.bitmap_construct_agg(F.col("bit") % _ROW_BITS).alias("__bits"))
+    rows = F.broadcast(scratch.save(rows, f"{name}-bits"))
+    here = left.withColumn("__bit", bit).withColumn("__at", (F.col("__bit") / _ROW_BITS).cast("int")).join(rows, "__at", "left")
+    place = F.col("__bit") % _ROW_BITS
+    byte = F.conv(F.hex(F.substring("__bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+    marked = here.withColumn("__hit", hit).drop("__at", "__bit", "__bits")
+    return marked.filter("__hit").drop("__hit"), marked.filter("not __hit").drop("__hit")
+
+
+def lookup(left: DataFrame, right: DataFrame, on: str | list[str], scratch: Scratch, name: str, by: list[str] | None = None, how: str = "inner", weight: Column | None = None, rows: int | None = None, counts: DataFrame | None = None, sift: bool = False) -> DataFrame:
     """left.join(right, on, how) for a written table ``right``: broadcast if it is counted small, else with frequent keys dealt out.
 
-    counts (the key columns and n, see ``Dealt``) spares counting left's keys.
+    counts (the key columns and n, see ``Dealt``) spares counting left's keys. With sift, for a left side of wide rows such as
+    texts, only the rows that may have a partner are shuffled; the others go round the join.
     """
     hinted = small(right, BROADCAST_ROWS if rows is None else rows, weight)
     if hinted is not right:
         return left.join(hinted, on, how)
-    if counts is None:
-        return join_spread(left, right, on, scratch, name, by, how)
-    return Dealt(counts, [on] if isinstance(on, str) else on, scratch, name).join(left, right, by or left.columns, how)
+    on, by, alone = [on] if isinstance(on, str) else on, by or left.columns, None
+    if sift:
+        left, alone = sifted(left, right, on, scratch, name)
+    out = join_spread(left, right, on, scratch, name, by, how) if counts is None else Dealt(counts, on, scratch, name).join(left, right, by, how)
+    if alone is None or how in ("inner", "left_semi"):
+        return out
+    return out.unionByName(alone, allowMissingColumns=True)
 
 
 def _parts(batch: pa.RecordBatch, by: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
@@ -212,7 +241,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def without_rows(docs: DataFrame, gone: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """docs without the rows whose key is in the written table gone(doc_id, h)."""
     gone = scratch.save(gone.select(*key_columns(F.col("doc_id"), F.col("h"))).distinct(), f"{name}-keys")
-    return lookup(keyed(docs), gone, KEY, scratch, f"{name}-heavy", by=KEY, how="left_anti").select(*quoted(docs.columns))
+    return lookup(keyed(docs), gone, KEY, scratch, f"{name}-heavy", by=KEY, how="left_anti", sift=True).select(*quoted(docs.columns))
 
 
 def fold(doc_id: Column, n: int) -> Column:

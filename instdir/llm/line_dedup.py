@@ -56,7 +56,7 @@ def drop_repeated_lines(docs: DataFrame, size: int = 3) -> DataFrame:
     """docs with the covered lines taken out of text; n_chars, if there, follows the text."""
     scratch = Scratch(docs.sparkSession, "covered")
     covered = scratch.save(repeated_lines(docs, size).select(*key_columns(F.col("key.doc_id"), F.col("key.h")), F.col("gone").alias("__gone")), "by-key")
-    out = lookup(keyed(docs), covered, KEY, scratch, "heavy", by=KEY, how="left", weight=24 + 8 * F.size("__gone"))
+    out = lookup(keyed(docs), covered, KEY, scratch, "heavy", by=KEY, how="left", weight=24 + 8 * F.size("__gone"), sift=True)
     text = F.col("text").cast("string")
     out = out.withColumn("text", F.when(F.col("__gone").isNull(), text).otherwise(without(text, F.col("__gone"))))
     if "n_chars" in docs.columns:

@@ -289,11 +289,11 @@ def drop_near_copies(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFram
     judged = near_duplicates(docs, percent, k, by_row=True)
     keys = judged.select("doc_id", F.col("text_h").alias("h"), "kept", "n_shingles").groupBy("doc_id", "h", "kept").agg(F.max("n_shingles").alias("n_shingles"), F.count("*").alias("n"))
     keys = scratch.save(keys.filter("not kept or (n > 1 and n_shingles > 0)").select(*key_columns(F.col("doc_id"), F.col("h")), "kept"), "keys")
-    rest = lookup(keyed(docs), keys.drop("kept"), KEY, scratch, "heavy-1", by=KEY, how="left_anti").select(*quoted(docs.columns))
+    rest = lookup(keyed(docs), keys.drop("kept"), KEY, scratch, "heavy-1", by=KEY, how="left_anti", sift=True).select(*quoted(docs.columns))
     one = keys.filter("kept").drop("kept")
     if one.isEmpty():
         return rest
-    again = lookup(keyed(docs), one, KEY, scratch, "heavy-2", by=KEY, how="left_semi").dropDuplicates(KEY)
+    again = lookup(keyed(docs), one, KEY, scratch, "heavy-2", by=KEY, how="left_semi", sift=True).dropDuplicates(KEY)
     return rest.unionByName(again.select(*quoted(docs.columns)))
 
 
@@ -319,7 +319,7 @@ def _sets(docs: DataFrame, classes: DataFrame, cids: DataFrame, scratch: Scratch
     ids = cids.distinct().join(classes.select("cid", "least"), "cid")
     ids = scratch.save(ids.select("cid", *key_columns(F.col("least.doc_id"), F.col("least.text_h"))), f"{name}-ids")
     texts = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    texts = lookup(texts, ids, KEY, scratch, f"{name}-heavy", by=KEY).select("cid", "text")
+    texts = lookup(texts, ids, KEY, scratch, f"{name}-heavy", by=KEY, sift=True).select("cid", "text")
     texts = texts.dropDuplicates(["cid"]) if repeated else texts
     return scratch.save(map_arrow(texts, fn, "cid long, items array<long>, others array<long>, parity array<long>"), name)
 

@@ -114,7 +114,7 @@ def scan(docs: DataFrame, ledger: str, versions: tuple[str, ...] = ("base-1",))
 
     # their texts, each blob's once
     if any(r.missing for r in kinds):
-        picked = lookup(rows, special, "blob", scratch, "heavy-1", by=["doc_id"], how="left" if usual else "inner", counts=special)
+        picked = lookup(rows, special, "blob", scratch, "heavy-1", by=["doc_id"], how="left" if usual else "inner", counts=special, sift=True)
         picked = picked.withColumns({"n": F.coalesce("n", F.lit(1)), "missing": F.coalesce("missing", F.array(*[F.lit(v) for v in usual]).cast("array<string>"))}).filter(F.size("missing") > 0)
         once = picked.filter("n = 1").select("blob", "text", "missing")
         again = picked.filter("n > 1").groupBy("blob").agg(F.first("text").alias("text"), F.first("missing").alias("missing"))

@@ -76,7 +76,7 @@ def captures(pages: DataFrame) -> DataFrame:
     scratch = Scratch(pages.sparkSession, "captures")
     repeated = scratch.save(repeated.select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"), "n"), "repeated")
     weight = 64 + F.coalesce(F.octet_length("first_url"), F.lit(0))
-    out = lookup(got, repeated.drop("n"), "digest", scratch, "heavy", by=["page_id", "url"], how="left", weight=weight, counts=repeated)
+    out = lookup(got, repeated.drop("n"), "digest", scratch, "heavy", by=["page_id", "url"], how="left", weight=weight, counts=repeated, sift=True)
     out = out.withColumn("name", _name(F.col("page_id"), F.col("digest"), F.col("url")))
     revisit = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id"))
     return out.withColumn("first", F.when(revisit, _name(F.col("first_id"), F.col("digest"), F.col("first_url")))).drop("first_id", "first_url")

@@ -92,3 +92,23 @@ def test_scratch_tables_are_dropped(spark):
     assert df.count() == 3
     scratch.drop("t", "never there")
     assert not spark.sparkContext._jvm.java.io.File(scratch.path("t").removeprefix("file://")).exists()
+
+
+@pytest.mark.parametrize("bits", [1 << 28, 1 << 15])
+def test_sifted_joins_shuffle_hits_alone(spark, monkeypatch, bits):
+    """Every kind of join gives what it gives unsifted, also when the bitmap is full; no row with a partner is missed."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "SIFT_BITS", bits)
+    scratch = common.Scratch(spark, "sift")
+    left = spark.range(30_000).select((F.col("id") % 9_000).alias("k"), F.concat(F.lit("text "), "id").alias("a.b"))
+    right = scratch.save(spark.range(0, 9_000, 7).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")), "right")
+    maybe, sure = common.sifted(left, right, ["k"], scratch, "bits")
+    assert sure.join(right, "k", "left_semi").isEmpty() and maybe.count() + sure.count() == 30_000
+    if bits > 1 << 15:
+        assert maybe.count() < 30_000 / 7 * 1.6  # a seventh, and a sixteenth of the others
+    for how in ("inner", "left", "left_anti", "left_semi"):
+        got = common.lookup(left, right, "k", scratch, f"heavy-{how}", by=["k"], how=how, sift=True)
+        want = left.join(right, "k", how)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    empty = scratch.save(right.filter("false"), "empty")
+    assert common.lookup(left, empty, "k", scratch, "none", by=["k"], how="left_anti", sift=True).count() == 30_000
