@@ -7,8 +7,8 @@ is added up before the shuffle and dealt out in the join.
 
 Defined cases: lines are split at \\n and compared as they are; windows whose three lines are all blank don't count; a
 text of fewer than three lines has no window and stays, as do null and empty texts; a null doc_id sorts before any
-other; rows equal in doc_id and text are one document and share their result; no row is ever dropped, a text whose lines
-all go becomes empty; a very long text is read in whole, one window per line, in time that grows with its lines;
+other; rows equal in doc_id and text are one document and share their result; no row is dropped unless asked for, a text whose
+lines all go becomes empty; a very long text is read in whole, one window per line, in time that grows with its lines;
 an empty table gives an empty result; other columns are kept as they are, whatever their names.
 """
 
@@ -52,8 +52,11 @@ def repeated_lines(docs: DataFrame, size: int = 3) -> DataFrame:
     return covered
 
 
-def drop_repeated_lines(docs: DataFrame, size: int = 3) -> DataFrame:
-    """docs with the covered lines taken out of text; n_chars, if there, follows the text."""
+def drop_repeated_lines(docs: DataFrame, size: int = 3, keep_emptied: bool = True) -> DataFrame:
+    """docs with the covered lines taken out of text; n_chars, if there, follows the text.
+
+    Without keep_emptied, rows of which nothing is left go too; those that were empty before stay.
+    """
     scratch = Scratch(docs.sparkSession, "covered")
     covered = scratch.save(repeated_lines(docs, size).select(*key_columns(F.col("key.doc_id"), F.col("key.h")), F.col("gone").alias("__gone")), "by-key")
     out = lookup(keyed(docs), covered, KEY, scratch, "heavy", by=KEY, how="left", weight=24 + 8 * F.size("__gone"), sift=True)
@@ -62,6 +65,8 @@ def drop_repeated_lines(docs: DataFrame, size: int = 3) -> DataFrame:
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
+    if not keep_emptied:
+        out = out.filter("__gone is null or text <> ''")
     return out.select(*quoted(docs.columns))
 
 

@@ -23,7 +23,7 @@ def by_id(row):
 
 
 def plain_lines(rows):
-    """Texts without the lines of three-line windows that an earlier row has; rows equal in id and text are one."""
+    """Texts without the lines of three-line windows that an earlier row has; rows equal in id and text are one; rows emptied go."""
     seen, gone = {}, defaultdict(set)
     different = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
     places = []
@@ -34,7 +34,8 @@ def plain_lines(rows):
         if window in seen:
             gone[row] |= {at, at + 1, at + 2}
         seen.setdefault(window, row)
-    return [(i, t if (i, t) not in gone else "\n".join(line for n, line in enumerate(t.split("\n")) if n not in gone[i, t])) for i, t in rows]
+    left = [(i, t, t if (i, t) not in gone else "\n".join(line for n, line in enumerate(t.split("\n")) if n not in gone[i, t])) for i, t in rows]
+    return [(i, new) for i, t, new in left if new != "" or t == ""]
 
 
 def plain_copies(rows):
