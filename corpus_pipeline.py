@@ -32,12 +32,12 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that three-line windows seen before cover; none is dropped.
+    """Documents without the lines that three-line windows seen before cover; those of which nothing is left go.
 
-    Rows equal in doc_id and text are one document and share their result; null texts stay null; a text whose lines all go
-    becomes empty; n_chars follows the text; a row without doc_id comes before all others.
+    Rows equal in doc_id and text are one document and share their result; null texts stay null, and texts that were empty
+    before stay; n_chars follows the text; a row without doc_id comes before all others.
     """
-    return drop_repeated_lines(docs)
+    return drop_repeated_lines(docs, keep_emptied=False)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
