@@ -7,8 +7,10 @@ bitmaps tells whether a candidate can reach the similarity. What passes is confi
 No bucket's pairs are ever laid out as rows. Equal sets are one class. Round one links each member of a bucket with the
 bucket's center alone, the class that meets most others over all its buckets. Round two takes the buckets that still hold
 several components. Of each class in them it counts the shingles that no other of these classes has: they are in no
-intersection, so most classes turn out too far from anything. The others outside the bucket's largest component are held
-against the rest of the bucket, with that bound, the lengths, the sketch and the parity bitmaps of the full sets (they
+intersection, so most classes turn out too far from anything. In a wide bucket the others meet by rare shingles: two classes
+that are similar enough share one of the rarest of their sets (all but so many that the rest can't suffice), so texts of one
+template, which share its common shingles alone, never meet. Those outside a bucket's largest component are held
+against the rest of it, with that bound, the lengths, the sketch and the parity bitmaps of the full sets (they
 count the symmetric difference) as join condition. These pairs are tried, not kept, and those of a large bucket are dealt
 out over cells of a fixed size. So every two classes that share a bucket end in one component, or have been compared, or
 can't be similar enough. Every join on a bucket or a class deals a frequent key out over parts.
@@ -42,6 +44,8 @@ BITS, SAMPLES = 1024, 256
 SET_BITS = 2048
 #: Rows of either side of a bucket that round two compares in one group.
 CELL = 1000
+#: Rows of a bucket beyond which round two lets its rows meet by rare shingles, if that tries fewer pairs.
+WIDE = 200
 #: Graphs of so many edges (16 bytes each) need no dealing out of their hubs: one task could hold them all.
 FEW_EDGES = 100_000
 _LANES, _SET_LANES = BITS // 64, SET_BITS // 64
@@ -194,6 +198,45 @@ def dealt_by_bucket(rest: DataFrame, outside: Column, scratch: Scratch, name: st
     return placed(dealt.filter(outside), "__x", "__y"), placed(dealt, "__y", "__x")
 
 
+def _rarest(sets: DataFrame, cids: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """cid and item: of each of these classes' sets the rarest shingles, of which it shares one with every set that is similar enough.
+
+    Of n shingles these are n - ceil(n * percent / 100) + 1, in one order for all sets (rarest first, by the counts over these
+    sets). Those that no other set has come first and aren't given.
+    """
+    items = sets.join(cids, "cid", "left_semi").select("cid", F.size("items").alias("size"), F.explode("items").alias("item"))
+    counts = scratch.save(items.groupBy("item").agg(F.count("*").alias("n")).filter("n > 1"), "item-counts")
+    known = Dealt(counts, ["item"], scratch, "item-heavy").join(items, counts, ["cid"])
+    listed = known.groupBy("cid", "size").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("shared"))
+    room = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - (F.col("size") - F.size("shared"))
+    return listed.select("cid", F.explode(F.slice("shared", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))).alias("x")).select("cid", "x.item")
+
+
+def met_by_rare_shingles(rest: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, wide: int = WIDE) -> DataFrame:
+    """rest(h, cid, comp, largest, ...) with each bucket of over ``wide`` rows in parts, one for each rare shingle that classes
+    of several components share, where these try fewer pairs than the bucket. h and largest are then a part's.
+    """
+    outside = F.col("comp") != F.col("largest")
+    tried = F.count_if(outside) * F.count("*")
+    crowd = scratch.save(rest.groupBy("h").agg(F.count("*").alias("n"), tried.alias("tried")).filter(F.col("n") > wide), "crowd")
+    if crowd.isEmpty():
+        return rest
+    rows = Dealt(crowd.select("h", "n"), ["h"], scratch, "crowd-heavy")
+    inside = scratch.save(rows.join(rest, crowd.select("h", "tried"), ["cid"]), "crowd-rows")
+    rare = scratch.save(_rarest(sets, inside.select("cid").distinct(), percent, scratch), "rarest")
+    parts = join_spread(inside.drop("largest"), rare, "cid", scratch, "rarest-heavy", ["h"])
+    parts = scratch.save(parts.withColumn("part", F.xxhash64("h", "item")).drop("item"), "parts")
+    comps = parts.groupBy("part", "comp").agg(F.count("*").alias("n")).groupBy("part").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("comps"))
+    comps = scratch.save(comps.filter("comps > 1").select("part", F.col("most.comp").alias("largest"), "n"), "part-sizes")
+    parts = scratch.save(Dealt(comps.select("part", "n"), ["part"], scratch, "parts-heavy").join(parts, comps.select("part", "largest"), ["cid"]), "split")
+    cost = parts.groupBy("h", "part").agg(tried.alias("cost")).groupBy("h").agg(F.sum("cost").alias("cost"))
+    worth = scratch.save(crowd.join(cost, "h", "left").filter(F.coalesce("cost", F.lit(0)) < F.col("tried")).select("h", "n"), "worth")
+    split = Dealt(worth, ["h"], scratch, "worth-heavy").join(parts, worth.select("h"), ["cid"], "left_semi").withColumn("h", F.col("part"))
+    whole = Dealt(worth, ["h"], scratch, "whole-heavy").join(rest, worth.select("h"), ["cid"], "left_anti")
+    scratch.drop("crowd-rows", "rarest", "parts", "item-counts")
+    return whole.unionByName(split.select(*rest.columns))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, bands: int = 32, rows: int = 4, sigmas: float | None = 5.0, by_row: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and text_h (with doc_id the row's key) for each row of docs(doc_id, text, ...).
 
@@ -241,8 +284,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, bands: int =
     sized = sketches.join(alone, "cid", "left").withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
     sized = sized.filter(100 * F.col("common") >= percent * F.col("n_shingles")).drop("alone")
     sized = sized.join(sets.select("cid", *[F.col("parity")[i].alias(f"p{i}") for i in range(_SET_LANES)]), "cid")
-    rest = scratch.save(rest.join(sized, "cid"), "rest")
-    x, y = dealt_by_bucket(rest.filter("cid <> center"), F.col("comp") != F.col("largest"), scratch, "cells")
+    rest = scratch.save(rest.filter("cid <> center").join(sized.select("cid"), "cid", "left_semi"), "close")
+    rest = scratch.save(met_by_rare_shingles(rest, sets, percent, scratch).join(sized, "cid"), "rest")
+    x, y = dealt_by_bucket(rest, F.col("comp") != F.col("largest"), scratch, "cells")
     x, y = x.alias("x"), y.alias("y")
     most_common = F.least("x.common", "y.common")
     bound = 100 * most_common >= percent * (F.col("x.n_shingles") + F.col("y.n_shingles") - most_common)
@@ -267,7 +311,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, bands: int =
     moved = lookup(moved, best, "root", scratch, "best-heavy", by=["c1", "c2"])
     moved = scratch.save(moved.select("c1", "c2", F.col("best.doc_id").alias("best_id"), F.col("best.text_h").alias("best_h")), "moved")
     scratch.drop(*[f"{n}-{x}" for n in ("links-1", "links-2") for x in ("heavy-a", "heavy-b")], *[f"sets-{i}-{x}" for i in (1, 2) for x in ("ids", "heavy")], "stars-a", "stars-b", "stars", "wide")
-    scratch.drop("crowded", "shared", "centered", "mixed", "rest", "cells", "several", "near-1", "near-2", "sets-1", "sets-2", "links-1", "links-2", "roots-1", "roots-2", "classes", "again", "grouped", "best")
+    scratch.drop("crowded", "shared", "centered", "mixed", "close", "rest", "cells", "split", "crowd", "worth", "part-sizes", "several", "near-1", "near-2", "sets-1", "sets-2", "links-1", "links-2", "roots-1", "roots-2", "classes", "again", "grouped", "best")
     out = lookup(feats.select("doc_id", "text_h", "n_shingles", "c1", "c2"), moved, ["c1", "c2"], scratch, "moved-heavy", by=["doc_id", "text_h"], how="left")
     grouped = F.col("best_h").isNotNull() & (F.col("n_shingles") > 0)
     if not by_row:

@@ -6,6 +6,8 @@ import re
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from instdir.llm import near_dedup, toxicity
 from instdir.llm import queries as Q
 from instdir.llm.text import hash_spans
@@ -51,3 +53,51 @@ def test_pairs_just_over_the_limit_are_linked(spark):
         rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(other))]
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
     assert linked == 2000 and all(got[2 * p + 1] == (2 * p if p % 2 == 0 else 2 * p + 1) and got[2 * p] == 2 * p for p in range(4000))
+
+
+def _template_rows(n, seed):
+    """Texts of one template and two of many blocks: none is similar enough to another, but each block is in several."""
+    rng = random.Random(seed)
+    template = [f"t{i}" for i in range(150)]
+    blocks = [[f"b{k}x{i}" for i in range(50)] for k in range(n)]
+    return [(i, " ".join([*template, *blocks[rng.randrange(n)], *blocks[rng.randrange(n)]])) for i in range(n)]
+
+
+def test_pairs_tried_in_a_mixed_bucket_grow_about_linearly(spark, monkeypatch):
+    """Without rare shingles they grow with the square; the links are those of all pairs either way."""
+    tried, split = {}, near_dedup.met_by_rare_shingles
+    for n in (500, 1000, 2000):
+
+        def counted(rest, sets, percent, scratch, n=n):
+            out = scratch.save(split(rest, sets, percent, scratch), "counted")
+            pairs = lambda df: df.groupBy("h").agg(F.expr("count_if(comp <> largest) * count(*)").alias("p")).agg(F.sum("p")).first()[0] or 0
+            tried[n] = pairs(rest), pairs(out)
+            return out
+
+        monkeypatch.setattr(near_dedup, "met_by_rare_shingles", counted)
+        rows = _template_rows(n, n)
+        rows += [(100_000 + i, text + " more") for i, text in rows[:50]]  # and near copies, which are linked
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+        assert all(got[100_000 + i] == got[i] for i in range(50))
+        if n == 500:
+            assert got == _components(rows)
+    assert tried[2000][0] > 10 * tried[500][0] and tried[2000][1] < 4 * tried[500][1] and 10 * tried[2000][1] < tried[2000][0]
+
+
+def _components(rows):
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    groups = {}
+    for i, (doc_id, _) in enumerate(rows):
+        groups.setdefault(find(i), []).append(doc_id)
+    return {d: min(g) for g in groups.values() for d in g}
