@@ -21,7 +21,7 @@ CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "encoding
 
 
 #: Bytes that no file has: as the share of a task and the price of a file they give each file a task of its own.
-_ALONE = str(1 << 40)
+_ONE_FILE = dict.fromkeys(("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"), str(1 << 40))
 
 
 def escaped(path: str) -> str:
@@ -32,13 +32,15 @@ def escaped(path: str) -> str:
 def header_groups(spark: SparkSession, glob: str) -> dict[tuple[str, ...], list[str]]:
     """The files that match, by their header (the first record; a quoted name may hold line ends, read as \\n).
 
-    Tasks read the heads, a file each, and stop at the record's end; the driver gets a header and a path for each file, as it
-    does when Spark lists them. Files without a line have no header.
+    Tasks read the heads, a file each, and stop at the record's end (where the cluster's settings give a task several files, they
+    are read to their ends); the driver gets a header and a path for each file, as it does when Spark lists them. Files without a
+    line have no header.
     """
     own = spark.newSession()  # its settings are for this read alone
-    for key, value in {"maxPartitionBytes": _ALONE, "openCostInBytes": _ALONE}.items():
-        own.conf.set(f"spark.sql.files.{key}", value)
+    for key, value in _ONE_FILE.items():
+        own.conf.set(key, value)
     own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    alone = all(own.conf.get(key) == str(1 << 40) for key in _ONE_FILE) and not own.conf.get("spark.sql.files.maxPartitionNum", None)
     try:
         lines = own.read.text(glob).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("begin"), "value")
     except AnalysisException as e:
@@ -52,24 +54,33 @@ def header_groups(spark: SparkSession, glob: str) -> dict[tuple[str, ...], list[
 
         import pyarrow as pa
 
-        path, text, quotes = None, [], 0
+        def head():
+            names = next(csv.reader(io.StringIO("\n".join(text).removeprefix("\ufeff"), newline="")), [])
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([names], pa.list_(pa.string()))], ["path", "names"])
+
+        path, done, text, quotes = None, None, [], 0
         for batch in batches:
             for p, begin, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if begin:
-                    return  # the rest of a very large file
-                path = p
+                if begin or p == done:  # behind the head
+                    if alone:
+                        return
+                    continue
+                if p != path:
+                    if path is not None:  # a quote that is never closed
+                        yield head()
+                    path, text, quotes = p, [], 0
                 text.append(value)
                 quotes += value.count('"')
                 if quotes % 2 == 0:  # outside quotes
-                    break
-            if path is not None and quotes % 2 == 0:
-                break
-        names = next(csv.reader(io.StringIO("\n".join(text).removeprefix("\ufeff"), newline="")), [])
-        if names:
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([names], pa.list_(pa.string()))], ["path", "names"])
+                    yield head()
+                    path, done = None, p
+                    if alone:
+                        return
+        if path is not None:
+            yield head()
 
     groups: dict[tuple[str, ...], list[str]] = {}
-    for row in lines.mapInArrow(heads, "path string, names array<string>").collect():
+    for row in lines.mapInArrow(heads, "path string, names array<string>").filter(F.size("names") > 0).collect():
         groups.setdefault(tuple(row.names), []).append(unquote(row.path))
     return {names: sorted(paths) for names, paths in groups.items()}
 

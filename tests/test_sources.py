@@ -29,8 +29,11 @@ def test_header_with_line_ends_and_a_long_one(spark, tmp_path):
     assert sorted((r.company_name, r["web\nsite"]) for r in out.select("company_name", "web\nsite").collect()) == [("A", "http://a"), ("B", ""), ("C", "")]
 
 
-def test_odd_file_names_and_headers(spark, tmp_path):
-    """Brackets, spaces, percent and braces in names; a repeated name (the last counts), one in another case, one that is missing; a long file."""
+@pytest.mark.parametrize("share", [None, {"spark.sql.files.maxPartitionBytes": "200000", "spark.sql.files.openCostInBytes": "100"}])
+def test_odd_file_names_and_headers(spark, tmp_path, monkeypatch, share):
+    """Brackets, spaces, percent and braces in names; a repeated name (the last counts), one in another case, one that is missing; a long file. Also with several files a task."""
+    if share:
+        monkeypatch.setattr(files, "_ONE_FILE", share)
     (tmp_path / "a[1].csv").write_text("company_name,website\nA,http://a\n")
     (tmp_path / "b {x,y} 100%25.csv").write_text('"company_name","note","note",""\nB,first,last,none\n')
     (tmp_path / "c?*.csv").write_bytes(b'"company_name","two\r\nlines","Website"\r\nC,t,http://c\r\n')
