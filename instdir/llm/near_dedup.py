@@ -44,7 +44,7 @@ BITS, SAMPLES = 1024, 256
 SET_BITS = 2048
 #: Rows of either side of a bucket that round two compares in one group.
 CELL = 1000
-#: Rows of a bucket beyond which round two lets its rows meet by rare shingles, if that tries fewer pairs.
+#: Rows of a bucket outside its largest component beyond which round two lets rows meet by rare shingles, if that tries fewer pairs.
 WIDE = 200
 #: Graphs of so many edges (16 bytes each) need no dealing out of their hubs: one task could hold them all.
 FEW_EDGES = 100_000
@@ -213,17 +213,22 @@ def _rarest(sets: DataFrame, cids: DataFrame, percent: int, scratch: Scratch) ->
 
 
 def met_by_rare_shingles(rest: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, wide: int = WIDE) -> DataFrame:
-    """rest(h, cid, comp, largest, ...) with each bucket of over ``wide`` rows in parts, one for each rare shingle that classes
-    of several components share, where these try fewer pairs than the bucket. h and largest are then a part's.
+    """rest(h, cid, comp, largest, ...) with each bucket of over ``wide`` rows outside its largest component in parts, one for each
+    rare shingle that classes of several components share, where these try fewer pairs than the bucket. h and largest are then a
+    part's.
     """
     outside = F.col("comp") != F.col("largest")
     tried = F.count_if(outside) * F.count("*")
-    crowd = scratch.save(rest.groupBy("h").agg(F.count("*").alias("n"), tried.alias("tried")).filter(F.col("n") > wide), "crowd")
+    crowd = scratch.save(rest.groupBy("h").agg(F.count("*").alias("n"), tried.alias("tried"), F.count_if(outside).alias("out")).filter(F.col("out") > wide), "crowd")
     if crowd.isEmpty():
         return rest
     rows = Dealt(crowd.select("h", "n"), ["h"], scratch, "crowd-heavy")
     inside = scratch.save(rows.join(rest, crowd.select("h", "tried"), ["cid"]), "crowd-rows")
-    rare = scratch.save(_rarest(sets, inside.select("cid").distinct(), percent, scratch), "rarest")
+    comp_of = scratch.save(inside.select("cid", "comp").distinct(), "crowd-comps")
+    rare = scratch.save(_rarest(sets, comp_of.select("cid"), percent, scratch).join(comp_of, "cid"), "rare")
+    several = scratch.save(rare.groupBy("item").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo <> hi"), "several-comps")
+    rare = Dealt(several.select("item", "n"), ["item"], scratch, "several-heavy").join(rare, several.select("item"), ["cid"], "left_semi")
+    rare = scratch.save(rare.select("cid", "item"), "rarest")
     parts = join_spread(inside.drop("largest"), rare, "cid", scratch, "rarest-heavy", ["h"])
     parts = scratch.save(parts.withColumn("part", F.xxhash64("h", "item")).drop("item"), "parts")
     comps = parts.groupBy("part", "comp").agg(F.count("*").alias("n")).groupBy("part").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("comps"))
@@ -233,7 +238,7 @@ def met_by_rare_shingles(rest: DataFrame, sets: DataFrame, percent: int, scratch
     worth = scratch.save(crowd.join(cost, "h", "left").filter(F.coalesce("cost", F.lit(0)) < F.col("tried")).select("h", "n"), "worth")
     split = Dealt(worth, ["h"], scratch, "worth-heavy").join(parts, worth.select("h"), ["cid"], "left_semi").withColumn("h", F.col("part"))
     whole = Dealt(worth, ["h"], scratch, "whole-heavy").join(rest, worth.select("h"), ["cid"], "left_anti")
-    scratch.drop("crowd-rows", "rarest", "parts", "item-counts")
+    scratch.drop("crowd-rows", "crowd-comps", "rare", "several-comps", "rarest", "parts", "item-counts")
     return whole.unionByName(split.select(*rest.columns))
 
 
