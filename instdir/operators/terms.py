@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any
-from ..sources.scratch import fresh
 
 #: Terms in a pattern at most; terms, and their bytes, that tasks get at most; rows of a broadcast; characters of a gram.
 FEW, MANY, MANY_BYTES, BROADCAST_ROWS, GRAM = 200, 200_000, 4 << 20, 200_000, 4
@@ -35,6 +34,23 @@ def _grams(text: Column, size: int) -> Column:
     return F.transform(F.array(F.split(text, "")), of)[0]
 
 
+def _met(left: DataFrame, right: DataFrame, on: str, tables, name: str, by: list[str], how: str = "inner", weight: Column | None = None, counts: DataFrame | None = None, keep: bool = False) -> DataFrame:
+    """left.join(right, on, how) for a written table ``right``: broadcast if it is counted small, else a merge join whose frequent keys are dealt out.
+
+    The hint keeps Spark from a broadcast by the size of files, which for repeated values is a small part of what rows take in
+    memory. With keep, a left side that is costly to work out is written before its keys are counted.
+    """
+    from ..llm.common import Dealt, small
+
+    hinted = small(right, BROADCAST_ROWS, weight)
+    if hinted is not right:
+        return left.join(hinted, on, how)
+    if keep:
+        left = tables.save(left, name)
+    dealt = Dealt(left.groupBy(on).agg(F.count("*").alias("n")) if counts is None else counts, [on], tables, f"{name}-heavy")
+    return dealt.left(left, by).join(dealt.right(right).hint("merge"), [on, "__part"], how).drop("__part")
+
+
 class TermSet:
     """Terms given as a list or as the first column of a table; the table is counted once, and collected only if it is small."""
 
@@ -81,25 +97,22 @@ class TermSet:
         return F.pandas_udf(hits, "boolean")
 
     def _joined(self, df: DataFrame, text: Column, name: str) -> DataFrame:
-        spark, root = df.sparkSession, fresh(df.sparkSession, "terms")
-
-        def saved(part: DataFrame, table: str) -> DataFrame:
-            part.write.parquet(f"{root}/{table}")
-            return spark.read.schema(part.schema).parquet(f"{root}/{table}")
+        from ..llm.common import Scratch
 
-        terms = self.table
+        tables = Scratch(df.sparkSession, "terms")
+        terms, wide = self.table, lambda c: 32 + F.octet_length(c)
         sizes = [r[0] for r in terms.select(F.least(F.length("term"), F.lit(GRAM))).distinct().collect()]  # GRAM values at most
-        texts = saved(df.select(text.alias("text")).filter("text is not null").distinct().withColumn("h", F.xxhash64("text")), "texts")
+        texts = tables.save(df.select(text.alias("text")).filter("text is not null").distinct().withColumn("h", F.xxhash64("text")), "texts")
         every = F.flatten(F.array_compact(F.array(*[_grams(F.col("text"), s) for s in sizes]))) if sizes else F.array().cast("array<string>")
-        grams = saved(texts.select("h", F.explode(every).alias("gram")), "grams")
-        counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
+        grams = tables.save(texts.select("h", F.explode(every).alias("gram")), "grams")
+        counts = tables.save(grams.groupBy("gram").agg(F.count("*").alias("n")), "counts")
         own = F.coalesce(*[F.when(F.least(F.length("term"), F.lit(GRAM)) == s, _grams(F.col("term"), s)) for s in sizes], F.array().cast("array<string>"))
-        parts = terms.select("term", F.explode(own).alias("gram")).join(counts, "gram", "left")
-        rarest = parts.groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least")).filter("least.n > 0")
-        met = grams.join(rarest.select("term", "least.gram"), "gram").select("h", "term")
-        hits = saved(texts.join(met, "h").filter(F.col("text").contains(F.col("term"))).select(F.col("text").alias("__text")).distinct(), "hits")
-        hits = hits.withColumn("__hit", F.lit(True))
-        if hits.count() <= BROADCAST_ROWS:
-            hits = F.broadcast(hits)
-        marked = df.withColumn("__text", text).join(hits, "__text", "left")
-        return marked.withColumn(name, F.when(F.col("__text").isNotNull(), F.coalesce("__hit", F.lit(False)))).drop("__text", "__hit")
+        parts = _met(terms.select("term", F.explode(own).alias("gram")), counts, "gram", tables, "parts", ["term"], "left", keep=True)
+        least = parts.groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least")).filter("least.n > 0")
+        rarest = tables.save(least.select("term", "least.gram"), "rarest")
+        met = _met(grams, rarest, "gram", tables, "met", ["h"], weight=wide("term"), counts=counts).select("h", "term")
+        found = _met(met, texts, "h", tables, "found", ["term"], weight=wide("text"), keep=True).filter(F.col("text").contains(F.col("term")))
+        hits = tables.save(found.select(F.col("text").alias("__text")).distinct(), "hits").withColumn("__hit", F.lit(True))
+        # No hit is empty, so rows without text have no partner as empty ones; null keys would all go to one task.
+        marked = _met(df.withColumn("__text", F.coalesce(text, F.lit(""))), hits, "__text", tables, "marked", ["__text"], "left", wide("__text"))
+        return marked.withColumn(name, F.when(text.isNotNull(), F.coalesce("__hit", F.lit(False)))).drop("__text", "__hit")

@@ -72,3 +72,34 @@ def test_terms_of_every_number_mark_what_contains_one(spark):
             got = {r.i: r.hit for r in way.mark(df, F.col("t"), "hit").collect()}
             assert got == want, (terms[:5], way.few)
     assert TermSet(table).mark(df.filter("false"), F.col("t"), "hit").count() == 0 == TermSet(table, many=0).mark(df.filter("false"), F.col("t"), "hit").count()
+
+
+def _plans(spark, since=0):
+    """The plans of the session's actions after so many of them, as they ran at last."""
+    done = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return [done.apply(i).physicalPlanDescription() for i in range(since, done.size())]
+
+
+def test_terms_meet_without_broadcasts_by_file_size(spark, monkeypatch):
+    """Rows of grams are a small part in files of what they are in memory: no side is broadcast that isn't counted small."""
+    from instdir.llm import common
+    from instdir.operators import terms
+
+    # 600 rows have one text, 1,200 terms one gram, and a text meets 700 terms: keys that are dealt out.
+    texts = ["http://a.example/same"] * 600 + [f"http://b{i % 40}.example/{i}" for i in range(900)] + [None] * 20 + [""] * 20 + ["xyzw" + "".join(f"-xyzw{i}" for i in range(700))]
+    given = [f"xyzw{i}" for i in range(1200)] + ["/same", "b7.", "/42", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(5)
+    want = {i: None if t is None else any(x in t for x in given if x) for i, t in enumerate(texts)}
+    table = spark.createDataFrame([(t,) for t in given], "term string")
+    monkeypatch.setattr(terms, "BROADCAST_ROWS", 0)
+    for per_part in (10**9, common.PART_ROWS):
+        monkeypatch.setattr(common.Dealt.__init__, "__defaults__", (per_part,))
+        since = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+        out = terms.TermSet(table, many=0).mark(df, F.col("t"), "hit")
+        assert {r.i: r.hit for r in out.collect()} == want
+        plans = _plans(spark, since)
+        assert any("SortMergeJoin" in p for p in plans)
+        if per_part > common.PART_ROWS:  # then no key is dealt out, which would broadcast the dealt ones
+            assert not any("BroadcastHashJoin" in p for p in plans)
+        else:
+            assert any("BroadcastHashJoin" in p for p in plans)
