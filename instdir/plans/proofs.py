@@ -503,7 +503,10 @@ def run_tally(spark, sf_dir):
     *_BOTH,
 )
 def run_report(spark, sf_dir):
-    """What a run that writes its records finds on the way: rows, files, flagged rows, outcomes, checks."""
+    """What a run that writes its records finds on the way: rows, files, flagged rows, outcomes, checks.
+
+    A table is one file of the run's input, in however many parts it is stored.
+    """
     told, seen = observed_run(spark, sf_dir)
     told.write.parquet(fresh(spark, "run"))
     return spark.createDataFrame([(k, int(v)) for k, v in seen.get.items()], "metric string, n long")
@@ -511,7 +514,7 @@ def run_report(spark, sf_dir):
 
 def observed_run(spark, sf_dir):
     """The records of a run with their outcome, observed."""
-    rows = clean.classify(_clean(spark, sf_dir, F.col("_metadata.file_path").alias("file")), ad.TYPES, ad.DEFAULT_TYPE)
+    rows = clean.classify(_clean(spark, sf_dir, ad.input_of("pages").alias("file")), ad.TYPES, ad.DEFAULT_TYPE)
     rows = enrich.with_gate(scoring.score_candidates(rows, ad.RULES)).withColumn("pan_india", F.expr(_PAN))
     out = enrich.build_records(rows, ad.responses(spark, sf_dir), "row_number", ad.REGIONS)
     told = out.select("record.*", enrich.outcome(out).alias("outcome"), F.col("pan_india").alias("given"), "file")

@@ -29,3 +29,10 @@ def test_flag_count_counts_files(spark, sf_dir, tmp_path):
     spark.read.parquet(f"{sf_dir}/pages.parquet").repartition(3).write.parquet(f"file://{tmp_path}/pages.parquet")
     one, three = (QUERIES["flag_count"](spark, d).first() for d in (sf_dir, f"file://{tmp_path}"))
     assert one.n_files == 1 and three.n_files == 3 and (one.n_rows, one.n_flagged) == (three.n_rows, three.n_flagged)
+
+
+def test_run_report_is_the_same_for_tables_in_parts(spark, sf_dir, tmp_path):
+    for name in ("pages", "events"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(3).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    got = QUERIES["run_report"](spark, f"file://{tmp_path}").toPandas()
+    assert oracle.rows(got) == oracle.rows(oracle.connect(sf_dir).execute(ORACLE_SQL["run_report"]).df())
